@@ -81,15 +81,20 @@ def drop_words(tokens: Column, stop_words) -> Column:
 
 
 def ngrams(tokens: Column, n: int) -> Column:
-    """Space-joined n-grams; an array shorter than ``n`` gives none."""
-    if n == 1:
-        return tokens
-    count = F.size(tokens) - (n - 1)
-    grams = F.transform(
-        F.sequence(F.lit(1), F.greatest(count, F.lit(1))),
-        lambda i: F.array_join(F.slice(tokens, i, n), " "),
-    )
-    return F.when(count >= 1, grams).otherwise(F.array().cast("array<string>"))
+    """Space-joined n-grams; an array shorter than ``n`` gives none.
+
+    Shifted copies of the array are zipped; positions past the end come out as
+    NULL and are dropped.  ``tokens`` should be a column, not an expression: it
+    is read once per shift.
+    """
+    grams = tokens
+    for shift in range(2, n + 1):
+        grams = F.zip_with(
+            grams,
+            F.slice(tokens, F.lit(shift), F.size(tokens)),
+            lambda left, right: F.concat(left, F.lit(" "), right),
+        )
+    return F.array_compact(grams) if n > 1 else grams
 
 
 def contains_any(text: Column, needles) -> Column:

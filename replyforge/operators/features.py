@@ -21,10 +21,9 @@ def discovery_tokens(text: Column, stop_words=packs.DISCOVERY_STOP_WORDS) -> Col
     return drop_words(cleaned_tokens(text), stop_words)
 
 
-def training_terms(text: Column) -> Column:
-    """Words and word pairs of the raw text."""
-    words = word_tokens(text)
-    return F.concat(words, ngrams(words, 2))
+def training_words(text: Column) -> Column:
+    """Words of the raw text; the classifier uses them singly and in pairs."""
+    return word_tokens(text)
 
 
 def ngram_topk(df: DataFrame, text: str, n: int, k: int = 20, stop_words=packs.DISCOVERY_STOP_WORDS):
@@ -38,10 +37,15 @@ def ngram_topk(df: DataFrame, text: str, n: int, k: int = 20, stop_words=packs.D
     return top_n(counts, [F.desc("n"), "ngram"], k)
 
 
-def term_counts(df: DataFrame, key: str, terms: Column) -> DataFrame:
-    """(key, term, tf)."""
+def term_counts(df: DataFrame, key: str, words: Column, sizes=(1,)) -> DataFrame:
+    """(key, term, tf) over the n-grams of the given sizes.
+
+    The word list is projected first, so that it is computed once per row.
+    """
+    grams = [ngrams(F.col("_words"), n) for n in sizes]
     return (
-        df.select(key, F.explode(terms).alias("term"))
+        df.select(key, words.alias("_words"))
+        .select(key, F.explode(F.concat(*grams) if len(grams) > 1 else grams[0]).alias("term"))
         .groupBy(key, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -81,7 +85,8 @@ def vocabulary(
 def tfidf(
     docs: DataFrame,
     key: str,
-    terms: Column,
+    words: Column,
+    sizes=(1,),
     min_df: int = 1,
     max_features: int | None = None,
     sublinear: bool = False,
@@ -92,7 +97,7 @@ def tfidf(
     A limited vocabulary is broadcast; an unlimited one is a shuffle join in
     which AQE splits the rows of a term that nearly every document has.
     """
-    counts = term_counts(docs, key, terms)
+    counts = term_counts(docs, key, words, sizes)
     vocab = vocabulary(counts, min_df, max_features).select("term", "df")
     if max_features is not None and max_features <= BROADCAST_TERMS:
         vocab = F.broadcast(vocab)

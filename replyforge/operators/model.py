@@ -158,8 +158,9 @@ def topic_clusters(
     finally:
         ready.unpersist()
     clustered = model.transform(ready).select(key, text, "_clean", "cluster")
+    vocabulary = counter.vocabulary
     terms = [
-        (i, counter.vocabulary[j], float(w))
+        (i, vocabulary[j], float(w))
         for i, centre in enumerate(model.clusterCenters())
         for j, w in enumerate(centre)
         if w > 0

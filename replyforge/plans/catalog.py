@@ -284,7 +284,7 @@ def trigram_topk(spark, sf):
 @query
 def doc_freq(spark, sf):
     docs = views.table(spark, sf, "documents")
-    counts = features.term_counts(docs, "doc_id", features.training_terms(F.col("text")))
+    counts = features.term_counts(docs, "doc_id", features.training_words(F.col("text")), (1, 2))
     return features.vocabulary(counts, min_df=2, max_features=2000)
 
 
@@ -301,7 +301,7 @@ def tfidf(spark, sf):
 def tfidf_sublinear(spark, sf):
     docs = views.table(spark, sf, "documents")
     weights = features.tfidf(
-        docs, "doc_id", features.training_terms(F.col("text")),
+        docs, "doc_id", features.training_words(F.col("text")), (1, 2),
         min_df=2, max_features=50_000, sublinear=True,
     )
     return weights.withColumn("weight", F.round("weight", 6))

@@ -25,6 +25,7 @@ def local_session(cpus: str | int = "*", partitions: int = 8, app: str = "replyf
     return (
         builder.config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .getOrCreate()
     )
