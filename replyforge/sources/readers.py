@@ -8,13 +8,16 @@ from replyforge.functions.numbers import parse_flag, parse_id
 from replyforge.schemas import RAW_MESSAGES
 
 _CORRUPT = "_corrupt_record"
-CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
+# Without columnPruning=false a narrow select would hide lines that do not fit.
+CSV_OPTIONS = {
+    "header": "true", "multiLine": "true", "quote": '"', "escape": '"', "columnPruning": "false",
+}
 
 
 def read_csv(
     spark: SparkSession, path: str, schema: T.StructType = RAW_MESSAGES
 ) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejects) of a CSV file or folder, all columns as text.
+    """(rows, rejected lines) of a CSV file or folder, all columns as text.
 
     A line with too many fields is rejected whole; one with too few keeps its
     fields and gets NULLs.  Messages contain newlines, so files are parsed
@@ -29,9 +32,11 @@ def read_csv(
                        {"quote": '"', "escape": '"'})
     overfull = F.col(_CORRUPT).isNotNull() & again["_extra"].isNotNull()
     names = schema.fieldNames()
+    # Spark refuses to read the corrupt column alone; always true, but not foldable.
+    some_field = F.coalesce(F.length(names[0]), F.lit(0)) >= 0
     return (
-        table.where(~overfull).select(*names),
-        table.where(overfull).select(F.col(_CORRUPT).alias("line")),
+        table.where(~overfull & some_field).select(*names),
+        table.where(overfull & some_field).select(F.col(_CORRUPT).alias("line")),
     )
 
 
