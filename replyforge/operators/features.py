@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from replyforge.functions import packs
 from replyforge.functions.text import cleaned_tokens, drop_words, ngrams, word_tokens
 from replyforge.operators.ranking import top_n
+from replyforge.sources.stages import cut
 
 # A vocabulary is broadcast only when its size limit is at most this many terms.
 BROADCAST_TERMS = 100_000
@@ -67,6 +68,7 @@ def vocabulary(
     )
     if max_features is None:
         return terms
+    terms = cut(terms, "terms")
     scaled = terms.withColumn("_power", F.floor(F.log2("cf")))
     downward = Window.orderBy(F.desc("_power")).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
@@ -78,7 +80,7 @@ def vocabulary(
         .agg(F.max("_power"))
         .scalar()
     )
-    strong = scaled.where(least.isNull() | (F.col("_power") >= least)).drop("_power")
+    strong = scaled.where(F.coalesce(F.col("_power") >= least, F.lit(True))).drop("_power")
     return strong.orderBy(F.desc("cf"), "term").limit(max_features)
 
 
@@ -97,7 +99,8 @@ def tfidf(
     A limited vocabulary is broadcast; an unlimited one is a shuffle join in
     which AQE splits the rows of a term that nearly every document has.
     """
-    counts = term_counts(docs, key, words, sizes)
+    # Texts are tokenised once: vocabulary and weights both read these counts.
+    counts = cut(term_counts(docs, key, words, sizes), "term-counts")
     vocab = vocabulary(counts, min_df, max_features).select("term", "df")
     if max_features is not None and max_features <= BROADCAST_TERMS:
         vocab = F.broadcast(vocab)

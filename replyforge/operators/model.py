@@ -22,12 +22,13 @@ from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
 
-from replyforge.functions.text import WORD, clean_message, flatten_lines
-from replyforge.operators.features import discovery_tokens
+from replyforge.functions.packs import DISCOVERY_STOP_WORDS
+from replyforge.functions.text import WORD, cleaned_tokens, drop_words, flatten_lines
 from replyforge.operators.metrics import predictions_table
 from replyforge.operators.routing import decide
 from replyforge.operators.rules import expected_escalation
 from replyforge.operators.sampling import class_weights, uniform_sample
+from replyforge.sources.stages import cut
 
 
 class SublinearTf(
@@ -67,6 +68,7 @@ def train_classifier(
     min_df: int = 2,
     max_features: int = 50_000,
     max_iter: int = 1000,
+    tol: float = 1e-4,
 ) -> PipelineModel:
     """Class-balanced multinomial logistic regression on sublinear TF-IDF.
 
@@ -100,7 +102,7 @@ def train_classifier(
         n = ready.count()
         classifier = LogisticRegression(
             featuresCol="features", labelCol="_y", weightCol="weight", family="multinomial",
-            maxIter=max_iter, regParam=1.0 / max(n, 1), elasticNetParam=0.0,
+            maxIter=max_iter, tol=tol, regParam=1.0 / max(n, 1), elasticNetParam=0.0,
             standardization=False, predictionCol="_prediction", probabilityCol="_probability",
             rawPredictionCol="_raw",
         ).fit(ready)
@@ -147,8 +149,16 @@ def topic_clusters(
 ) -> tuple[DataFrame, DataFrame]:
     """(clustered documents, (cluster, term, weight) of every centre)."""
     corpus = docs if sample is None else uniform_sample(docs, key, sample, seed)
-    corpus = corpus.withColumn("_clean", clean_message(F.col(text))).where("_clean != ''")
-    corpus = corpus.withColumn("_terms", discovery_tokens(F.col(text)))
+    # Several passes follow; the texts are cleaned in one.
+    words = corpus.select(key, text, cleaned_tokens(F.col(text)).alias("_all"))
+    corpus = cut(
+        words.where(F.size("_all") > 0).select(
+            key, text,
+            F.array_join("_all", " ").alias("_clean"),
+            drop_words(F.col("_all"), DISCOVERY_STOP_WORDS).alias("_terms"),
+        ),
+        "topic-words",
+    )
     counter = CountVectorizer(vocabSize=max_features, inputCol="_terms", outputCol="_tf").fit(corpus)
     counted = counter.transform(corpus)
     unit = Normalizer(p=2.0, inputCol="_scaled", outputCol="features")

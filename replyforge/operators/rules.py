@@ -26,10 +26,26 @@ def hits(text: Column, patterns) -> Column:
     return found[0] if len(found) == 1 else found[0] | found[1]
 
 
-def matched_intents(text: Column, pack: dict) -> Column:
-    """Array of the intents that hit, in pack order."""
-    marks = F.array(*[F.when(hits(text, pats), F.lit(name)) for name, pats in pack.items()])
-    return F.array_compact(marks)
+def with_hits(df: DataFrame, text: str, pack: dict) -> DataFrame:
+    """Add one boolean column per intent of the pack, ``_hit_<intent>``.
+
+    The lower-cased text is projected once, and flags (rather than an array of
+    names) keep all of it inside generated code.  NULL text hits nothing.
+    """
+    flags = [
+        F.coalesce(hits(F.col("_low"), patterns), F.lit(False)).alias(f"_hit_{name}")
+        for name, patterns in pack.items()
+    ]
+    return df.withColumn("_low", F.lower(text)).select(*df.columns, *flags)
+
+
+def _hit(name: str) -> Column:
+    return F.col(f"_hit_{name}")
+
+
+def _first(names) -> Column:
+    """First intent that hit, in the given order."""
+    return F.coalesce(*[F.when(_hit(n), n) for n in names])
 
 
 def weak_label(df: DataFrame, text: str = "customer_text", pack=packs.WEAK_RULES) -> DataFrame:
@@ -37,25 +53,17 @@ def weak_label(df: DataFrame, text: str = "customer_text", pack=packs.WEAK_RULES
 
     A NULL text hits no rule and gets the fallback label.
     """
-    found = F.size("_hits")
+    found = sum((_hit(n).cast("int") for n in pack), F.lit(0))
     pick = lambda i: (
-        F.when(found == 1, packs.WEAK_SINGLE[i])
-        .when(found > 1, packs.WEAK_CONFLICT[i])
+        F.when(F.col("_found") == 1, packs.WEAK_SINGLE[i])
+        .when(F.col("_found") > 1, packs.WEAK_CONFLICT[i])
         .otherwise(packs.WEAK_NONE[i])
     )
-    return (
-        df.withColumn("_hits", _hits_or_none(F.lower(text), pack))
-        .withColumn("intent", F.coalesce(F.get("_hits", F.lit(0)), F.lit(packs.OTHER)))
-        .withColumn("confidence", pick(0))
-        .withColumn("labeling_method", pick(1))
-        .drop("_hits")
-    )
-
-
-def _hits_or_none(text: Column, pack) -> Column:
-    return F.coalesce(
-        F.when(text.isNotNull(), matched_intents(text, pack)),
-        F.array().cast("array<string>"),
+    return with_hits(df, text, pack).withColumn("_found", found).select(
+        *df.columns,
+        F.coalesce(_first(pack), F.lit(packs.OTHER)).alias("intent"),
+        pick(0).alias("confidence"),
+        pick(1).alias("labeling_method"),
     )
 
 
@@ -65,34 +73,29 @@ def auto_label(df: DataFrame, text: str = "customer_text", pack=packs.GOLDEN_RUL
     Precedence among several hits: delivery over refund, defect over refund,
     delivery over tracking, anything over escalation, else first in pack order.
     """
-    m = F.col("_hits")
-    found = F.size(m)
-    first = F.get(m, F.lit(0))
-    actionable = F.get(F.filter(m, lambda x: x != packs.ESCALATION), F.lit(0))
-    both = lambda a, b: F.array_contains(m, a) & F.array_contains(m, b)
+    found = sum((_hit(n).cast("int") for n in pack), F.lit(0))
+    names = F.concat_ws(", ", *[F.when(_hit(n), n) for n in pack])
+    first = _first(pack)
+    actionable = _first([n for n in pack if n != packs.ESCALATION])
+    delivery, refund = _hit("delivery_issue"), _hit("refund_return")
+    defect, tracking = _hit("product_defect"), _hit("order_status_tracking")
     case = lambda intent, difficulty, note: F.struct(
         intent.alias("intent"), F.lit(difficulty).alias("difficulty"), note.alias("note")
     )
+    fixed = lambda intent, difficulty, note: case(
+        F.lit(intent), difficulty, F.lit(note)
+    )
     decision = (
-        F.when(found == 0, case(F.lit(packs.OTHER), "hard", F.lit(packs.NOTE_NONE)))
+        F.when(F.col("_found") == 0, fixed(packs.OTHER, "hard", packs.NOTE_NONE))
         .when(
-            found == 1,
+            F.col("_found") == 1,
             case(first, "easy", F.concat(F.lit("Matched single rule for "), first, F.lit("."))),
         )
+        .when(delivery & refund, fixed("delivery_issue", "medium", packs.NOTE_DELIVERY_REFUND))
+        .when(refund & defect, fixed("product_defect", "medium", packs.NOTE_DEFECT_REFUND))
+        .when(tracking & delivery, fixed("delivery_issue", "medium", packs.NOTE_TRACKING_DELIVERY))
         .when(
-            both("delivery_issue", "refund_return"),
-            case(F.lit("delivery_issue"), "medium", F.lit(packs.NOTE_DELIVERY_REFUND)),
-        )
-        .when(
-            both("refund_return", "product_defect"),
-            case(F.lit("product_defect"), "medium", F.lit(packs.NOTE_DEFECT_REFUND)),
-        )
-        .when(
-            both("order_status_tracking", "delivery_issue"),
-            case(F.lit("delivery_issue"), "medium", F.lit(packs.NOTE_TRACKING_DELIVERY)),
-        )
-        .when(
-            F.array_contains(m, packs.ESCALATION),
+            _hit(packs.ESCALATION),
             case(
                 actionable,
                 "medium",
@@ -108,20 +111,22 @@ def auto_label(df: DataFrame, text: str = "customer_text", pack=packs.GOLDEN_RUL
                 first,
                 "hard",
                 F.concat(
-                    F.lit("Multiple overlapping matches ("),
-                    F.array_join(m, ", "),
-                    F.lit("). Chose first match."),
+                    F.lit("Multiple overlapping matches ("), names, F.lit("). Chose first match.")
                 ),
             )
         )
     )
+    kept = [c for c in df.columns if c not in ("intent", "difficulty", "labeling_notes")]
     return (
-        df.withColumn("_hits", _hits_or_none(F.lower(text), pack))
+        with_hits(df, text, pack)
+        .withColumn("_found", found)
         .withColumn("_case", decision)
-        .withColumn("intent", F.col("_case.intent"))
-        .withColumn("difficulty", F.col("_case.difficulty"))
-        .withColumn("labeling_notes", F.col("_case.note"))
-        .drop("_hits", "_case")
+        .select(
+            *kept,
+            F.col("_case.intent").alias("intent"),
+            F.col("_case.difficulty").alias("difficulty"),
+            F.col("_case.note").alias("labeling_notes"),
+        )
     )
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from replyforge.functions import packs
 from replyforge.operators.routing import decide
 from replyforge.operators.rules import auto_label, expected_escalation, weak_label
+from replyforge.sources.readers import read_table
 
 BRAND = "brand1"
 
@@ -31,7 +32,7 @@ PHRASES = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def _message_columns():

@@ -14,6 +14,18 @@ CSV_OPTIONS = {
 }
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet table, read by at least as many tasks as the session has slots.
+
+    A scan has fewer splits than slots only when the table is small for the
+    session (a few MB per slot); moving it once is then cheaper than parsing
+    its texts in a few tasks.  Large tables are left as they are.
+    """
+    table = spark.read.parquet(path)
+    slots = spark.sparkContext.defaultParallelism
+    return table.repartition(slots) if table.rdd.getNumPartitions() < slots else table
+
+
 def read_csv(
     spark: SparkSession, path: str, schema: T.StructType = RAW_MESSAGES
 ) -> tuple[DataFrame, DataFrame]:
