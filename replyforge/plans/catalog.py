@@ -402,13 +402,13 @@ def golden_bin_counts(spark, sf):
 
 @query
 def undersample(spark, sf):
-    labels = cut(views.weak_labels(spark, sf).select("customer_tweet_id", "intent"), "labels")
+    labels = _weak_table(spark, sf).select("customer_tweet_id", "intent")
     return sampling.undersample(labels, "customer_tweet_id", "intent", packs.OTHER)
 
 
 @query
 def train_val_split(spark, sf):
-    labels = cut(views.weak_labels(spark, sf).select("customer_tweet_id", "intent"), "labels")
+    labels = _weak_table(spark, sf).select("customer_tweet_id", "intent")
     return sampling.train_val_split(labels, "customer_tweet_id", "intent")
 
 
@@ -419,7 +419,7 @@ def prepare_training(spark, sf):
         views.spiked(spark, sf).select("customer_tweet_id"), "customer_tweet_id", 250
     )
     rows, _ = jobs.prepare_training(
-        views.weak_labels(spark, sf), held_out, key="customer_tweet_id"
+        _weak_table(spark, sf), held_out, key="customer_tweet_id"
     )
     return rows.select("customer_tweet_id", "intent", "confidence", "split")
 
@@ -441,6 +441,21 @@ def leakage_check(spark, sf):
     return jobs.leakage(train, gold).select("customer_tweet_id", "intent")
 
 
+def _weak_table(spark, sf):
+    """Weak labels as the written table later jobs read.  A filter on a label
+    column would otherwise be pushed below the rules and run them twice."""
+    labels = views.weak_labels(spark, sf)
+    return cut(labels.select("customer_tweet_id", "customer_text", "intent", "confidence"), "weak")
+
+
+def _golden_table(spark, sf):
+    return cut(views.golden(spark, sf).drop("conv_id", "turn"), "golden")
+
+
+def _prediction_table(spark, sf):
+    return cut(views.predictions(spark, sf), "predictions")
+
+
 # -- golden set ------------------------------------------------------------
 
 
@@ -450,17 +465,17 @@ def _taxonomy(spark):
 
 @query
 def validate_golden(spark, sf):
-    return golden_ops.validate_golden(views.golden(spark, sf), _taxonomy(spark))
+    return golden_ops.validate_golden(_golden_table(spark, sf), _taxonomy(spark))
 
 
 @query
 def intent_distribution(spark, sf):
-    return golden_ops.intent_distribution(views.golden(spark, sf))
+    return golden_ops.intent_distribution(_golden_table(spark, sf))
 
 
 @query
 def difficulty_distribution(spark, sf):
-    return golden_ops.difficulty_distribution(views.golden(spark, sf))
+    return golden_ops.difficulty_distribution(_golden_table(spark, sf))
 
 
 @query
@@ -538,22 +553,22 @@ def confusion_wide(spark, sf):
 
 @query
 def confusion_pairs(spark, sf):
-    return metrics.confusion_pairs(views.predictions(spark, sf))
+    return metrics.confusion_pairs(_prediction_table(spark, sf))
 
 
 @query
 def error_marginals(spark, sf):
-    return metrics.error_marginals(views.predictions(spark, sf))
+    return metrics.error_marginals(_prediction_table(spark, sf))
 
 
 @query
 def failure_rows(spark, sf):
-    return metrics.failure_rows(views.predictions(spark, sf))
+    return metrics.failure_rows(_prediction_table(spark, sf))
 
 
 @query
 def error_samples(spark, sf):
-    return metrics.error_samples(views.predictions(spark, sf))
+    return metrics.error_samples(_prediction_table(spark, sf))
 
 
 @query
@@ -563,7 +578,7 @@ def report_table(spark, sf):
 
 @query
 def model_comparison(spark, sf):
-    table = jobs.baselines(views.weak_labels(spark, sf), views.predictions(spark, sf))
+    table = jobs.baselines(views.weak_labels(spark, sf), _prediction_table(spark, sf))
     return _rounded(table, "accuracy", "macro_f1", "weighted_f1")
 
 
@@ -698,9 +713,7 @@ def judge_reply_parse(spark, sf):
 
 
 def _trained(spark, sf):
-    rows, _ = jobs.prepare_training(
-        views.weak_labels(spark, sf), key="customer_tweet_id"
-    )
+    rows, _ = jobs.prepare_training(_weak_table(spark, sf), key="customer_tweet_id")
     rows = cut(rows.select("customer_text", "intent", "split"), "split")
     return jobs.train(rows.where("split = 'train'").drop("split"))
 
