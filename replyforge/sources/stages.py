@@ -15,14 +15,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+# Folders made for sessions without the setting (tests), by application id.
+_made: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where none is set."""
     folder = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="replyforge-")
-        spark.conf.set(_SETTING, folder)
+        app = spark.sparkContext.applicationId
+        if app not in _made:
+            _made[app] = tempfile.mkdtemp(prefix="replyforge-")
+        folder = _made[app]
     return folder.rstrip("/")
 
 
