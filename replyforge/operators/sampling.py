@@ -45,7 +45,7 @@ def take_quota(
     here = F.struct(seeded_hash(F.col(key), seed).alias("h"), F.col(key).alias("k"))
     if by is None:
         bound = last.select("last").scalar()
-        return df.where(bound.isNull() | (here <= bound))
+        return df.where(F.coalesce(here <= bound, F.lit(True)))
     return (
         df.join(F.broadcast(last), by, "left")
         .where(F.col("last").isNull() | (here <= F.col("last")))
@@ -92,15 +92,12 @@ def last_taken(df, key, quota, by=None, seed=42) -> DataFrame:
         edge = hashed.withColumn("c", one).where("prefix = c.cut_prefix")
         edge = edge.withColumn("wanted", F.col("c.wanted"))
     nth = F.row_number().over(Window.partitionBy(*group, "prefix").orderBy("h", "k"))
-    kept = edge.withColumn("nth", nth).where("nth <= greatest(wanted, 0)")
     none = F.struct(F.lit("").alias("h"), F.lit(None).cast(df.schema[key].dataType).alias("k"))
-    bounds = kept.groupBy(*group).agg(F.max(F.struct("h", "k")).alias("last"))
-    # A group that must be cut but keeps nothing still needs a bound.
-    if not by:
-        return bounds.select(F.coalesce("last", F.when(one.isNotNull(), none)).alias("last"))
-    return cutoffs.select(by).join(F.broadcast(bounds), by, "left").select(
-        by, F.coalesce("last", none).alias("last")
-    )
+    taken = F.max(F.when(F.col("nth") <= F.col("wanted"), F.struct("h", "k")))
+    # A cut prefix always has rows; if none of them is wanted the bound is
+    # below every row.
+    bound = F.when(F.count(F.lit(1)) > 0, F.coalesce(taken, none))
+    return edge.withColumn("nth", nth).groupBy(*group).agg(bound.alias("last"))
 
 
 def small_per_group(df: DataFrame, key: str, by: str, n: int, seed: int | str = 42) -> DataFrame:
