@@ -3,16 +3,66 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from replyforge.llm import kd_shards
+from replyforge.llm import bpe, chat, kd_shards
+from replyforge.llm.oracle import SQL
+
+__all__ = ["QUERIES", "SQL"]
+
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+
+
+REPOSITORY = str(Path(__file__).resolve().parents[2])
+
+
+def import_here(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it."""
+    known = spark.sparkContext.environment.get("PYTHONPATH", "").split(":")
+    if REPOSITORY not in known:
+        spark.sparkContext.environment["PYTHONPATH"] = ":".join(filter(None, [*known, REPOSITORY]))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    import_here(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -1, formatted and read back."""
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame(
+        [(-1, 0, "user", probe), (-1, 1, "assistant", probe)],
+        "conv_id long, turn long, role string, text string",
+    )
+    out = chat.format_trees(chat.thread_messages(given.unionByName(extra)), branches=1)
+    turns = F.array_join(
+        F.transform(
+            chat.read_turns(F.col("formatted")),
+            lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")),
+        ),
+        "",
+    )
+    loss = chat.read_loss(F.col("formatted"), F.col("loss_spans"))
+    return out.withColumn("loss", loss).select(
+        F.col("tree").alias("conv_id"),
+        F.size(chat.read_turns(F.col("formatted"))).cast("long").alias("n_turns"),
+        F.sha2(turns, 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op6_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded by the byte-level vocabulary."""
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
 def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of nearly equal bytes."""
     out = kd_shards.shard_documents(table(spark, sf_dir, "documents"), shards=16)
@@ -23,6 +73,7 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_reply_trees": op3_reply_trees,
+    "op6_pair_index_bpe": op6_pair_index_bpe,
     "op10_kd_shards": op10_kd_shards,
 }
-SQL: dict[str, str] = {}
