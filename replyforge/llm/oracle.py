@@ -18,6 +18,26 @@ def _escaped_length(column: str) -> str:
     return f"length({column}) + {marks}"
 
 
+_LINE_DEDUP = r"""
+WITH lines AS (
+  SELECT doc_id, k, line, translate(
+    trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+        generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents)
+), repeated AS (
+  SELECT key, max(doc_id) AS keeper FROM lines WHERE length(key) >= 20
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+), marked AS (
+  SELECT l.doc_id, k, line, r.key IS NOT NULL AND l.doc_id <> r.keeper AS lost
+  FROM lines l LEFT JOIN repeated r ON l.key = r.key
+)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE lost)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT lost), ''))
+    AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
 _REPLY_TREES = f"""
 WITH given AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
@@ -37,6 +57,43 @@ SELECT conv_id, count(*) AS n_turns,
 FROM given GROUP BY conv_id
 """
 
+# Word k of a text is hit when a window that starts at most nine words before occurs.
+_SUFFIX_ARRAYS = r"""
+WITH item_words AS (
+  SELECT item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), item_windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS size, w[k:k + least(len(w), 10) - 1] AS win
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k
+        FROM item_words WHERE len(w) > 0)
+), doc_words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), doc_windows AS (
+  SELECT doc_id, k, size, w[k:k + size - 1] AS win
+  FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS k
+        FROM doc_words, (SELECT DISTINCT size FROM item_windows) WHERE len(w) >= size)
+), hits AS (
+  SELECT d.doc_id, d.k, d.size, i.item_id FROM doc_windows d JOIN item_windows i USING (win)
+), hit_words AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(range(k, k + size)) AS p FROM hits) GROUP BY doc_id
+), hit_items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+  coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+"""
+
 SQL: dict[str, str] = {
+    "op1_line_dedup": _LINE_DEDUP,
     "op3_reply_trees": _REPLY_TREES,
+    "op7_suffix_arrays": _SUFFIX_ARRAYS,
 }

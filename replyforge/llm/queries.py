@@ -8,7 +8,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from replyforge.llm import bpe, chat, kd_shards
+from replyforge.llm import bpe, chat, decontaminate, kd_shards, line_dedup
 from replyforge.llm.oracle import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -31,6 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without lines that three documents share."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.drop_repeated_lines(docs).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
 def op3_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -1, formatted and read back."""
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -63,6 +71,20 @@ def op6_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
+def op7_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents searched for windows of all benchmark items."""
+    found = decontaminate.find_matches(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+    n_hit = decontaminate.hit_words()
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
 def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of nearly equal bytes."""
     out = kd_shards.shard_documents(table(spark, sf_dir, "documents"), shards=16)
@@ -73,7 +95,9 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_reply_trees": op3_reply_trees,
     "op6_pair_index_bpe": op6_pair_index_bpe,
+    "op7_suffix_arrays": op7_suffix_arrays,
     "op10_kd_shards": op10_kd_shards,
 }
