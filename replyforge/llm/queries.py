@@ -8,7 +8,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from replyforge.llm import bpe, chat, decontaminate, kd_shards, line_dedup
+from replyforge.llm import bpe, chat, decontaminate, fingerprints, kd_shards, line_dedup
 from replyforge.llm.oracle import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -66,6 +66,11 @@ def op3_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents and their edited texts as one-permutation MinHash fingerprints."""
+    return fingerprints.fingerprint_next(table(spark, sf_dir, "documents"))
+
+
 def op6_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded by the byte-level vocabulary."""
     return bpe.encode_documents(table(spark, sf_dir, "documents"), BYTE_BPE)
@@ -97,6 +102,7 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op3_reply_trees": op3_reply_trees,
+    "op5_document_fingerprints": op5_document_fingerprints,
     "op6_pair_index_bpe": op6_pair_index_bpe,
     "op7_suffix_arrays": op7_suffix_arrays,
     "op10_kd_shards": op10_kd_shards,

@@ -171,7 +171,8 @@ def shingles(chunk: Chunk, words: Words, size: int = SHINGLE) -> tuple[np.ndarra
     for row in short:
         begin, end = words.bounds[row], words.bounds[row + 1]
         own = words.hashes[begin:end] * np.array([salt(k + 1) for k in range(end - begin)])
-        total[begin] = own.sum(dtype=np.uint64) + salt(100 + int(end - begin))
+        own[0] ^= salt(100 + int(end - begin))
+        total[begin] = own.sum(dtype=np.uint64)
         last[begin] = False
     keep = ~last
     kept = np.maximum(counts - size + 1, np.minimum(counts, 1))
