@@ -8,7 +8,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from replyforge.llm import bpe, chat, decontaminate, fingerprints, kd_shards, line_dedup
+from replyforge.llm import bpe, chat, decontaminate, fingerprints, kd_shards, line_dedup, quality
 from replyforge.llm.oracle import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -39,6 +39,13 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with log weight, sampling key and decision."""
+    return quality.Resampler(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    ).decisions()
+
+
 def op3_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -1, formatted and read back."""
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -101,6 +108,7 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_quality_resampling": op2_quality_resampling,
     "op3_reply_trees": op3_reply_trees,
     "op5_document_fingerprints": op5_document_fingerprints,
     "op6_pair_index_bpe": op6_pair_index_bpe,
