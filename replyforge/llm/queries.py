@@ -8,7 +8,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from replyforge.llm import bpe, chat, decontaminate, fingerprints, kd_shards, line_dedup, quality
+from replyforge.llm import bpe, chat, decontaminate, fingerprints, kd_shards, line_dedup, quality, toxicity
 from replyforge.llm.oracle import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -97,6 +97,17 @@ def op7_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by a CRF trained on the labelled rows not held out."""
+    docs = table(spark, sf_dir, "documents")
+    tagger = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(docs, tagger).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+        F.size("spans").cast("long").alias("n_spans"),
+    )
+
+
 def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of nearly equal bytes."""
     out = kd_shards.shard_documents(table(spark, sf_dir, "documents"), shards=16)
@@ -113,5 +124,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_document_fingerprints": op5_document_fingerprints,
     "op6_pair_index_bpe": op6_pair_index_bpe,
     "op7_suffix_arrays": op7_suffix_arrays,
+    "op8_toxic_crf": op8_toxic_crf,
     "op10_kd_shards": op10_kd_shards,
 }
