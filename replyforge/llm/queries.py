@@ -8,7 +8,7 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from replyforge.llm import bpe, chat, decontaminate, fingerprints, kd_shards, line_dedup, quality, toxicity
+from replyforge.llm import bpe, chat, decontaminate, fingerprints, kd_shards, line_dedup, near_dedup, quality, toxicity
 from replyforge.llm.oracle import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -73,6 +73,11 @@ def op3_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents and their edited texts as one-permutation MinHash fingerprints."""
     return fingerprints.fingerprint_next(table(spark, sf_dir, "documents"))
@@ -121,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_resampling": op2_quality_resampling,
     "op3_reply_trees": op3_reply_trees,
+    "op4_bag_minhash": op4_bag_minhash,
     "op5_document_fingerprints": op5_document_fingerprints,
     "op6_pair_index_bpe": op6_pair_index_bpe,
     "op7_suffix_arrays": op7_suffix_arrays,
