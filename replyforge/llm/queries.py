@@ -8,11 +8,12 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from replyforge.llm import bpe, chat, decontaminate, fingerprints, kd_shards, line_dedup, near_dedup, quality, toxicity
+from replyforge.llm import bpe, chat, decontaminate, fingerprints, kd_shards, line_dedup, near_dedup, quality, token_files, toxicity
 from replyforge.llm.oracle import SQL
 
 __all__ = ["QUERIES", "SQL"]
 
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -113,6 +114,12 @@ def op8_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_context_mixing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as word-tokenizer ids, written to range-coded files and read back."""
+    folder = token_files.write_token_files(table(spark, sf_dir, "documents"), WORD_BPE, end_id=2)
+    return token_files.read_token_files(spark, folder)
+
+
 def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of nearly equal bytes."""
     out = kd_shards.shard_documents(table(spark, sf_dir, "documents"), shards=16)
@@ -131,5 +138,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pair_index_bpe": op6_pair_index_bpe,
     "op7_suffix_arrays": op7_suffix_arrays,
     "op8_toxic_crf": op8_toxic_crf,
+    "op9_context_mixing_files": op9_context_mixing_files,
     "op10_kd_shards": op10_kd_shards,
 }
