@@ -18,6 +18,7 @@ import hashlib
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -90,8 +91,8 @@ class PairIndexBPE:
         self.whole: dict[str, int] = {}  # piece -> number
         self.led: dict[str, int] = {}  # the same, of the piece with a blank before it
         self.decimals: list[str] = []
-        self.lengths: list[int] = []
-        self.flat: list[int] = []
+        self.lengths = array("q")
+        self.flat = array("q")
 
     # -- merging -------------------------------------------------------------
 
@@ -183,7 +184,7 @@ class PairIndexBPE:
             cache[name] = len(self.lengths)
             self.lengths.append(len(ids))
             self.decimals.append(",".join(map(str, ids)))
-            self.flat += ids
+            self.flat.extend(ids)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """(ids of all texts, ids per text, decimal ids joined by commas per text)."""
@@ -218,11 +219,14 @@ class PairIndexBPE:
             numbers += own
             counts.append(len(own))
             joined.append(",".join(map(self.decimals.__getitem__, own)))
-        lengths = np.array(self.lengths, dtype=np.int64)
+        lengths = np.frombuffer(self.lengths, dtype=np.int64) if self.lengths else np.zeros(0, int)
         starts = np.cumsum(lengths) - lengths
         at = np.array(numbers, dtype=np.int64)
-        ids = np.array(self.flat, dtype=np.int64)[ragged(starts[at], lengths[at])]
-        ends = np.concatenate([[0], np.cumsum(lengths[at])])[np.cumsum(counts)]
+        flat = np.frombuffer(self.flat, dtype=np.int64) if self.flat else np.zeros(0, int)
+        ids = flat[ragged(starts[at], lengths[at])]
+        ends = np.concatenate([[0], np.cumsum(lengths[at])])[
+            np.cumsum(np.array(counts, dtype=np.int64))
+        ]
         return ids, np.diff(np.concatenate([[0], ends])).astype(np.int64), joined
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
