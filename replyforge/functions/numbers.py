@@ -4,6 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from replyforge.functions.text import strip
+
+# The forms times come in: plain, with an offset, and ISO 8601 with a T.
+TIME_FORMS = (
+    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ss Z",
+    "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ssXXX",
+)
+
 
 def parse_id(value: Column) -> Column:
     """Nullable id out of text such as ``12`` or ``12.0``; junk gives NULL.
@@ -18,13 +26,18 @@ def parse_id(value: Column) -> Column:
 
 def parse_flag(value: Column) -> Column:
     """'True' / 'false' text to boolean; any other text gives NULL."""
-    flag = F.lower(F.trim(value.cast("string")))
+    flag = F.lower(strip(value.cast("string")))
     return F.when(flag == "true", True).when(flag == "false", False)
 
 
-def parse_time(value: Column, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
-    """Timestamp or NULL."""
-    return F.try_to_timestamp(value, F.lit(pattern))
+def parse_time(value: Column, forms: tuple[str, ...] = TIME_FORMS) -> Column:
+    """Timestamp or NULL; the first form that fits, then the weekday form.
+
+    Text without an offset is read in the session's time zone.
+    """
+    return F.coalesce(
+        *[F.try_to_timestamp(value, F.lit(f)) for f in forms], parse_weekday_time(value)
+    )
 
 
 def parse_weekday_time(value: Column) -> Column:

@@ -1,7 +1,8 @@
 """n-grams, vocabularies and TF-IDF in relational form.
 
-One document is one row, so term counts of a document are complete inside the
-task that reads it: the partial aggregation sends each (document, term) once.
+One document is one row.  Document and corpus frequencies come from one
+aggregation by term, combined inside each task before the shuffle; weights need
+one exchange by document, which the counts and the norm share.
 """
 
 from __future__ import annotations
@@ -13,9 +14,6 @@ from replyforge.functions.text import cleaned_tokens, drop_words, ngrams, word_t
 from replyforge.operators.ranking import top_n
 from replyforge.sources.stages import cut
 
-# A vocabulary is broadcast only when its size limit is at most this many terms.
-BROADCAST_TERMS = 100_000
-
 
 def discovery_tokens(text: Column, stop_words=packs.DISCOVERY_STOP_WORDS) -> Column:
     """Cleaned words without stop words, in order."""
@@ -38,22 +36,28 @@ def ngram_topk(df: DataFrame, text: str, n: int, k: int = 20, stop_words=packs.D
     return top_n(counts, [F.desc("n"), "ngram"], k)
 
 
-def term_counts(df: DataFrame, key: str, words: Column, sizes=(1,)) -> DataFrame:
-    """(key, term, tf) over the n-grams of the given sizes.
+def gram_lists(df: DataFrame, key: str, words: Column, sizes=(1,)) -> DataFrame:
+    """(key, grams): the n-grams of the given sizes, one row per document.
 
     The word list is projected first, so that it is computed once per row.
     """
     grams = [ngrams(F.col("_words"), n) for n in sizes]
+    return df.select(key, words.alias("_words")).select(
+        key, (F.concat(*grams) if len(grams) > 1 else grams[0]).alias("grams")
+    )
+
+
+def term_counts(lists: DataFrame, key: str) -> DataFrame:
+    """(key, term, tf), partitioned by ``key`` from the one exchange on."""
     return (
-        df.select(key, words.alias("_words"))
-        .select(key, F.explode(F.concat(*grams) if len(grams) > 1 else grams[0]).alias("term"))
+        lists.repartition(key).select(key, F.explode("grams").alias("term"))
         .groupBy(key, "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
 
 
 def vocabulary(
-    counts: DataFrame, min_df: int = 1, max_features: int | None = None
+    lists: DataFrame, min_df: int = 1, max_features: int | None = None
 ) -> DataFrame:
     """(term, df, cf): terms in at least ``min_df`` documents, the
     ``max_features`` most frequent ones if a limit is given (ties by term).
@@ -61,9 +65,13 @@ def vocabulary(
     A histogram over powers of two (64 rows at most) first discards every term
     that cannot make the limit, so the final top-n sorts little more than it keeps.
     """
+    mark = lambda grams, df, cf: F.transform(
+        grams, lambda g: F.struct(g.alias("term"), F.lit(df).alias("df"), F.lit(cf).alias("cf"))
+    )
+    every = F.concat(mark(F.col("grams"), 0, 1), mark(F.array_distinct("grams"), 1, 0))
     terms = (
-        counts.groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+        lists.select(F.inline(every)).groupBy("term")
+        .agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
         .where(F.col("df") >= min_df)
     )
     if max_features is None:
@@ -96,14 +104,13 @@ def tfidf(
     """(key, term, weight) with smoothed idf and unit-length document vectors.
 
     idf = ln((1 + documents) / (1 + df)) + 1; tf is the count, or 1 + ln(count).
-    A limited vocabulary is broadcast; an unlimited one is a shuffle join in
-    which AQE splits the rows of a term that nearly every document has.
+    Spark sizes the join with the vocabulary: a small one is sent to all tasks,
+    a large one is a shuffle join in which AQE splits very common terms.
     """
-    # Texts are tokenised once: vocabulary and weights both read these counts.
-    counts = cut(term_counts(docs, key, words, sizes), "term-counts")
-    vocab = vocabulary(counts, min_df, max_features).select("term", "df")
-    if max_features is not None and max_features <= BROADCAST_TERMS:
-        vocab = F.broadcast(vocab)
+    # Texts are tokenised once: vocabulary and weights both read these lists.
+    lists = cut(gram_lists(docs, key, words, sizes), "gram-lists")
+    vocab = cut(vocabulary(lists, min_df, max_features).select("term", "df"), "vocabulary")
+    counts = term_counts(lists, key)
     n_docs = docs.agg(F.count(F.lit(1))).scalar()
     idf = F.log((n_docs + 1) / (F.col("df") + 1)) + 1
     tf = F.log(F.col("tf").cast("double")) + 1 if sublinear else F.col("tf").cast("double")

@@ -39,10 +39,13 @@ def golden_sample(clean: DataFrame, n: int = GOLDEN_SIZE, seed: int = 42) -> Dat
 def validate_golden(
     golden: DataFrame, taxonomy: DataFrame, low: int = 150, high: int = 250
 ) -> DataFrame:
-    """(check_no, check_name, ok, bad) rows; ``bad`` counts what the check found wrong."""
+    """(check_no, check_name, ok, bad) rows; ``bad`` counts what the check found wrong.
+
+    A missing intent is an invalid one.
+    """
     allowed = taxonomy.select(F.col("name").alias("_name"))
     invalid = (
-        golden.where(F.col("intent") != packs.UNLABELED)
+        golden.where(~F.col("intent").eqNullSafe(F.lit(packs.UNLABELED)))
         .groupBy("intent").agg(F.count(F.lit(1)).alias("n"))
         .join(F.broadcast(allowed), F.col("intent") == F.col("_name"), "left_anti")
         .agg(F.count(F.lit(1)))
@@ -132,10 +135,13 @@ def require(gate: DataFrame, message: str) -> None:
 
 
 def apply_review(golden: DataFrame, queue: DataFrame) -> DataFrame:
-    """Golden set with accepted decisions merged in; other ids are ignored."""
-    accepted = queue.where(normalised(F.col("human_decision")) == "accept").select(
-        "example_id", F.col("final_intent").alias("_new"), F.lit(True).alias("_accepted")
-    )
+    """Golden set with accepted decisions merged in; other ids are ignored.
+
+    Of several accepted decisions for one id the last by final intent holds.
+    """
+    accepted = queue.where(normalised(F.col("human_decision")) == "accept").groupBy(
+        "example_id"
+    ).agg(F.max("final_intent").alias("_new"), F.lit(True).alias("_accepted"))
     hit = F.col("_accepted").isNotNull()
     return (
         golden.join(accepted, "example_id", "left")

@@ -86,8 +86,8 @@ def averages(report: DataFrame) -> DataFrame:
 def binary_metrics(
     preds: DataFrame, true: str = "expected_escalation", pred: str = "predicted_escalation"
 ) -> DataFrame:
-    """Counts and scores of the positive class (1)."""
-    t, p = F.col(true) == 1, F.col(pred) == 1
+    """Counts and scores of the positive class (1); a missing flag is not positive."""
+    t, p = F.col(true).eqNullSafe(F.lit(1)), F.col(pred).eqNullSafe(F.lit(1))
     counts = preds.agg(
         F.count_if(t & p).alias("tp"),
         F.count_if(~t & p).alias("fp"),
@@ -137,7 +137,8 @@ def wide_confusion_matrix(
 
 
 def errors(preds: DataFrame, true: str = TRUE, pred: str = PRED) -> DataFrame:
-    return preds.where(F.col(true) != F.col(pred))
+    """Wrong predictions; a missing prediction of a known class is wrong too."""
+    return preds.where(~F.col(true).eqNullSafe(F.col(pred)))
 
 
 def confusion_pairs(preds: DataFrame, k: int = 10, true: str = TRUE, pred: str = PRED) -> DataFrame:
@@ -253,7 +254,7 @@ def predictions_table(scored: DataFrame, key: str = "example_id") -> DataFrame:
         TRUE,
         F.col("intent").alias(PRED),
         "confidence",
-        (F.col(TRUE) == F.col("intent")).alias("correct"),
+        F.col(TRUE).eqNullSafe(F.col("intent")).alias("correct"),
         "expected_escalation",
         F.col("needs_escalation").cast("int").alias("predicted_escalation"),
     )

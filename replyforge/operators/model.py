@@ -142,7 +142,7 @@ def topic_clusters(
     docs: DataFrame,
     key: str,
     text: str,
-    sample: int | None = 50_000,
+    sample: int | None = None,
     k: int = 10,
     max_features: int = 2000,
     seed: int = 42,

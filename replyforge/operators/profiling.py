@@ -14,11 +14,7 @@ from replyforge.functions.numbers import parse_flag, parse_time, percent
 from replyforge.functions.text import alpha_tokens, flatten_lines
 from replyforge.operators.ranking import top_n
 from replyforge.operators.sampling import uniform_sample
-
-EXPECTED_COLUMNS = (
-    "tweet_id", "author_id", "inbound", "created_at", "text",
-    "response_tweet_id", "in_response_to_tweet_id",
-)
+from replyforge.schemas import MESSAGE_COLUMNS
 
 
 def schema_rows(df: DataFrame) -> DataFrame:
@@ -27,7 +23,7 @@ def schema_rows(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "position long, column string, type string")
 
 
-def missing_columns(df: DataFrame, expected=EXPECTED_COLUMNS) -> DataFrame:
+def missing_columns(df: DataFrame, expected=MESSAGE_COLUMNS) -> DataFrame:
     """Expected columns the table lacks, one per row."""
     spark = df.sparkSession
     want = spark.createDataFrame([(c,) for c in expected], "column string")
@@ -317,13 +313,13 @@ def word_topk(
     text: str,
     key: str,
     k: int = 25,
-    sample: int | None = 50_000,
+    sample: int | None = None,
     stop_words=packs.REPORT_STOP_WORDS,
     seed: int = 42,
 ) -> DataFrame:
     """Most frequent a-z words of three or more letters, stop words left out.
 
-    ``sample=None`` counts the whole table.
+    Counts the whole table; a ``sample`` size counts that many rows only.
     """
     texts = df.where(F.col(text).isNotNull())
     if sample is not None:

@@ -1,10 +1,10 @@
 """Exact-size reproducible samples, bins and splits.
 
-A sample is "the first n rows in seeded hash order".  Small samples use a top-n
-plan.  Large ones never rank the table: a histogram over hash prefixes finds
-the prefix where the n-th row lies, the rows of that one prefix (about one in
-a million) are ranked to find the exact last row, and the sample is then a plain
-filter ``(hash, key) <= (cut hash, cut key)``, with no shuffle of the rows.
+A sample is "the first n rows in seeded hash order", ties by key and then by a
+hash of the whole row.  The table is never ranked: a histogram over hash
+prefixes finds the prefix where the n-th row lies, rows of smaller prefixes are
+a plain filter, and only the rows of that one prefix (about one in a million,
+if keys are unique) are ranked, so the size is exact on repeated keys too.
 """
 
 from __future__ import annotations
@@ -13,17 +13,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from replyforge.functions.ordering import seeded_hash
 
-# Up to this many rows per group a per-task top-n is cheaper than a histogram.
-SMALL = 1000
 # Hex digits of the histogram prefix: at most 16**5 = 1,048,576 rows per group.
 PREFIX_DIGITS = 5
 
 
 def uniform_sample(df: DataFrame, key: str, n: int, seed: int | str = 42) -> DataFrame:
     """Exactly ``min(n, rows)`` rows without replacement."""
-    order = seeded_hash(F.col(key), seed)
-    if n <= SMALL:
-        return df.orderBy(order, key).limit(n)
     quota = df.sparkSession.range(1).select(F.lit(n).cast("long").alias("quota"))
     return take_quota(df, key, quota, seed=seed)
 
@@ -39,38 +34,43 @@ def take_quota(
 
     ``quota`` has one row (``quota``), or one row per group (``by``, ``quota``)
     for a small fixed set of groups such as intents or length bins.
-    ``key`` has to be unique.
     """
-    last = last_taken(df, key, quota, by, seed)
-    here = F.struct(seeded_hash(F.col(key), seed).alias("h"), F.col(key).alias("k"))
-    if by is None:
-        bound = last.select("last").scalar()
-        return df.where(F.coalesce(here <= bound, F.lit(True)))
-    return (
-        df.join(F.broadcast(last), by, "left")
-        .where(F.col("last").isNull() | (here <= F.col("last")))
-        .drop("last")
+    group = [by] if by else []
+    names = list(df.columns)
+    hashed = df.withColumn("_h", seeded_hash(F.col(key), seed)).withColumn(
+        "_prefix", F.substring("_h", 1, PREFIX_DIGITS)
     )
+    counted = hashed.select(*group, F.col("_prefix").alias("prefix"))
+    cuts = _cut_prefixes(counted, quota, group).select(
+        *group, F.struct("cut_prefix", "wanted").alias("_cut")
+    )
+    if by:
+        placed = hashed.join(cuts, by, "left")
+    else:
+        placed = hashed.withColumn("_cut", cuts.select("_cut").scalar())
+    inside = placed.where("_cut is null or _prefix < _cut.cut_prefix")
+    nth = F.row_number().over(
+        Window.partitionBy(*group, "_prefix").orderBy("_h", key, F.xxhash64(*names))
+    )
+    edge = placed.where("_prefix = _cut.cut_prefix").withColumn("_nth", nth).where(
+        "_nth <= _cut.wanted"
+    )
+    return inside.select(*names).unionByName(edge.select(*names))
 
 
-def last_taken(df, key, quota, by=None, seed=42) -> DataFrame:
-    """(hash, key) of the last row inside the quota; NULL where all rows fit.
-
-    Groups with a quota below 1 get a bound below every row.
-    """
-    group = [by] if by else []
-    hashed = df.select(*group, F.col(key).alias("k"), seeded_hash(F.col(key), seed).alias("h"))
-    hashed = hashed.withColumn("prefix", F.substring("h", 1, PREFIX_DIGITS))
+def _cut_prefixes(prefixes: DataFrame, quota: DataFrame, group: list[str]) -> DataFrame:
+    """(group, cut_prefix, wanted): the prefix in which a quota ends, and how many
+    of its rows are still wanted; no row for a group that fits its quota."""
     running = Window.partitionBy(*group).orderBy("prefix").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     histogram = (
-        hashed.groupBy(*group, "prefix")
+        prefixes.groupBy(*group, "prefix")
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("upto", F.sum("n").over(running))
     )
-    if by:
-        histogram = histogram.join(F.broadcast(quota), by)
+    if group:
+        histogram = histogram.join(quota, group)
     else:
         histogram = histogram.withColumn("quota", quota.select("quota").scalar())
     reached = F.col("upto") >= F.col("quota")
@@ -78,15 +78,24 @@ def last_taken(df, key, quota, by=None, seed=42) -> DataFrame:
         F.min(F.when(reached, F.struct("prefix", "upto", "n", "quota"))).alias("c"),
         F.max("upto").alias("rows"),
     )
-    # Rows still wanted from the cut prefix.
-    cutoffs = cutoffs.select(
+    return cutoffs.where("rows > c.quota").select(
         *group,
         F.col("c.prefix").alias("cut_prefix"),
         (F.col("c.quota") - (F.col("c.upto") - F.col("c.n"))).alias("wanted"),
-        (F.col("rows") > F.col("c.quota")).alias("must_cut"),
-    ).where("must_cut")
+    )
+
+
+def last_taken(df, key, quota, by=None, seed=42) -> DataFrame:
+    """(hash, key) of the last row inside the quota; NULL where all rows fit.
+
+    Groups with a quota below 1 get a bound below every row.
+    """
+    group = [by] if by else []
+    hashed = df.select(*group, F.col(key).alias("k"), seeded_hash(F.col(key), seed).alias("h"))
+    hashed = hashed.withColumn("prefix", F.substring("h", 1, PREFIX_DIGITS))
+    cutoffs = _cut_prefixes(hashed.select(*group, "prefix"), quota, group)
     if by:
-        edge = hashed.join(F.broadcast(cutoffs), by).where("prefix = cut_prefix")
+        edge = hashed.join(cutoffs, by).where("prefix = cut_prefix")
     else:
         one = cutoffs.select(F.struct("cut_prefix", "wanted")).scalar()
         edge = hashed.withColumn("c", one).where("prefix = c.cut_prefix")
@@ -101,13 +110,9 @@ def last_taken(df, key, quota, by=None, seed=42) -> DataFrame:
 
 
 def small_per_group(df: DataFrame, key: str, by: str, n: int, seed: int | str = 42) -> DataFrame:
-    """First ``n`` rows of every group; each task keeps ``n`` per group before
-    the shuffle, so this stays cheap while ``n`` is small."""
-    if n > SMALL:
-        quota = df.select(by).distinct().withColumn("quota", F.lit(n).cast("long"))
-        return take_quota(df, key, quota, by, seed)
-    order = Window.partitionBy(by).orderBy(seeded_hash(F.col(key), seed), key)
-    return df.withColumn("_nth", F.row_number().over(order)).where(f"_nth <= {n}").drop("_nth")
+    """First ``n`` rows of every group."""
+    quota = df.select(by).distinct().withColumn("quota", F.lit(n).cast("long"))
+    return take_quota(df, key, quota, by, seed)
 
 
 def length_edges(lengths: DataFrame, column: str, bins: int = 3) -> DataFrame:
@@ -144,8 +149,10 @@ def stratified_pick(
     """``n // groups`` rows of every group, topped up to ``n`` from the rest.
 
     ``n`` is a hand-labelling budget, so the picked rows are few by design.
+    Rows that belong to no group (NULL) are not picked.
     """
     per_group = n // groups
+    df = df.where(F.col(by).isNotNull())
     picked = small_per_group(df, key, by, per_group, seed).withColumn("_tier", F.lit(0))
     # The rest only has to supply n rows: take the first n + picked candidates
     # in seeded order, then drop those already picked.
@@ -158,8 +165,11 @@ def stratified_pick(
 def undersample(
     df: DataFrame, key: str, label: str, majority: str, seed: int | str = 42
 ) -> DataFrame:
-    """Cut the majority class to the size of all other classes together."""
-    known = F.col(label) != majority
+    """Cut the majority class to the size of all other classes together.
+
+    Rows without a label are not of the majority class, so they stay.
+    """
+    known = ~F.col(label).eqNullSafe(F.lit(majority))
     quota = df.agg(F.count_if(known).cast("long").alias("quota"))
     return df.where(known).unionByName(
         take_quota(df.where(F.col(label) == majority), key, quota, seed=seed)
@@ -201,7 +211,7 @@ def train_val_split(
     here = F.struct(seeded_hash(F.col(key), seed).alias("h"), F.col(key).alias("k"))
     is_val = F.col("last").isNull() | (here <= F.col("last"))
     return (
-        df.join(F.broadcast(last), label, "left")
+        df.join(last, label, "left")
         .withColumn("split", F.when(is_val, "val").otherwise("train"))
         .drop("last")
     )

@@ -36,33 +36,41 @@ def extract_brand(messages: DataFrame, brand: str) -> DataFrame:
 
 
 def reply_edges(messages: DataFrame) -> DataFrame:
-    """(node, anc): each message and its parent, where the parent exists."""
+    """(node, anc, top): each message and its parent, where the parent exists.
+
+    One edge per message: of several known parents of a repeated id the
+    smallest.  ``top`` marks parents that answer nothing, so that the root of a
+    huge thread is known before any jump is chained and never joined again.
+    """
     edges = messages.where("in_response_to_tweet_id is not null").select(
         F.col("tweet_id").alias("node"), F.col("in_response_to_tweet_id").alias("anc")
     )
-    known = messages.select(F.col("tweet_id").alias("_id")).distinct()
-    return edges.join(known, F.col("anc") == F.col("_id"), "left_semi")
+    known = messages.groupBy(F.col("tweet_id").alias("_id")).agg(
+        (F.count("in_response_to_tweet_id") == 0).alias("_top")
+    )
+    found = edges.join(known, F.col("anc") == F.col("_id")).groupBy("node").agg(
+        F.min(F.struct("anc", F.col("_top").alias("top"))).alias("edge")
+    )
+    return found.select("node", "edge.anc", "edge.top")
 
 
-def find_roots(messages: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def find_roots(messages: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(node, root) for every message that has a known parent.
 
-    The walk goes up at most ``max_depth`` parents and stops where the parent
-    is unknown or already visited.  Instead of one join per step, jumps are
-    doubled (1, 2, 4, 8, 16 parents) and the jumps that add up to ``max_depth``
-    are chained: five joins for depth 20, fewer when all threads are short.
+    The walk stops where the parent is unknown or already visited, and after
+    ``max_depth`` parents if that is given.  Instead of one join per step, jumps
+    are doubled (1, 2, 4, 8, 16 parents) until every thread is at its top, or
+    the jumps that add up to ``max_depth`` are chained: five joins for depth 20.
 
     ``back`` marks a jump that crossed an edge to an equal or larger id.  A
     cycle must contain one, so unmarked rows need no visited list; marked rows
     that did not reach a top are walked step by step.
     """
     edges = reply_edges(messages)
-    step = edges.select(
-        "node", "anc", (F.col("anc") >= F.col("node")).alias("back"), F.lit(False).alias("top")
-    )
+    step = edges.select("node", "anc", (F.col("anc") >= F.col("node")).alias("back"), "top")
     jump = cut(step, "jump-1")
-    reached = None
-    for bit in range(max_depth.bit_length()):
+    reached = _to_the_top(jump) if max_depth is None else None
+    for bit in range((max_depth or 0).bit_length()):
         if max_depth >> bit & 1:
             reached = jump if reached is None else cut(_chain(reached, jump), "reached")
         if max_depth >> (bit + 1):
@@ -77,6 +85,22 @@ def find_roots(messages: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     return plain.unionByName(_walk(suspects, jump_edges(messages), max_depth))
 
 
+def _to_the_top(jump: DataFrame) -> DataFrame:
+    """Doubles jumps until all end at a top, but for those that lead into a cycle.
+
+    Messages at every depth up to the deepest exist, so a doubling that brings
+    no message to a top leaves only cycles.
+    """
+    steps, still = 1, jump.where("not top").count()
+    while still:
+        steps *= 2
+        jump = cut(_chain(jump, jump), f"jump-{steps}")
+        before, still = still, jump.where("not top").count()
+        if still == before:
+            break
+    return jump
+
+
 def jump_edges(messages: DataFrame) -> DataFrame:
     return reply_edges(messages).select(
         F.col("node").alias("child"), F.col("anc").alias("parent")
@@ -105,29 +129,38 @@ def _chain(left: DataFrame, right: DataFrame) -> DataFrame:
     return done.unionByName(moved)
 
 
-def _walk(starts: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
-    """Step-by-step walk with a visited list (at most ``max_depth`` ids a row)."""
+def _walk(starts: DataFrame, edges: DataFrame, max_depth: int | None) -> DataFrame:
+    """Step-by-step walk with a visited list of the path so far.
+
+    Rows that have stopped are written once; only open ones go on.
+    """
     edges = cut(edges, "edges")
     front = starts.select(
         "node",
         F.col("node").alias("cur"),
         F.array().cast("array<bigint>").alias("seen"),
-        F.lit(False).alias("stop"),
     )
-    for depth in range(max_depth):
-        again = F.array_contains("seen", F.col("cur"))
-        front = front.withColumn("stop", F.col("stop") | again)
-        moved = front.where("not stop").join(edges, F.col("cur") == F.col("child"), "left").select(
+    ended = None
+    depth = 0
+    while depth != max_depth:
+        moved = front.join(edges, F.col("cur") == F.col("child"), "left").select(
             "node",
             F.coalesce("parent", "cur").alias("cur"),
             F.array_append("seen", F.col("cur")).alias("seen"),
             F.col("parent").isNull().alias("stop"),
         )
-        front = front.where("stop").unionByName(moved)
-        front = cut(front, f"walk-{depth}")
-        if front.where("not stop").isEmpty():
+        stop = F.col("stop") | F.array_contains("seen", F.col("cur"))
+        moved = cut(moved.withColumn("stop", stop), f"walk-{depth}")
+        stopped = moved.where("stop").select("node", "cur")
+        ended = stopped if ended is None else ended.unionByName(stopped)
+        front = moved.where("not stop").drop("stop")
+        depth += 1
+        if front.isEmpty():
             break
-    return front.select("node", F.col("cur").alias("root"))
+    rest = front.select("node", "cur")
+    return (rest if ended is None else ended.unionByName(rest)).select(
+        "node", F.col("cur").alias("root")
+    )
 
 
 def pair_replies(messages: DataFrame, brand: str | None = None) -> DataFrame:

@@ -46,7 +46,13 @@ def pair_replies(spark, sf):
 
 @query
 def conversation_roots(spark, sf):
-    return threads.find_roots(views.messages(spark, sf))
+    return threads.find_roots(views.messages(spark, sf), threads.MAX_DEPTH)
+
+
+@query
+def roots_with_copies(spark, sf):
+    """Roots over a table with repeated messages, to any depth."""
+    return threads.find_roots(views.dirty(spark, sf))
 
 
 def _turns(spark, sf):
@@ -78,12 +84,12 @@ def orphan_replies(spark, sf):
 
 @query
 def root_depth_cap(spark, sf):
-    return threads.find_roots(views.event_chain(spark, sf))
+    return threads.find_roots(views.event_chain(spark, sf), threads.MAX_DEPTH)
 
 
 @query
 def root_cycles(spark, sf):
-    return threads.find_roots(views.event_chain(spark, sf, cycles=True))
+    return threads.find_roots(views.event_chain(spark, sf, cycles=True), threads.MAX_DEPTH)
 
 
 # -- cleaning --------------------------------------------------------------
@@ -206,6 +212,21 @@ def date_range(spark, sf):
     return span.select(shown("earliest"), shown("latest"), "unparsed")
 
 
+@query
+def date_range_mixed(spark, sf):
+    """The same times, written with offsets and weekdays here and there."""
+    rows = views.messages(spark, sf)
+    time = F.try_to_timestamp("created_at", F.lit("yyyy-MM-dd HH:mm:ss"))
+    mixed = (
+        F.when(F.col("turn") % 3 == 1, F.date_format(time, "EEE MMM dd HH:mm:ss Z yyyy"))
+        .when(F.col("turn") % 3 == 2, F.concat("created_at", F.lit("+00:00")))
+        .otherwise(F.col("created_at"))
+    )
+    span = profiling.date_range(rows.withColumn("created_at", mixed), "created_at")
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return span.select(shown("earliest"), shown("latest"), "unparsed")
+
+
 @query
 def conversation_stats(spark, sf):
     return profiling.conversation_stats(_clean(spark, sf))
@@ -247,6 +268,15 @@ def csv_scan(spark, sf):
     return rows
 
 
+@query
+def schema_peek(spark, sf):
+    """Column types that the message CSV suggests, from all its rows."""
+    path = stage_path(spark, "messages-csv")
+    writers.export_csv(views.messages_with_response(spark, sf), path)
+    found = readers.peek_schema(spark, path)
+    return profiling.schema_rows(spark.createDataFrame([], found))
+
+
 # -- text ------------------------------------------------------------------
 
 
@@ -284,8 +314,8 @@ def trigram_topk(spark, sf):
 @query
 def doc_freq(spark, sf):
     docs = views.table(spark, sf, "documents")
-    counts = features.term_counts(docs, "doc_id", features.training_words(F.col("text")), (1, 2))
-    return features.vocabulary(counts, min_df=2, max_features=2000)
+    lists = features.gram_lists(docs, "doc_id", features.training_words(F.col("text")), (1, 2))
+    return features.vocabulary(lists, min_df=2, max_features=2000)
 
 
 @query
@@ -400,6 +430,11 @@ def golden_bin_counts(spark, sf):
     return sample.groupBy("len_bin").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def row_count_gate(spark, sf):
+    return golden_ops.row_count_gate(golden_ops.golden_sample(views.document_messages(spark, sf)))
+
+
 @query
 def undersample(spark, sf):
     labels = _weak_table(spark, sf).select("customer_tweet_id", "intent")
@@ -676,6 +711,11 @@ def judge_all(spark, sf):
     return _judged_replies(spark, sf).select("example_id", *judging.SCORES)
 
 
+@query
+def ratings_pending(spark, sf):
+    return judging.ratings_pending(views.human_ratings(spark, sf))
+
+
 @query
 def rater_agreement(spark, sf):
     return judging.rater_agreement(_judged_replies(spark, sf), views.human_ratings(spark, sf))
@@ -712,8 +752,8 @@ def judge_reply_parse(spark, sf):
 # -- models (no SQL twin) ------------------------------------------------------
 
 
-def _trained(spark, sf):
-    rows, _ = jobs.prepare_training(_weak_table(spark, sf), key="customer_tweet_id")
+def _trained(spark, sf, held_out=None):
+    rows, _ = jobs.prepare_training(_weak_table(spark, sf), held_out, key="customer_tweet_id")
     rows = cut(rows.select("customer_text", "intent", "split"), "split")
     return jobs.train(rows.where("split = 'train'").drop("split"))
 
@@ -731,10 +771,12 @@ def train_score(spark, sf):
 
 @query
 def golden_evaluation(spark, sf):
-    """Class report of the trained, routed model against the auto labels."""
-    model = _trained(spark, sf)
-    golden = views.golden(spark, sf).withColumnRenamed("intent", "true_intent")
-    preds = ml.evaluate_golden(golden, model)
+    """Class report of the trained, routed model on 250 messages kept out of training."""
+    held_out = cut(
+        sampling.uniform_sample(views.golden(spark, sf), "customer_tweet_id", 250), "held-out"
+    )
+    model = _trained(spark, sf, held_out)
+    preds = ml.evaluate_golden(held_out.withColumnRenamed("intent", "true_intent"), model)
     return _rounded(metrics.class_report(preds), "precision", "recall", "f1")
 
 

@@ -50,7 +50,7 @@ def clean(pairs: DataFrame, min_len: int = 10, long_len: int = 560) -> tuple[Dat
 
 def analyze(
     extracted: DataFrame, pairs: DataFrame, cleaned: DataFrame, brand: str,
-    sample: int | None = 50_000,
+    sample: int | None = None,
 ) -> dict[str, DataFrame]:
     """Figures of the conversation report."""
     return {
@@ -70,7 +70,7 @@ def analyze(
 
 
 def discover(
-    cleaned: DataFrame, sample: int | None = 50_000, k: int = 10
+    cleaned: DataFrame, sample: int | None = None, k: int = 10
 ) -> dict[str, DataFrame]:
     """n-grams and topic clusters of customer texts."""
     key, text = "support_tweet_id", "customer_text"

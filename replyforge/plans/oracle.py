@@ -517,6 +517,8 @@ SELECT m.tweet_id AS customer_tweet_id, m.author_id AS customer_author_id,
   s.tweet_id AS support_tweet_id, s.text AS support_text, s.created_at AS support_created_at
 FROM msgs s JOIN msgs m ON s.in_response_to_tweet_id = m.tweet_id WHERE NOT s.inbound""",
     "conversation_roots": f"""WITH RECURSIVE {MESSAGES}, {walk('msgs', 'SELECT tweet_id FROM msgs')}
+SELECT node, root FROM roots WHERE node IN (SELECT child FROM edges)""",
+    "roots_with_copies": f"""WITH RECURSIVE {MESSAGES}, {walk('msgs', 'SELECT tweet_id FROM msgs')}
 SELECT node, root FROM roots WHERE node IN (SELECT child FROM edges)""",
     "turn_index": f"WITH RECURSIVE {TURNS} SELECT * FROM turns",
     "turn_histogram": f"""WITH RECURSIVE {TURNS},
@@ -615,6 +617,9 @@ SELECT count(*) AS conversations, round(avg(turns), 6) AS avg_turns,
   round(count(*) FILTER (turns >= 2) * 100.0::DOUBLE / count(*), 6) AS multi_pct FROM conv_lengths""",
     "length_stats": f"WITH {CLEAN} {_STATS}",
     "date_range": f"""WITH {MESSAGES}, t AS (SELECT try_strptime(created_at, '%Y-%m-%d %H:%M:%S') AS ts FROM msgs)
+SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS earliest,
+  strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS latest, count(*) FILTER (ts IS NULL) AS unparsed FROM t""",
+    "date_range_mixed": f"""WITH {MESSAGES}, t AS (SELECT try_strptime(created_at, '%Y-%m-%d %H:%M:%S') AS ts FROM msgs)
 SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS earliest,
   strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS latest, count(*) FILTER (ts IS NULL) AS unparsed FROM t""",
     "conversation_stats": f"""WITH {CLEAN}
@@ -646,6 +651,10 @@ FROM clean JOIN chosen USING (conversation_id)""",
     "parse_ids": f"""WITH {MESSAGES}
 SELECT tweet_id, CASE WHEN turn % 3 = 2 THEN NULL ELSE in_response_to_tweet_id END AS parent_id
 FROM msgs""",
+    "schema_peek": """SELECT * FROM (VALUES (1::BIGINT, 'tweet_id', 'bigint'), (2, 'author_id', 'string'),
+  (3, 'inbound', 'boolean'), (4, 'created_at', 'string'), (5, 'text', 'string'),
+  (6, 'response_tweet_id', 'bigint'), (7, 'in_response_to_tweet_id', 'bigint'))
+  t(position, "column", type)""",
     "csv_scan": f"WITH {FULL} SELECT * FROM full_msgs",
     "clean_text": f"WITH {CLEANED} SELECT doc_id, clean_text FROM cleaned",
     "display_text": f"""SELECT conv_id * 1000 + turn + 1 AS tweet_id,
@@ -704,6 +713,8 @@ usable AS (
     AND customer_tweet_id NOT IN (SELECT customer_tweet_id FROM held)),
 {balanced('usable')}, {split('balanced')}
 SELECT customer_tweet_id, intent, confidence, split FROM split_rows""",
+    "row_count_gate": """SELECT least(count(*), 250)::BIGINT AS n_rows, count(*) >= 250 AS ok
+FROM documents""",
     "class_weights": f"""WITH {WEAK}, c AS (SELECT intent, count(*) AS support FROM weak GROUP BY 1)
 SELECT intent, support, round((SELECT sum(support) FROM c)::DOUBLE
   / ((SELECT count(*) FROM c) * support), 6) AS weight FROM c""",
@@ -832,6 +843,8 @@ SELECT example_id, customer_message, generated_reply, '' AS human_overall_score,
     "judge_all": f"""WITH {JUDGE_ALL}
 SELECT example_id, judge_intent_score, judge_relevance_score, judge_grounding_score,
   judge_helpfulness_score, judge_safety_score, judge_overall_score FROM judge""",
+    "ratings_pending": """SELECT count(*) FILTER ((conv_id + turn * 3) % 6 > 0) AS rated,
+  count(*) FILTER ((conv_id + turn * 3) % 6 > 0) = 0 AS pending FROM conversations""",
     "rater_agreement": f"""WITH {JUDGE_ALL},
 rated AS (
   SELECT j.judge_overall_score::DOUBLE AS j, ((s.conv_id + s.turn * 3) % 6)::DOUBLE AS h

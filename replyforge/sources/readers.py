@@ -15,15 +15,8 @@ CSV_OPTIONS = {
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet table, read by at least as many tasks as the session has slots.
-
-    A scan has fewer splits than slots only when the table is small for the
-    session (a few MB per slot); moving it once is then cheaper than parsing
-    its texts in a few tasks.  Large tables are left as they are.
-    """
-    table = spark.read.parquet(path)
-    slots = spark.sparkContext.defaultParallelism
-    return table.repartition(slots) if table.rdd.getNumPartitions() < slots else table
+    """Parquet table as Spark splits it."""
+    return spark.read.parquet(path)
 
 
 def read_csv(
@@ -71,9 +64,11 @@ def read_messages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return typed_messages(rows), rejects
 
 
-def peek_schema(spark: SparkSession, path: str, rows: int = 10_000) -> T.StructType:
-    """Column types a CSV suggests, inferred from its first rows."""
-    head = spark.read.options(**CSV_OPTIONS).csv(path).limit(rows)
+def peek_schema(spark: SparkSession, path: str, rows: int | None = None) -> T.StructType:
+    """Column types a CSV suggests: from all rows, or from the first ``rows`` if asked."""
+    head = spark.read.options(**CSV_OPTIONS).csv(path)
+    if rows is not None:
+        head = head.limit(rows)
     fields = []
     for name in head.columns:
         value = F.col(name)
@@ -93,13 +88,23 @@ def peek_schema(spark: SparkSession, path: str, rows: int = 10_000) -> T.StructT
     )
 
 
-def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
-    """(position, name) of the intents in a taxonomy YAML file."""
-    names = F.regexp_extract_all("value", F.lit(r"(?m)^\s*-\s*name:\s*([A-Za-z_]+)"), F.lit(1))
-    return (
-        spark.read.text(path, wholetext=True)
-        .select(F.posexplode(names).alias("position", "name"))
-    )
+def read_taxonomy(spark: SparkSession, path: str, section: str = "intents") -> DataFrame:
+    """(position, name) of the intents in a taxonomy YAML file (one small file).
+
+    The file is a list of entries with a ``name``, or has that list under
+    ``section``; anything else is refused.
+    """
+    try:
+        import yaml
+    except ImportError as missing:
+        raise RuntimeError("reading a taxonomy needs PyYAML on the driver") from missing
+    (text,) = [r["value"] for r in spark.read.text(path, wholetext=True).collect()]
+    found = yaml.safe_load(text)
+    entries = found.get(section) if isinstance(found, dict) else found
+    if not isinstance(entries, list) or not all(isinstance(e, dict) and "name" in e for e in entries):
+        raise ValueError(f"{path} has no list of named {section}")
+    names = [(i, str(e["name"])) for i, e in enumerate(entries)]
+    return spark.createDataFrame(names, "position int, name string")
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:

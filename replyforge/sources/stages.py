@@ -20,9 +20,17 @@ _made: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set."""
+    """The cluster's shared folder.
+
+    One process (a ``local`` master) without the setting gets a temporary
+    folder; executors of a cluster could not see such a folder, so there the
+    setting is required.
+    """
     folder = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set {_SETTING} to a folder that all executors of {master} share")
         app = spark.sparkContext.applicationId
         if app not in _made:
             _made[app] = tempfile.mkdtemp(prefix="replyforge-")

@@ -13,9 +13,13 @@ def write_stage(df: DataFrame, path: str, partition_by: str | None = None) -> No
     writer.parquet(path)
 
 
-def export_csv(df: DataFrame, path: str) -> None:
-    """CSV export that ``read_csv`` reads back, newlines and quotes included."""
-    df.write.mode("overwrite").options(
+def export_csv(df: DataFrame, path: str, order_by: tuple[str, ...] = ()) -> None:
+    """CSV export that ``read_csv`` reads back, newlines and quotes included.
+
+    With ``order_by`` the files follow each other in that order (a range
+    exchange and a sort per file, not one task).
+    """
+    (df.orderBy(*order_by) if order_by else df).write.mode("overwrite").options(
         header="true", quote='"', escape='"',
         ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false",
     ).csv(path)

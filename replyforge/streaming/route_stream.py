@@ -40,10 +40,14 @@ def route_stream(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        usable, blank = split_blank(batch, text)
-        routed = respond(score(usable), text, keep)
-        routed.write.mode("overwrite").parquet(f"{routed_path}/batch={batch_id}")
-        blank.write.mode("overwrite").parquet(f"{rejects_path}/batch={batch_id}")
+        held = batch.persist()  # two outputs, one evaluation of the source
+        try:
+            usable, blank = split_blank(held, text)
+            routed = respond(score(usable), text, keep)
+            routed.write.mode("overwrite").parquet(f"{routed_path}/batch={batch_id}")
+            blank.write.mode("overwrite").parquet(f"{rejects_path}/batch={batch_id}")
+        finally:
+            held.unpersist()
 
     return (
         stream.writeStream.foreachBatch(write)

@@ -155,3 +155,30 @@ def test_apply_review_needs_a_finished_queue(spark):
     assert rows(merged, "example_id", "intent", "difficulty", "corrected") == [
         ("GS-1", "z", "medium", True), ("GS-2", "y", "easy", False)
     ]
+
+
+def test_missing_predictions_are_errors(spark):
+    preds = spark.createDataFrame(
+        [("1", "a", None, 0.9), ("2", "a", "b", 0.9), ("3", "a", "a", 0.9), ("4", None, None, 0.9)],
+        "example_id string, true_intent string, predicted_intent string, confidence double",
+    ).withColumn("customer_text", F.lit("t"))
+    assert rows(metrics.failure_rows(preds), "example_id") == [("1",), ("2",)]
+    assert rows(metrics.confusion_pairs(preds)) == sorted([("a", "b", 1), ("a", None, 1)], key=repr)
+    assert metrics.error_samples(preds).count() == 2
+    flags = spark.createDataFrame([(1, 1), (1, None), (None, 1), (0, None)], "e int, p int")
+    got = metrics.binary_metrics(flags, "e", "p").first()
+    assert (got["tp"], got["fp"], got["fn"], got["tn"]) == (1, 1, 1, 1)
+
+
+def test_repeated_review_and_missing_intents(spark):
+    df = spark.createDataFrame(
+        [("1", "x", "t", "", ""), ("2", None, "t", "", "")],
+        "example_id string, intent string, customer_text string, difficulty string, "
+        "labeling_notes string")
+    queue = spark.createDataFrame(
+        [("1", "accept", "a"), ("1", "Accept ", "b"), ("2", "reject", "c")],
+        "example_id string, human_decision string, final_intent string")
+    assert rows(golden.apply_review(df, queue), "example_id", "intent") == [("1", "b"), ("2", None)]
+    taxonomy = spark.createDataFrame([("x",)], "name string")
+    checks = {r.check_name: r.bad for r in golden.validate_golden(df, taxonomy).collect()}
+    assert checks["invalid_intents"] == 1

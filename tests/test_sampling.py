@@ -50,6 +50,25 @@ def test_small_per_group(table):
     assert {r["count"] for r in got.collect()} == {5}
 
 
+@pytest.mark.parametrize("n", [1, 999, 1000, 1001, 2999, 3000])
+def test_sample_size_is_exact_on_repeated_keys(spark, n):
+    df = spark.range(3000).selectExpr("id % 1500 as k", "id div 1500 as copy")
+    assert sampling.uniform_sample(df, "k", n).count() == n
+    same = df.select("k", F.lit(1).alias("x"))
+    assert sampling.uniform_sample(same, "k", n).count() == n
+
+
+def test_missing_labels_and_bins(spark):
+    df = spark.createDataFrame(
+        [(k, "big", "a") for k in range(50)] + [(k, None, None) for k in range(50, 60)]
+        + [(k, "c1", "b") for k in range(60, 65)], "id long, label string, bin string")
+    cut = sampling.undersample(df, "id", "label", "big")
+    assert rows(cut.groupBy("label").count()) == sorted(
+        [("big", 15), (None, 10), ("c1", 5)], key=repr)
+    picked = sampling.stratified_pick(df, "id", "bin", 20, 2)
+    assert picked.count() == 20 and picked.where("bin is null").count() == 0
+
+
 def test_undersample_and_split(table):
     balanced = sampling.undersample(table, "id", "label", "big").cache()
     assert balanced.count() == 3000  # the majority is not larger than the rest

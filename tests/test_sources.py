@@ -1,6 +1,7 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -66,6 +67,51 @@ def test_taxonomy(spark):
     assert rows(readers.read_taxonomy(spark, _file(text, "t.yaml"))) == [(0, "b_one"), (1, "a_two")]
 
 
+def test_taxonomy_names_of_any_form(spark):
+    text = "- priority: High\n  name: tier2_support\n- {name: 'quoted'}\n"
+    assert rows(readers.read_taxonomy(spark, _file(text, "t.yaml")), "name") == [
+        ("quoted",), ("tier2_support",)]
+    with pytest.raises(ValueError):
+        readers.read_taxonomy(spark, _file("other: 1\n", "t.yaml"))
+
+
+def test_ordered_export(spark, tmp_path):
+    df = spark.createDataFrame([(5, "e"), (1, "a"), (3, "c, d")], "i long, t string")
+    writers.export_csv(df, str(tmp_path / "x"), order_by=("i",))
+    lines = []
+    for part in sorted((tmp_path / "x").glob("part-*.csv")):
+        lines += part.read_text().splitlines()[1:]
+    assert lines == ["1,a", '3,"c, d"', "5,e"]
+
+
+class _Session:
+    """Only what ``shared_folder`` asks a session for."""
+
+    def __init__(self, master, folder=None):
+        self.conf = type("C", (), {"get": lambda _, key, default=None: folder})()
+        self.sparkContext = type("S", (), {
+            "master": master, "applicationId": "app",
+            "getConf": lambda _: type("C", (), {"get": lambda _, key: folder})(),
+        })()
+
+
+def test_shared_folder():
+    assert stages.shared_folder(_Session("yarn", "hdfs:///shared/")) == "hdfs:///shared"
+    with pytest.raises(ValueError):
+        stages.shared_folder(_Session("yarn"))
+    with pytest.raises(ValueError):
+        stages.shared_folder(_Session("local-cluster[2,1,1024]"))
+    assert stages.shared_folder(_Session("local[4]"))
+
+
+def test_times_in_several_forms(spark):
+    texts = ["2017-10-31 22:10:47", "Tue Oct 31 22:10:47 +0000 2017", "2017-10-31T23:10:47+01:00",
+             "2017-10-31 22:10:47+00:00", "bad", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = profiling.date_range(df, "t").first()
+    assert got["earliest"] == got["latest"] and got["unparsed"] == 2
+
+
 def test_metrics_record(spark):
     preds = spark.createDataFrame(
         [("a", "a"), ("a", "b"), ("b", "b"), ("c", "a")], "true_intent string, predicted_intent string"

@@ -92,11 +92,18 @@ def test_tfidf(spark, limit, sublinear):
     assert {(r.i, r.term): r.weight for r in got.collect()} == pytest.approx(want)
 
 
+def test_tfidf_needs_one_exchange_by_document(spark):
+    df = spark.createDataFrame(list(enumerate(DOCS)), "i long, t string")
+    got = features.tfidf(df, "i", tx.word_tokens(F.col("t")), (1, 2), max_features=1000)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(i#") == 1
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 100])
 def test_vocabulary_limit(spark, n):
     cf = {"a": 9, "b": 8, "c": 8, "d": 2, "e": 2, "f": 1}
-    counts = spark.createDataFrame([(1, t, x) for t, x in cf.items()], "k long, term string, tf long")
-    got = {r.term for r in features.vocabulary(counts, 1, n).collect()}
+    lists = spark.createDataFrame([(1, [t] * x) for t, x in cf.items()], "k long, grams array<string>")
+    got = {r.term for r in features.vocabulary(lists, 1, n).collect()}
     assert got == set(sorted(cf, key=lambda t: (-cf[t], t))[:n])
 
 

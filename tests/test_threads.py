@@ -97,3 +97,21 @@ def test_hot_groups_are_numbered_like_cold_ones(spark):
     for group in {r[0] for r in plain}:
         numbers = [r[2] for r in sorted(plain) if r[0] == group]
         assert numbers == list(range(1, len(numbers) + 1))
+
+
+def test_repeated_replies_do_not_multiply(spark):
+    chain = [(k, k - 1 if k > 1 else None) for k in range(1, 31)]
+    df = spark.createDataFrame(
+        chain + chain[1:], "tweet_id long, in_response_to_tweet_id long")
+    got = threads.find_roots(df)
+    assert got.count() == 29 and dict(rows(got)) == {k: 1 for k in range(2, 31)}
+    capped = dict(rows(threads.find_roots(df, 20)))
+    assert capped[30] == 10 and capped[5] == 1
+
+
+def test_deep_threads_and_cycles(spark):
+    links = [(k, k - 1) for k in range(2, 200)] + [(1, None), (500, 501), (501, 500), (502, 500)]
+    df = spark.createDataFrame(links, "tweet_id long, in_response_to_tweet_id long")
+    got = dict(rows(threads.find_roots(df)))
+    assert {got[k] for k in range(2, 200)} == {1}
+    assert set(got) == {*range(2, 200), 500, 501, 502}
