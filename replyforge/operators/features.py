@@ -109,11 +109,19 @@ def tfidf(
     """
     # Texts are tokenised once: vocabulary and weights both read these lists.
     lists = cut(gram_lists(docs, key, words, sizes), "gram-lists")
-    vocab = cut(vocabulary(lists, min_df, max_features).select("term", "df"), "vocabulary")
-    counts = term_counts(lists, key)
-    n_docs = docs.agg(F.count(F.lit(1))).scalar()
-    idf = F.log((n_docs + 1) / (F.col("df") + 1)) + 1
-    tf = F.log(F.col("tf").cast("double")) + 1 if sublinear else F.col("tf").cast("double")
-    raw = counts.join(vocab, "term").select(key, "term", (tf * idf).alias("raw"))
+    vocab = cut(with_idf(vocabulary(lists, min_df, max_features), lists), "vocabulary")
+    raw = raw_weights(lists, key, vocab, sublinear).select(key, "term", "raw")
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
     return raw.select(key, "term", (F.col("raw") / norm).alias("weight"))
+
+
+def with_idf(vocab: DataFrame, lists: DataFrame) -> DataFrame:
+    """(term, idf): ln((1 + documents) / (1 + df)) + 1."""
+    n_docs = lists.agg(F.count(F.lit(1))).scalar()
+    return vocab.select("term", (F.log((n_docs + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+
+
+def raw_weights(lists: DataFrame, key: str, terms: DataFrame, sublinear: bool) -> DataFrame:
+    """(key, raw, columns of ``terms``): tf times idf before the unit length."""
+    tf = F.log(F.col("tf").cast("double")) + 1 if sublinear else F.col("tf").cast("double")
+    return term_counts(lists, key).join(terms, "term").withColumn("raw", tf * F.col("idf"))

@@ -1,64 +1,68 @@
 """Spark ML: intent classifier, topic clusters, scoring, evaluation.
 
-Vocabulary, idf weights and cluster centres are the only things that reach the
-driver; their size is set by ``max_features`` and ``k``, not by the data.
+Features are built relationally (see ``features``) and only packed into vectors
+for the fit, so no Python runs on the executors.  A fitted classifier is a table
+of terms with their idf and one coefficient per class; scoring joins it to the
+terms of the texts and adds up.  Coefficients and cluster centres are all that
+reaches the driver; their size is set by ``max_features`` and ``k``.
 """
 
 from __future__ import annotations
 
-import math
+from dataclasses import dataclass
 
-from pyspark import keyword_only
-from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import (
-    CountVectorizer, ElementwiseProduct, IDF, IndexToString, NGram, Normalizer, RegexTokenizer,
-    SQLTransformer, StringIndexer,
-)
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import DenseVector, SparseVector, VectorUDT
-from pyspark.ml.param.shared import HasInputCol, HasOutputCol
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.feature import Normalizer
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from replyforge.functions.packs import DISCOVERY_STOP_WORDS
-from replyforge.functions.text import WORD, cleaned_tokens, drop_words, flatten_lines
+from replyforge.functions.text import cleaned_tokens, drop_words, flatten_lines
+from replyforge.operators import features
 from replyforge.operators.metrics import predictions_table
 from replyforge.operators.routing import decide
 from replyforge.operators.rules import expected_escalation
 from replyforge.operators.sampling import class_weights, uniform_sample
-from replyforge.sources.stages import cut
+from replyforge.sources.stages import cut, stage_path
 
+SIZES = (1, 2)  # the classifier reads single words and pairs
 
-class SublinearTf(
-    Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable
-):
-    """Replace each count tf in a sparse vector by 1 + ln(tf).
 
-    Spark has no element-wise function over vectors, so this is the library's
-    one row-level Python function; it touches non-zero entries only.
-    """
+@dataclass
+class IntentModel:
+    """terms: (term, idf, coefficients), one coefficient per label."""
+
+    terms: DataFrame
+    bias: list[float]
+    labels: list[str]
 
-    @keyword_only
-    def __init__(self, inputCol=None, outputCol=None):
-        super().__init__()
-        self._set(**self._input_kwargs)
 
-    def _transform(self, dataset):
-        damp = F.udf(
-            lambda v: SparseVector(v.size, v.indices, [1.0 + math.log(x) for x in v.values]),
-            VectorUDT(),
-        )
-        return dataset.withColumn(self.getOutputCol(), damp(self.getInputCol()))
+def _numbered(vocab: DataFrame) -> DataFrame:
+    """Adds ``at``, the place of each term; the vocabulary's limit bounds the sort."""
+    return vocab.withColumn("at", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))
 
 
-def _idf_stage(counted: DataFrame, column: str, out: str) -> ElementwiseProduct:
-    """Scaling by idf + 1, which is the smoothed idf with the usual offset."""
-    idf = IDF(inputCol=column, outputCol="_idf").fit(counted).idf
-    return ElementwiseProduct(
-        scalingVec=DenseVector([w + 1.0 for w in idf]), inputCol=column, outputCol=out
+def _vectors(lists: DataFrame, key: str, vocab: DataFrame, size: int, sublinear: bool) -> DataFrame:
+    """``lists`` without its grams, with ``features``: tf-idf as sparse vectors.
+
+    The struct that a vector is made of is built with plain functions, written,
+    and read back as vectors.  A document without any known term gets zeros.
+    """
+    packed = features.raw_weights(lists, key, vocab, sublinear).groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct("at", "raw"))).alias("w")
     )
+    sparse = F.struct(
+        F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"),
+        F.coalesce(F.transform("w", lambda w: w["at"]), F.array().cast("array<int>")).alias("indices"),
+        F.coalesce(F.transform("w", lambda w: w["raw"]), F.array().cast("array<double>")).alias("values"),
+    )
+    rest = lists.drop("grams")
+    whole = rest.join(packed, key, "left").select(*rest.columns, sparse.alias("features"))
+    path = stage_path(lists.sparkSession, "vectors")
+    whole.write.parquet(path)
+    schema = T.StructType([*rest.schema.fields, T.StructField("features", VectorUDT())])
+    return lists.sparkSession.read.schema(schema).parquet(path)
 
 
 def train_classifier(
@@ -69,66 +73,90 @@ def train_classifier(
     max_features: int = 50_000,
     max_iter: int = 1000,
     tol: float = 1e-4,
-) -> PipelineModel:
+) -> IntentModel:
     """Class-balanced multinomial logistic regression on sublinear TF-IDF.
 
     Balanced weights sum to the row count n, so ``regParam = 1/n`` is the
-    objective with C = 1.
+    objective with C = 1.  Vocabulary ties are broken by term.
     """
-    rows = train.dropna(subset=[text, label])
-    stages = [
-        RegexTokenizer(
-            pattern=WORD, gaps=False, toLowercase=True, minTokenLength=2,
-            inputCol=text, outputCol="_words",
-        ),
-        NGram(n=2, inputCol="_words", outputCol="_pairs"),
-        SQLTransformer(statement="SELECT *, concat(_words, _pairs) AS _terms FROM __THIS__"),
-    ]
-    frame = PipelineModel(stages).transform(rows.select(text, label)).select(label, "_terms")
-    counter = CountVectorizer(
-        minDF=min_df, vocabSize=max_features, inputCol="_terms", outputCol="_tf"
-    ).fit(frame)
-    damp = SublinearTf(inputCol="_tf", outputCol="_damped")
-    counted = counter.transform(frame)
-    # Document frequency ignores the counts, so idf is fitted on them directly.
-    scale = _idf_stage(counted, "_tf", "_scaled").setInputCol("_damped")
-    unit = Normalizer(p=2.0, inputCol="_scaled", outputCol="features")
-    index = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(frame)
-    weights = class_weights(frame.select(label), label).select(label, "weight")
-    ready = PipelineModel([damp, scale, unit, index]).transform(counted).join(
-        F.broadcast(weights), label
-    ).select("features", "_y", "weight").persist()
+    rows = train.dropna(subset=[text, label]).select(
+        F.monotonically_increasing_id().alias("_row"), F.col(label).alias("_label"),
+        features.training_words(F.col(text)).alias("_words"),
+    )
+    rows = cut(rows, "training-words")
+    lists = cut(
+        features.gram_lists(rows, "_row", F.col("_words"), SIZES)
+        .join(rows.select("_row", "_label"), "_row"), "gram-lists",
+    )
+    chosen = features.with_idf(features.vocabulary(lists, min_df, max_features), lists)
+    vocab = cut(_numbered(chosen), "vocabulary")
+    size = vocab.count()
+    unit = Normalizer(p=2.0, inputCol="features", outputCol="unit")
+    labels = sorted(r["_label"] for r in lists.select("_label").distinct().collect())  # classes
+    weights = class_weights(lists.select("_label"), "_label").select("_label", "weight")
+    place = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("_label")) - 1
+    ready = unit.transform(_vectors(lists, "_row", vocab, size, sublinear=True)).join(
+        F.broadcast(weights), "_label"
+    ).select("unit", place.cast("double").alias("_y"), "weight").persist()
     try:
         n = ready.count()
-        classifier = LogisticRegression(
-            featuresCol="features", labelCol="_y", weightCol="weight", family="multinomial",
+        fitted = LogisticRegression(
+            featuresCol="unit", labelCol="_y", weightCol="weight", family="multinomial",
             maxIter=max_iter, tol=tol, regParam=1.0 / max(n, 1), elasticNetParam=0.0,
-            standardization=False, predictionCol="_prediction", probabilityCol="_probability",
-            rawPredictionCol="_raw",
+            standardization=False, aggregationDepth=2,
         ).fit(ready)
     finally:
         ready.unpersist()
-    name = IndexToString(inputCol="_prediction", outputCol="model_intent", labels=index.labels)
-    return PipelineModel([*stages, counter, damp, scale, unit, classifier, name])
+    by_term = fitted.coefficientMatrix.toArray().T.tolist()
+    coefficients = train.sparkSession.createDataFrame(
+        list(enumerate(by_term)), "at int, coefficients array<double>"
+    )
+    terms = cut(vocab.join(coefficients, "at").select("term", "idf", "coefficients"), "model-terms")
+    return IntentModel(terms, [float(b) for b in fitted.interceptVector.toArray()], labels)
 
 
-def score(df: DataFrame, model: PipelineModel) -> DataFrame:
-    """Add ``model_intent`` and ``confidence`` (the largest class probability)."""
-    scored = model.transform(df)
-    return scored.withColumn("confidence", F.array_max(vector_to_array("_probability"))).select(
-        *df.columns, "model_intent", "confidence"
+def score(df: DataFrame, model: IntentModel, text: str = "customer_text") -> DataFrame:
+    """Add ``model_intent`` and ``confidence`` (the largest class probability).
+
+    A text is scored by the sum over its terms of weight times coefficient; one
+    without any known term (or NULL) gets the biases.
+    """
+    keyed = cut(df.withColumn("_row", F.monotonically_increasing_id()), "to-score")
+    lists = features.gram_lists(keyed, "_row", features.training_words(F.col(text)), SIZES)
+    raw = features.raw_weights(lists, "_row", model.terms, sublinear=True)
+    sums = raw.groupBy("_row").agg(
+        F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("_norm"),
+        *[F.sum(F.col("raw") * F.col("coefficients")[c]).alias(f"_c{c}")
+          for c in range(len(model.labels))],
+    )
+    margins = F.array(*[
+        F.lit(b) + F.coalesce(F.col(f"_c{c}") / F.col("_norm"), F.lit(0.0))
+        for c, b in enumerate(model.bias)
+    ])
+    best = F.array_max("_margins")
+    mass = F.aggregate("_margins", F.lit(0.0), lambda s, m: s + F.exp(m - F.array_max("_margins")))
+    names = F.array(*[F.lit(x) for x in model.labels])
+    return keyed.join(sums, "_row", "left").withColumn("_margins", margins).select(
+        *df.columns,
+        F.element_at(names, F.array_position("_margins", best).cast("int")).alias("model_intent"),
+        (1.0 / mass).alias("confidence"),
     )
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: IntentModel, path: str) -> None:
+    spark = model.terms.sparkSession
+    model.terms.write.mode("overwrite").parquet(f"{path}/terms")
+    head = spark.createDataFrame([(model.bias, model.labels)], "bias array<double>, labels array<string>")
+    head.coalesce(1).write.mode("overwrite").parquet(f"{path}/head")
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str, spark: SparkSession | None = None) -> IntentModel:
+    spark = spark or SparkSession.getActiveSession()
+    head = spark.read.parquet(f"{path}/head").first()
+    return IntentModel(spark.read.parquet(f"{path}/terms"), list(head["bias"]), list(head["labels"]))
 
 
-def evaluate_golden(golden: DataFrame, model: PipelineModel, key: str = "example_id") -> DataFrame:
+def evaluate_golden(golden: DataFrame, model: IntentModel, key: str = "example_id") -> DataFrame:
     """Prediction table of a golden set (``true_intent`` given) on the routed path."""
     routed = decide(score(golden, model))
     flagged = routed.withColumn(
@@ -151,26 +179,26 @@ def topic_clusters(
     corpus = docs if sample is None else uniform_sample(docs, key, sample, seed)
     # Several passes follow; the texts are cleaned in one.
     words = corpus.select(key, text, cleaned_tokens(F.col(text)).alias("_all"))
-    corpus = cut(
+    lists = cut(
         words.where(F.size("_all") > 0).select(
             key, text,
             F.array_join("_all", " ").alias("_clean"),
-            drop_words(F.col("_all"), DISCOVERY_STOP_WORDS).alias("_terms"),
+            drop_words(F.col("_all"), DISCOVERY_STOP_WORDS).alias("grams"),
         ),
         "topic-words",
     )
-    counter = CountVectorizer(vocabSize=max_features, inputCol="_terms", outputCol="_tf").fit(corpus)
-    counted = counter.transform(corpus)
-    unit = Normalizer(p=2.0, inputCol="_scaled", outputCol="features")
-    ready = unit.transform(_idf_stage(counted, "_tf", "_scaled").transform(counted)).persist()
+    chosen = features.with_idf(features.vocabulary(lists, 1, max_features), lists)
+    vocab = cut(_numbered(chosen), "vocabulary")
+    names = [r["term"] for r in vocab.orderBy("at").collect()]  # max_features terms
+    unit = Normalizer(p=2.0, inputCol="features", outputCol="unit")
+    ready = unit.transform(_vectors(lists, key, vocab, len(names), sublinear=False)).persist()
     try:
-        model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(ready)
+        model = KMeans(k=k, seed=seed, featuresCol="unit", predictionCol="cluster").fit(ready)
     finally:
         ready.unpersist()
     clustered = model.transform(ready).select(key, text, "_clean", "cluster")
-    vocabulary = counter.vocabulary
     terms = [
-        (i, vocabulary[j], float(w))
+        (i, names[j], float(w))
         for i, centre in enumerate(model.clusterCenters())
         for j, w in enumerate(centre)
         if w > 0

@@ -758,6 +758,27 @@ def _trained(spark, sf, held_out=None):
     return jobs.train(rows.where("split = 'train'").drop("split"))
 
 
+GIVEN_LABELS = ["delivery_issue", "other_unknown", "refund_return"]
+GIVEN_BIAS = [0.1, 0.4, -0.2]
+# (term, idf, coefficient of each label)
+GIVEN_TERMS = [
+    ("refund", 2.0, [-1.0, -0.5, 3.0]), ("package", 1.7, [2.5, -0.5, 0.2]),
+    ("my", 1.1, [0.3, 0.1, 0.4]), ("delivery", 1.9, [2.0, -1.0, -0.3]),
+    ("my refund", 2.4, [-0.5, -0.2, 1.5]), ("thank you", 2.2, [-1.0, 2.0, -1.0]),
+    ("late delivery", 2.6, [1.8, -0.7, -0.4]), ("is", 1.2, [0.2, 0.3, 0.0]),
+]
+
+
+@query
+def score_given_model(spark, sf):
+    """Every message scored by a model with given coefficients."""
+    terms = spark.createDataFrame(GIVEN_TERMS, "term string, idf double, coefficients array<double>")
+    model = ml.IntentModel(terms, GIVEN_BIAS, GIVEN_LABELS)
+    return ml.score(views.spiked(spark, sf), model).select(
+        "customer_tweet_id", "model_intent", F.round("confidence", 6).alias("confidence")
+    )
+
+
 @query
 def train_score(spark, sf):
     """Classifier trained on the weak labels, every message scored and routed."""

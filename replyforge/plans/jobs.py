@@ -6,7 +6,6 @@ Each job takes tables and returns tables; write the results with
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
 from replyforge.operators import (
@@ -152,7 +151,7 @@ def leakage(train: DataFrame, golden: DataFrame, key: str = "customer_tweet_id")
     return sampling.leaked_rows(train, golden, normalised(F.col("customer_text")), key)
 
 
-def train(rows: DataFrame) -> PipelineModel:
+def train(rows: DataFrame) -> ml.IntentModel:
     return ml.train_classifier(rows)
 
 
@@ -206,8 +205,8 @@ def agreement(judged: DataFrame, human: DataFrame) -> DataFrame:
 
 
 def route(
-    messages: DataFrame, model: PipelineModel, text: str = "customer_text", keep=()
+    messages: DataFrame, model: ml.IntentModel, text: str = "customer_text", keep=()
 ) -> tuple[DataFrame, DataFrame]:
     """(nested responses, rejected blank messages)."""
     usable, rejected = routing.split_blank(messages, text)
-    return routing.respond(ml.score(usable, model), text, keep), rejected
+    return routing.respond(ml.score(usable, model, text), text, keep), rejected

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from replyforge.functions import packs
 from replyforge.functions.text import WHITESPACE, WHITESPACE_CLASS
+from replyforge.plans.catalog import GIVEN_BIAS, GIVEN_LABELS, GIVEN_TERMS
 from replyforge.plans.views import BRAND, PHRASES
 
 
@@ -508,6 +509,32 @@ _STATS = " UNION ALL ".join(
     for s in ("customer", "support")
 )
 
+def given_score() -> str:
+    """Scores of the given model: terms of a text, unit length, softmax."""
+    k = range(len(GIVEN_LABELS))
+    values = ", ".join(
+        f"({lit(t)}, {idf}::DOUBLE, " + ", ".join(f"{c}::DOUBLE" for c in cs) + ")"
+        for t, idf, cs in GIVEN_TERMS
+    )
+    names = ", ".join(f"c{i}" for i in k)
+    z = ", ".join(f"{GIVEN_BIAS[i]} + coalesce(d{i} / sqrt(nn), 0) AS z{i}" for i in k)
+    top = "greatest(" + ", ".join(f"z{i}" for i in k) + ")"
+    cases = " ".join(f"WHEN z{i} = {top} THEN {lit(GIVEN_LABELS[i])}" for i in k)
+    return f"""WITH {SPIKED},
+w AS (SELECT customer_tweet_id, regexp_extract_all(lower(customer_text), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS ws
+  FROM spiked),
+g AS (SELECT customer_tweet_id, unnest(list_concat(ws,
+  list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS term FROM w),
+tf AS (SELECT customer_tweet_id, term, count(*) AS n FROM g GROUP BY 1, 2),
+t(term, idf, {names}) AS (VALUES {values}),
+s AS (SELECT customer_tweet_id, sum(raw * raw) AS nn, {', '.join(f'sum(raw * c{i}) AS d{i}' for i in k)}
+  FROM (SELECT customer_tweet_id, (1 + ln(n)) * idf AS raw, {names} FROM tf JOIN t USING (term))
+  GROUP BY 1),
+z AS (SELECT customer_tweet_id, {z} FROM spiked LEFT JOIN s USING (customer_tweet_id))
+SELECT customer_tweet_id, CASE {cases} END AS model_intent,
+  round(1 / ({' + '.join(f'exp(z{i} - {top})' for i in k)}), 6) AS confidence FROM z"""
+
+
 SQL: dict[str, str] = {
     "extract_brand": f"""WITH {EXTRACT}
 SELECT tweet_id, author_id, inbound, created_at, text, in_response_to_tweet_id FROM ext""",
@@ -722,6 +749,7 @@ SELECT intent, support, round((SELECT sum(support) FROM c)::DOUBLE
 SELECT customer_tweet_id, intent FROM weak
 WHERE customer_tweet_id IN (SELECT customer_tweet_id FROM held)
    OR {strip('lower(customer_text)')} IN (SELECT {strip('lower(customer_text)')} FROM held)""",
+    "score_given_model": given_score(),
     "validate_golden": f"""WITH {GOLDEN}, t AS (
   SELECT count(*) AS n, count(*) - count(DISTINCT example_id) AS dup,
     count(*) FILTER (customer_text IS NULL) AS missing,

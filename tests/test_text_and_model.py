@@ -122,19 +122,27 @@ def trained(spark):
 
 
 def test_features_match_relational_form(spark, trained):
-    """The ML vectors hold the same weights as the relational TF-IDF."""
+    """The vectors hold the same weights as the relational TF-IDF, up to their length."""
     df, model = trained
     docs = df.dropna().coalesce(1).withColumn("i", F.monotonically_increasing_id())
-    counter = next(s for s in model.stages if hasattr(s, "vocabulary"))
-    vocabulary = counter.vocabulary
-    vectors = model.transform(docs).select("i", "features").collect()
-    got = {
-        (r.i, vocabulary[j]): v for r in vectors for j, v in zip(r.features.indices, r.features.values)
-    }
+    lists = features.gram_lists(docs, "i", features.training_words(F.col("customer_text")), (1, 2))
+    terms = sorted(r.term for r in model.terms.collect())
+    at = spark.createDataFrame(list(enumerate(terms)), "at int, term string")
+    vocab = model.terms.select("term", "idf").join(at, "term")
+    got = {}
+    for r in ml._vectors(lists, "i", vocab, len(terms), sublinear=True).collect():
+        length = math.sqrt(sum(v * v for v in r.features.values)) or 1.0
+        got |= {(r.i, terms[j]): v / length for j, v in zip(r.features.indices, r.features.values)}
     texts = [r.customer_text for r in docs.orderBy("i").collect()]
     assert got == pytest.approx(brute_tfidf(texts, (1, 2), 2, True))
 
 
+def test_no_python_in_the_model_path(spark, trained):
+    df, model = trained
+    plan = ml.score(df, model)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_scores_and_save_load(spark, trained):
     df, model = trained
     rows_in = df.dropna()
