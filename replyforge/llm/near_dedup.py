@@ -15,15 +15,15 @@ Search, without ever forming all pairs of a bucket:
 2. in every band bucket each node is paired with the bucket's smallest node;
 3. pairs whose signatures are far below the threshold go, the others are
    verified on the multisets themselves; links give connected components;
-4. buckets that still hold several components: only pairs across components
-   are left to look at, by signature first, then verified as before.
+4. buckets that still hold several components are compared across components,
+   in groups of bounded size: by signature first, then on the multisets, and
+   only one link is kept for each two components that it joins.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame, functions as F
 
 from replyforge.llm.words import chunks, find_words, mix, salt, shingles
@@ -34,9 +34,10 @@ SIZE = BANDS * ROWS
 SIMILARITY = (4, 5)  # links reach 4/5
 NO_ID = -(1 << 63)
 # Components of 4 bits that agree at similarity 0.8: 0.8125 * 120 = 97.5, deviation 4.3.
-MIN_AGREE = 78
+# One pair in 15,000 at exactly 0.8 lies below MIN_AGREE; bands miss as many.
+MIN_AGREE = 81
+GROUP = 2048  # members of a bucket compared at once, half of a group at most
 _LONGS = -(-SIZE // 16)
-VERIFY_CHARS = 1 << 20
 
 
 def multisets(chunk, words=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,48 +169,185 @@ def _lists(table: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(table).ravel()))
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose multisets reach the similarity; texts: (id, text)."""
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+def bags(texts: DataFrame) -> DataFrame:
+    """(id, bag) of (id, text): the multiset as sorted 64-bit keys.
+
+    The n-th occurrence of a shingle has a key of its own, so what two
+    multisets share is what their keys have in common.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for chunk in chunks(batch.column(1)):
+                hashes, counts, rows = multisets(chunk)
+                every, row = np.repeat(hashes, counts), np.repeat(rows, counts)
+                turn = np.arange(len(every)) - np.repeat(np.cumsum(counts) - counts, counts)
+                keys = mix(every + turn.astype(np.uint64) * salt(10))
+                keys = keys[np.lexsort((keys, row))]
+                ends = np.searchsorted(row, np.arange(chunk.n + 1))
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(chunk.first, chunk.n),
+                    pa.array([keys[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:])], pa.binary()),
+                ], names=["id", "bag"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, bag binary")
+
+
+def _keys_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of all bags, bounds) without copying the column."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32, len(column) + 1 + column.offset)[column.offset:]
+    return np.frombuffer(data, np.uint64, at[-1] // 8), at.astype(np.int64) // 8
+
+
+def _alike(mine: np.ndarray, theirs: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Which of the bags in ``theirs`` reach the similarity with ``mine``."""
     least, most = SIMILARITY
+    at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+    shared = np.add.reduceat((mine[at] == theirs).astype(np.int64), bounds[:-1])
+    return most * shared >= least * (len(mine) + np.diff(bounds) - shared)
+
+
+def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose multisets reach the similarity; held: (id, bag)."""
+    left = held.select(F.col("id").alias("a"), F.col("bag").alias("bag_a"))
+    right = held.select(F.col("id").alias("b"), F.col("bag").alias("bag_b"))
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "bag_a", "bag_b")
 
     def check(batches):
         for batch in batches:
-            size = pa.compute.add(pa.compute.binary_length(batch.column(2)),
-                                  pa.compute.binary_length(batch.column(3)))
-            ends = np.cumsum(size.to_numpy(zero_copy_only=False).astype(np.int64))
-            start = 0
-            while start < len(ends):
-                begun = ends[start - 1] if start else 0
-                stop = max(start + 1, int(np.searchsorted(ends, begun + VERIFY_CHARS, "right")))
-                part = batch.slice(start, stop - start)
-                keys, weights, owners = [], [], []
-                for side in (2, 3):
-                    for chunk in chunks(part.column(side), 1 << 40):
-                        h, w, r = multisets(chunk)
-                        keys.append(h)
-                        weights.append(np.stack([w * (side == 2), w * (side == 3)], axis=1))
-                        owners.append(r)
-                key, row = np.concatenate(keys), np.concatenate(owners)
-                weight = np.concatenate(weights)
-                order = np.lexsort((key, row))
-                key, row, weight = key[order], row[order], weight[order]
-                new = np.ones(len(key), dtype=bool)
-                new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
-                at = np.flatnonzero(new)
-                sums = np.add.reduceat(weight, at, axis=0)
-                n = stop - start
-                shared = np.bincount(row[at], weights=sums.min(axis=1), minlength=n)
-                union = np.bincount(row[at], weights=sums.max(axis=1), minlength=n)
-                good = most * shared >= least * union
-                yield part.select(["a", "b"]).filter(pa.array(good))
-                start = stop
+            if not len(batch):
+                continue
+            own, own_at = _keys_of(batch.column(2))
+            other, other_at = _keys_of(batch.column(3))
+            a = batch.column(0).to_numpy()
+            # Runs of one a: its bag is looked at once.
+            edges = [0, *(np.flatnonzero(a[1:] != a[:-1]) + 1).tolist(), len(a)]
+            good = np.zeros(len(a), dtype=bool)
+            for start, stop in zip(edges[:-1], edges[1:]):
+                low, high = other_at[start], other_at[stop]
+                good[start:stop] = _alike(
+                    own[own_at[start]:own_at[start + 1]], other[low:high],
+                    other_at[start:stop + 1] - low,
+                )
+            yield batch.select(["a", "b"]).filter(pa.array(good))
 
     return both.mapInArrow(check, "a long, b long")
 
 
+# -- buckets that hold several components -------------------------------------
+
+_PLACE = "bucket long, i int, j int, side int, id long, root long, sketch array<long>"
+
+
+def _groups(batches, width: int = 3):
+    """Tables of consecutive rows that agree in the first ``width`` columns."""
+    held, current = [], None
+    for batch in batches:
+        if not len(batch):
+            continue
+        columns = [batch.column(k).to_numpy() for k in range(width)]
+        change = np.zeros(len(batch), dtype=bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        edges = [0, *np.flatnonzero(change).tolist(), len(batch)]
+        for start, stop in zip(edges[:-1], edges[1:]):
+            key = tuple(c[start] for c in columns)
+            if key != current and held:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            current = key
+            held.append(batch.slice(start, stop - start))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _across(group: pa.Table):
+    """(first row, matrix) blocks: which pairs of a group are likely and apart."""
+    n = len(group)
+    root, side = group["root"].to_numpy(), group["side"].to_numpy()
+    sketch = group["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(n, _LONGS)
+    between = group["i"][0].as_py() != group["j"][0].as_py()
+    for start in range(0, n, 128):
+        x = sketch[start:start + 128, None, :] ^ sketch[None]
+        x |= x >> np.uint64(1)
+        x |= x >> np.uint64(2)
+        x &= np.uint64(0x1111111111111111)
+        agree = SIZE - np.bitwise_count(x).sum(axis=2, dtype=np.int64)
+        pairs = (agree >= MIN_AGREE) & (root[start:start + 128, None] != root[None])
+        if between:
+            pairs &= side[start:start + 128, None] != side[None]
+        yield start, pairs
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id")
+
+
+def across_components(open_rows: DataFrame, given: DataFrame) -> DataFrame:
+    """Links (a, b) that join components within a bucket.
+
+    ``open_rows``: bucket, id, root, n (rows of the bucket), sketch.  A bucket is
+    dealt in blocks of GROUP rows; every pair of blocks is a group of bounded
+    size.  A first pass over sketches leaves the rows with a likely partner in
+    another component; a second one brings their multisets together and keeps
+    one verified link for each two components that it joins.
+    """
+    blocks = F.ceil(F.col("n") / GROUP).cast("int")
+    dealt = (
+        open_rows.withColumn("side", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select(
+            "bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"),
+            "side", "id", "root", "sketch",
+        )
+    )
+
+    def likely(batches):
+        for group in _groups(batches):
+            keep = np.zeros(len(group), dtype=bool)
+            for start, pairs in _across(group):
+                keep[start:start + len(pairs)] = pairs.any(axis=1)
+            if keep.any():
+                yield from group.filter(pa.array(keep)).to_batches()
+
+    rows = cut(_dealt(dealt).mapInArrow(likely, _PLACE), "likely-rows")
+    held = bags(_texts_of(given, rows.select("id").distinct()))
+    full = rows.join(held, "id").select("bucket", "i", "j", "side", "id", "root", "sketch", "bag")
+
+    def join(batches):
+        for group in _groups(batches):
+            ids = group["id"].to_numpy()
+            label = np.unique(group["root"].to_numpy(), return_inverse=True)[1]
+            keys, at = _keys_of(group["bag"].combine_chunks())
+            a, b = [], []
+            for start, pairs in _across(group):
+                for k in range(len(pairs)):
+                    x = start + k
+                    partners = np.flatnonzero(pairs[k])
+                    partners = partners[(partners > x) & (label[partners] != label[x])]
+                    if not len(partners):
+                        continue
+                    theirs = [keys[at[y]:at[y + 1]] for y in partners]
+                    bounds = np.concatenate([[0], np.cumsum([len(t) for t in theirs])])
+                    good = _alike(keys[at[x]:at[x + 1]], np.concatenate(theirs), bounds)
+                    for y in partners[good]:
+                        if label[y] != label[x]:
+                            a.append(ids[x])
+                            b.append(ids[y])
+                            label[label == label[y]] = label[x]
+            yield pa.RecordBatch.from_pydict(
+                {"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}
+            )
+
+    return _dealt(full).mapInArrow(join, "a long, b long")
+
+
+def _texts_of(given: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the documents in ``ids``; always a shuffle, at any size."""
+    return given.join(ids.hint("merge"), "id", "left_semi")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, root) of every node with a link; root is its component's smallest id.
 
@@ -220,28 +358,31 @@ def components(links: DataFrame) -> DataFrame:
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         .where("u <> v").distinct(), "edges",
     )
-    before = None
-    while True:
+    while not _all_stars(edges):
         # Large star: of each node, the larger neighbours link to its smallest one.
         ways = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = ways.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = ways.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = ways.join(least, "u").where("v > u").select(
             F.col("v").alias("u"), F.col("m").alias("v")
         ).where("u <> v").distinct()
-        large = cut(large, "large-star")
         # Small star: the smaller neighbours and the node itself link to the smallest.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(
             small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(),
-            "small-star",
+            "stars",
         )
-        state = edges.agg(
-            F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-        ).first()
-        if state == before:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
-        before = state
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
+
+
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every node that links to a smaller one links once and is no centre."""
+    ends = edges.select(F.col("u").alias("id"), F.lit(1).alias("child"), F.lit(0).alias("centre"))
+    ends = ends.unionByName(
+        edges.select(F.col("v").alias("id"), F.lit(0).alias("child"), F.lit(1).alias("centre"))
+    )
+    sums = ends.groupBy("id").agg(F.sum("child").alias("child"), F.max("centre").alias("centre"))
+    return sums.where("child > 1 or (child = 1 and centre = 1)").isEmpty()
 
 
 def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -282,30 +423,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.col("leader").alias("a"), F.col("id").alias("b")
     ).distinct()
     first = cut(_likely(stars, sketches), "candidates")
-    links = cut(verified(first, _texts_of(given, first)), "links")
+    ids = first.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    held = cut(bags(_texts_of(given, ids)), "bags")
+    links = cut(verified(first, held), "links")
     joined = components(links)
 
-    # Buckets that hold several components: pairs across them, but for the leader's own.
+    # Pairs of two members that are not the leader, in buckets of several components.
     placed = members.where("id <> leader and n > 2").join(joined, "id", "left").select(
-        "bucket", "id", F.coalesce("root", "id").alias("root")
+        "bucket", "id", F.coalesce("root", "id").alias("root"), "n"
     )
     mixed = placed.groupBy("bucket").agg(
         F.min("root").alias("lo"), F.max("root").alias("hi")
     ).where("lo <> hi").select("bucket")
-    open_ = cut(placed.join(mixed, "bucket").join(sketches, "id"), "open-buckets")
-    other = open_.select(
-        "bucket", F.col("id").alias("b"), F.col("root").alias("root_b"),
-        F.col("sketch").alias("sketch_b"),
-    )
-    across = open_.withColumnRenamed("id", "a").withColumnRenamed("sketch", "sketch_a").join(
-        other, "bucket"
-    ).where(
-        (F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b"))
-        & (_agreement("sketch_a", "sketch_b") >= MIN_AGREE)
-    ).select("a", "b").distinct()
-    second = cut(across, "candidates")
-    if not second.isEmpty():
-        more = cut(verified(second, _texts_of(given, second)), "links")
+    open_rows = placed.join(mixed, "bucket").join(sketches, "id")
+    more = cut(across_components(open_rows, given), "links")
+    if not more.isEmpty():
         joined = components(links.unionByName(more))
 
     classes = nodes.join(joined, "id", "left").select(
@@ -318,14 +450,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def _texts_of(given: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(id, text) of the documents that occur in pairs."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(
-        pairs.select(F.col("b").alias("id"))
-    ).distinct()
-    return cut(given.join(ids, "id", "left_semi"), "candidate-texts")
-
-
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each near-duplicate class, its smallest doc_id.
 
