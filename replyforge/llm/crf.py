@@ -74,7 +74,7 @@ class Chain:
         unary = self.weights[observed].sum(axis=1)
         n = len(unary)
         if not n:
-            return np.zeros(0)
+            return (np.zeros(0), np.zeros((2, 2))) if pairs else np.zeros(0)
         m = self._matrices(unary, first)
         before = _scan(m)  # state of the word before
         ahead = before[0] * m[0] + before[1] * m[1]

@@ -30,6 +30,12 @@ BLOCK_BYTES = 8 << 20
 HITS = ("doc_id long, text_key binary, n_words long, spans array<struct<start:long,stop:long>>, "
         "items array<string>, longest long")
 
+_HITS_ARROW = pa.schema([
+    ("doc_id", pa.int64()), ("text_key", pa.binary()), ("n_words", pa.int64()),
+    ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
+    ("items", pa.list_(pa.string())), ("longest", pa.int64()),
+])
+
 
 @dataclass
 class SuffixArray:
@@ -264,17 +270,11 @@ def find_matches(
                         spans.append([{"start": a, "stop": b} for a, b in hit])
                         ids.append(own)
                         longest.append(run)
+                    columns = [keys, n_words, spans, ids, longest]
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column(0).slice(chunk.first, chunk.n),
-                            pa.array(keys, pa.binary()),
-                            pa.array(n_words, pa.int64()),
-                            pa.array(spans, pa.list_(pa.struct(
-                                [("start", pa.int64()), ("stop", pa.int64())]))),
-                            pa.array(ids, pa.list_(pa.string())),
-                            pa.array(longest, pa.int64()),
-                        ],
-                        names=["doc_id", "text_key", "n_words", "spans", "items", "longest"],
+                        [batch.column(0).slice(chunk.first, chunk.n)]
+                        + [pa.array(c, f.type) for c, f in zip(columns, list(_HITS_ARROW)[1:])],
+                        schema=_HITS_ARROW,
                     )
 
         passes.append(given.mapInArrow(search, HITS))
@@ -289,23 +289,17 @@ def find_matches(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.max("longest").alias("longest"),
     )
-    merged = F.aggregate(
-        F.array_sort("spans"), F.array().cast("array<struct<start:bigint,stop:bigint>>"),
-        lambda done, s: F.when(
-            (F.size(done) > 0) & (F.element_at(done, -1)["stop"] >= s["start"]),
-            F.concat(
-                F.slice(done, 1, F.size(done) - 1),
-                F.array(F.struct(
-                    F.element_at(done, -1)["start"].alias("start"),
-                    F.greatest(F.element_at(done, -1)["stop"], s["stop"]).alias("stop"),
-                )),
-            ),
-        ).otherwise(F.concat(done, F.array(s))),
-    )
-    return joined.select(
-        "doc_id", "text_key", "n_words", merged.alias("spans"), "items", "longest",
-        F.explode(F.sequence(F.lit(1), "copies")).alias("copy"),
-    ).drop("copy")
+
+    def unite(batches):
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                spans = _united(sorted((x["start"], x["stop"]) for x in r["spans"]))
+                r["spans"] = [{"start": x, "stop": y} for x, y in spans]
+                rows += [r] * r.pop("copies")
+            yield pa.RecordBatch.from_pylist(rows, schema=_HITS_ARROW)
+
+    return joined.mapInArrow(unite, HITS)
 
 
 def hit_words(spans: str = "spans"):

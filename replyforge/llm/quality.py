@@ -82,30 +82,36 @@ def ngrams(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
 
 
 LABELLED_ROWS = 40_000  # labelled rows used at most: the target texts and the cut
-CUT_RANGE = 200.0  # log weights beyond +-CUT_RANGE are as good as certain
-CUT_STEP = 0.5
+# The cut is looked for on the scale sign(w) log(1 + |w|), in bins of this width.
+CUT_RANGE, CUT_STEP = 20.0, 0.05
 
 
 def labelled_sample(labels: DataFrame, limit: int = LABELLED_ROWS) -> DataFrame:
-    """(doc_id, quality): at most ``limit`` rows, the first in hash order of the id.
+    """(id, quality, fit): at most ``limit`` rows, the first in hash order of the id.
 
-    Ids labelled more than once count as good only if always good; rows with a
+    Half of them (``fit``) supply the target texts, the others, whose n-grams the
+    target model has not seen, the cut.  Ids labelled more than once count as good only if always good; rows with a
     NULL id or label are left out.
     """
     clean = labels.where("doc_id is not null and quality is not null").groupBy(
         F.col("doc_id").cast("long").alias("_label_id")
     ).agg(F.min("quality").cast("int").alias("_quality"))
-    return clean.orderBy(F.xxhash64("_label_id"), "_label_id").limit(limit)
+    return clean.orderBy(F.xxhash64("_label_id"), "_label_id").limit(limit).withColumn(
+        "_fit", F.pmod(F.xxhash64("_label_id", F.lit(1)), F.lit(2)) == 0
+    )
 
 
 def _with_labels(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """(doc_id, text, quality): NULL quality where a document is not in the sample."""
+    """(doc_id, text, target, quality): is it a target text; its label if the cut may use it."""
     given = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     )
     return given.join(
         F.broadcast(sample), given["doc_id"] == sample["_label_id"], "left"  # LABELLED_ROWS rows
-    ).select("doc_id", "text", "_quality")
+    ).select(
+        "doc_id", "text", F.coalesce(F.col("_fit") & (F.col("_quality") == 1), F.lit(False)).alias("_target"),
+        F.when(~F.col("_fit"), F.col("_quality")).alias("_quality"),
+    )
 
 
 def count_models(docs: DataFrame, sample: DataFrame) -> np.ndarray:
@@ -115,7 +121,7 @@ def count_models(docs: DataFrame, sample: DataFrame) -> np.ndarray:
         raw = np.zeros(BUCKETS, dtype=np.int64)
         target = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
-            good = np.array([q == 1 for q in batch.column(2).to_pylist()], dtype=bool)
+            good = batch.column(2).to_numpy(zero_copy_only=False)
             for chunk in chunks(batch.column(1)):
                 grams, bounds = ngrams(chunk)
                 raw += np.bincount(grams, minlength=BUCKETS)
@@ -168,7 +174,7 @@ def score(docs: DataFrame, sample: DataFrame, ratio, temperature: float = TEMPER
         for batch in batches:
             weights, keys = _keys(batch, 0, 1, ratio.value, temperature)
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column(0), "quality": batch.column(2),
+                "doc_id": batch.column(0), "quality": batch.column(3),
                 "log_weight": weights, "key": keys,
             })
 
@@ -183,9 +189,8 @@ def sample_size(scored: DataFrame) -> int:
     The cut on the log weight that errs least on the labelled sample (the middle
     of the widest such gap), counted over all raw rows.
     """
-    place = F.floor(
-        F.least(F.greatest(F.col("log_weight"), F.lit(-CUT_RANGE)), F.lit(CUT_RANGE)) / CUT_STEP
-    ).cast("long")
+    scaled = F.signum("log_weight") * F.log1p(F.abs("log_weight"))
+    place = F.floor(F.least(F.greatest(scaled, F.lit(-CUT_RANGE)), F.lit(CUT_RANGE)) / CUT_STEP).cast("long")
     bins = scored.groupBy(place.alias("bin")).agg(
         F.count("*").alias("n"),
         F.count_if(F.col("quality") == 1).alias("good"),

@@ -30,7 +30,8 @@ LABELLED_ROWS = 30_000  # labelled documents used at most
 CHAIN_ROWS = 1_500  # of these, documents whose words the CRF and the score are fitted to
 LEXICON = 100_000  # entries kept at most, the most toxic first
 BEGINNINGS = (3, 4, 5, 6, 7, 8)  # bytes of a word's beginning that are looked up
-PRIOR_ROWS = 2.0
+PRIOR_ROWS = 3.0
+LEAST_ROWS = 3  # toxic documents that a lexicon entry occurs in
 LEVELS = np.array([0.25, 0.35, 0.45, 0.55, 0.65, 0.75, 0.85])
 THRESHOLD = 0.3
 
@@ -197,7 +198,7 @@ def build_lexicon(texts: DataFrame) -> Lexicon:
         F.sum("documents").alias("documents"), F.sum("toxic").alias("toxic")
     )
     share = (F.col("toxic") + PRIOR_ROWS * base) / (F.col("documents") + PRIOR_ROWS)
-    best = counted.where((F.col("toxic") >= 2) & (share >= LEVELS[0])).orderBy(
+    best = counted.where((F.col("toxic") >= LEAST_ROWS) & (share >= LEVELS[0])).orderBy(
         share.desc(), F.desc("documents"), "key"
     ).limit(LEXICON).collect()  # LEXICON rows at most
     keys = np.array([r["key"] for r in best], dtype=np.int64).view(np.uint64)
@@ -243,7 +244,10 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
     word_labels = (named & (np.repeat(toxic, sizes) == 1)).astype(np.int64)
     chain = fit(observed, first, word_labels, N_FEATURES)
     p = chain.marginals(observed, first)
-    curve = _logistic(document_features(p, bounds), toxic)
+    if toxic.any():
+        curve = _logistic(document_features(p, bounds), toxic)
+    else:
+        curve = np.array([-4.0, 0.0, 0.0, 0.0])  # nothing is known to be toxic
     return Tagger(lexicon, chain, curve)
 
 

