@@ -55,14 +55,15 @@ def jump_tables(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     found = base.join(parents, _same(base, parents, "up", "up"), "left").select(
         base["tree"], "node", parents["up"], "score"
     )
-    reach = cut(found.select("tree", "node", "up", F.lit(1).alias("depth"),
+    reach = cut(found.select("tree", "node", "up", F.lit(1).cast("long").alias("depth"),
                              F.col("score").alias("gain")), "jump")
     rounds: list[DataFrame] = []
     last_open = None
     while True:
         n_open = reach.where("up is not null").count()
-        # A round in which no message reaches a root leaves only cycles.
-        if n_open == 0 or (n_open == last_open and len(rounds) > 40):
+        # Trees have messages at every depth: a round in which none reaches its
+        # root leaves only cycles.
+        if n_open in (0, last_open):
             return rounds, reach.where("up is null").drop("up")
         last_open = n_open
         rounds.append(reach.where("up is not null").select("tree", "node", "up"))
