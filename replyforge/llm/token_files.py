@@ -28,7 +28,7 @@ from replyforge.sources.stages import stage_path
 
 SEGMENT_IDS = 1 << 17
 LANES = 2048  # blocks coded in step
-KEEP_WORDS = 500_000
+KEEP_WORDS = 200_000
 NO_ID = -(1 << 63)
 
 SEGMENT = ("part int, seq int, n_ids long, doc_ids binary, doc_tokens binary, "

@@ -231,8 +231,15 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
                                for a, b in zip(words.bounds[:-1], words.bounds[1:])],
                 })
 
-    chosen = texts.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "text").limit(chain_rows)
-    rows = chosen.mapInArrow(encode, "toxic int, levels binary").collect()  # chain_rows rows
+    # Ids are chosen first: only chosen texts move.
+    some = sample.select("_label_id").orderBy(
+        F.xxhash64("_label_id", F.lit(1)), "_label_id"
+    ).limit(chain_rows)
+    chosen = texts.join(F.broadcast(some), texts["doc_id"] == some["_label_id"]).select(
+        "doc_id", "text", "_toxic"
+    )
+    rows = chosen.mapInArrow(encode, "toxic int, levels binary").collect()  # chain_rows texts
+    rows.sort(key=lambda r: (r["toxic"], bytes(r["levels"])))  # the same sums in any run
     toxic = np.array([r["toxic"] for r in rows], dtype=np.int64)
     sizes = np.array([len(r["levels"]) for r in rows], dtype=np.int64)
     both = np.frombuffer(b"".join(bytes(r["levels"]) for r in rows), np.uint8).astype(np.int64)

@@ -1,13 +1,8 @@
-import os
-import sys
-
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
-
-from prose import prose  # noqa: E402
+from llm.prose import prose
 
-from replyforge.llm.queries import import_here  # noqa: E402
+from replyforge.llm.queries import import_here
 
 @pytest.fixture(scope="session")
 def llm(spark):

@@ -7,9 +7,9 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from helpers import rows
+from llm.helpers import rows
 
-from prose import prose
+from llm.prose import prose
 from replyforge.llm import decontaminate, fingerprints, near_dedup, quality, toxicity
 from replyforge.llm.crf import Chain
 from replyforge.llm.words import chunks, find_words, shingles

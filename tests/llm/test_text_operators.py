@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from helpers import rows
+from llm.helpers import rows
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
