@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with a pair occurrence index.
 
 Texts are cut at blanks between two non-blank characters, where no pre-token
-can cross, so each distinct cut piece is encoded once per worker and kept.
+can cross, so each distinct cut piece is encoded once per task and kept.
 New pre-tokens of a batch are merged together: every adjacent pair is listed
 under its merge rank with all its positions, the active ranks are applied in
 ascending order to all their positions, and each merge updates the lists of
@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-KEEP_PIECES = 500_000  # entries of a worker's caches before they start anew
+KEEP_PIECES = 300_000  # entries of a task's caches before they start anew
 BATCH_CHARS = 1 << 21
 
 # Fixed value: the pre-token rule of byte-level BPE files with use_regex.
@@ -84,9 +84,9 @@ class PairIndexBPE:
         self.token_length = np.array([len(t) for t in tokens], dtype=np.int64)
         self.token_start = np.cumsum(self.token_length) - self.token_length
         self.token_bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.pre_tokens: dict[str, list[int]] = {}
         self.whole: dict[str, int] = {}  # piece -> number
         self.led: dict[str, int] = {}  # the same, of the piece with a blank before it
@@ -189,7 +189,7 @@ class PairIndexBPE:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """(ids of all texts, ids per text, decimal ids joined by commas per text)."""
         if len(self.lengths) > KEEP_PIECES or len(self.pre_tokens) > KEEP_PIECES:
-            self._forget()
+            self.forget()
         cut: list[list[str]] = []
         plain: list[bool] = []
         heads: set[str] = set()
@@ -256,6 +256,25 @@ def bounded(texts: list[str], limit: int = BATCH_CHARS) -> Iterator[tuple[int, i
         yield start, len(texts)
 
 
+def _encoded(model: PairIndexBPE, batch: pa.RecordBatch, ids: bool) -> Iterator[pa.RecordBatch]:
+    texts = batch.column(1).to_pylist()
+    for start, stop in bounded(texts):
+        found, counts, joined = model.encode(texts[start:stop])
+        back = model.decode(found, counts)
+        columns = {
+            "doc_id": batch.column(0).slice(start, stop - start),
+            "n_tokens": pa.array(counts),
+            "ids_sha256": [hashlib.sha256(j.encode()).hexdigest() for j in joined],
+            "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in back],
+        }
+        if ids:
+            ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            columns["ids"] = pa.ListArray.from_arrays(
+                pa.array(ends), pa.array(found.astype(np.int32))
+            )
+        yield pa.RecordBatch.from_pydict(columns)
+
+
 def encode_documents(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]) of every whole text.
 
@@ -263,27 +282,14 @@ def encode_documents(docs: DataFrame, path: str, ids: bool = False) -> DataFrame
     repeated rows and NULL ids are kept; other columns are not looked at.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    kind = pa.list_(pa.int32())
 
     def encode(batches):
         model = tokenizer(path)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for start, stop in bounded(texts):
-                found, counts, joined = model.encode(texts[start:stop])
-                back = model.decode(found, counts)
-                columns = {
-                    "doc_id": batch.column(0).slice(start, stop - start),
-                    "n_tokens": pa.array(counts),
-                    "ids_sha256": [hashlib.sha256(j.encode()).hexdigest() for j in joined],
-                    "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in back],
-                }
-                if ids:
-                    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                    columns["ids"] = pa.ListArray.from_arrays(
-                        pa.array(ends), pa.array(found.astype(np.int32))
-                    ).cast(kind)
-                yield pa.RecordBatch.from_pydict(columns)
+        try:
+            for batch in batches:
+                yield from _encoded(model, batch, ids)
+        finally:
+            model.forget()  # the worker lives on, for other tasks
 
     given = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")

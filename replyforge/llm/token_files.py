@@ -8,7 +8,7 @@ k holds the documents before those of file k + 1, in ascending doc_id order;
 ``read_token_files`` needs nothing but the files.
 
 Texts are cut at single blanks and line feeds, which the word tokenizer drops
-and no token crosses, and each distinct cut is encoded once per worker.
+and no token crosses, and each distinct cut is encoded once per task.
 """
 
 from __future__ import annotations
@@ -45,9 +45,9 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.starts = np.zeros(0, dtype=np.int64)
         self.sizes = np.zeros(0, dtype=np.int64)
@@ -56,7 +56,7 @@ class WordEncoder:
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by ``end_id``; ids per text)."""
         if len(self.known) > KEEP_WORDS:
-            self._forget()
+            self.forget()
         cut = [text.replace("\n", " ").split(" ") for text in texts]
         new = sorted({w for words in cut for w in words} - self.known.keys())
         if new:
@@ -137,6 +137,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, folder: str | Non
             done.append((list(ids), list(counts), np.concatenate(runs)))
             ids.clear(), counts.clear(), runs.clear()
 
+        encoder.forget()  # what an earlier task of this worker has left
         for batch in batches:
             texts, keys = batch.column(1).to_pylist(), batch.column(0).to_pylist()
             for start, stop in bounded(texts, 1 << 19):
@@ -150,6 +151,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, folder: str | Non
                     yield _segments(part, seq, *zip(*done))
                     seq += len(done)
                     done = []
+        encoder.forget()
         if runs:
             close()
         if done:
