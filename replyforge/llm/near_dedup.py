@@ -11,7 +11,8 @@ similarity.  Points are only made up to a time by which all components are
 expected to be hit; texts left incomplete get twice the time.
 
 Search, without ever forming all pairs of a bucket:
-1. texts with equal multisets are one node (its smallest doc_id);
+1. texts with equal multisets are one node, with a number of its own; ids of
+   documents only name classes, they never tell texts apart or bring them together;
 2. in every band bucket each node is paired with the bucket's smallest node;
 3. pairs whose signatures are far below the threshold go, the others are
    verified on the multisets themselves; links give connected components;
@@ -32,7 +33,6 @@ from replyforge.sources.stages import cut
 BANDS, ROWS = 24, 5
 SIZE = BANDS * ROWS
 SIMILARITY = (4, 5)  # links reach 4/5
-NO_ID = -(1 << 63)
 # Components of 4 bits that agree at similarity 0.8: 0.8125 * 120 = 97.5, deviation 4.3.
 # One pair in 15,000 at exactly 0.8 lies below MIN_AGREE; bands miss as many.
 MIN_AGREE = 81
@@ -137,15 +137,17 @@ def _agreement(a: str, b: str) -> Column:
     return F.lit(SIZE) - differ
 
 
-_SIGNED = "id long, high long, low long, bands array<long>, sketch array<long>"
+_SIGNED = (
+    "doc_id long, text_hash binary, high long, low long, bands array<long>, sketch array<long>"
+)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(id, high, low, bands, sketch): multiset digest and signature of every row."""
+    """Multiset digest (high, low) and signature of every row of (doc_id, text_hash, text)."""
 
     def run(batches):
         for batch in batches:
-            for chunk in chunks(batch.column(1)):
+            for chunk in chunks(batch.column(2)):
                 hashes, counts, rows = multisets(chunk)
                 weight = counts.astype(np.uint64)
                 digest = []
@@ -157,9 +159,10 @@ def signatures(docs: DataFrame) -> DataFrame:
                 signature = bag_minhash(hashes, counts, rows, chunk.n)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(chunk.first, chunk.n),
+                    batch.column(1).slice(chunk.first, chunk.n),
                     pa.array(digest[0]), pa.array(digest[1]),
                     _lists(_bands(signature)), _lists(_nibbles(signature)),
-                ], names=["id", "high", "low", "bands", "sketch"])
+                ], names=["doc_id", "text_hash", "high", "low", "bands", "sketch"])
 
     return docs.mapInArrow(run, _SIGNED)
 
@@ -284,7 +287,7 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "id")
 
 
-def across_components(open_rows: DataFrame, given: DataFrame) -> DataFrame:
+def across_components(open_rows: DataFrame, given: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links (a, b) that join components within a bucket.
 
     ``open_rows``: bucket, id, root, n (rows of the bucket), sketch.  A bucket is
@@ -312,7 +315,7 @@ def across_components(open_rows: DataFrame, given: DataFrame) -> DataFrame:
                 yield from group.filter(pa.array(keep)).to_batches()
 
     rows = cut(_dealt(dealt).mapInArrow(likely, _PLACE), "likely-rows")
-    held = bags(_texts_of(given, rows.select("id").distinct()))
+    held = bags(_texts_of(given, nodes, rows.select("id").distinct()))
     full = rows.join(held, "id").select("bucket", "i", "j", "side", "id", "root", "sketch", "bag")
 
     def join(batches):
@@ -343,9 +346,15 @@ def across_components(open_rows: DataFrame, given: DataFrame) -> DataFrame:
     return _dealt(full).mapInArrow(join, "a long, b long")
 
 
-def _texts_of(given: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text) of the documents in ``ids``; always a shuffle, at any size."""
-    return given.join(ids.hint("merge"), "id", "left_semi")
+def _texts_of(given: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text), one row for each node in ``ids``; always a shuffle, at any size.
+
+    A node's first row is found by its id and text.  Rows that repeat both hold
+    one text, of which one copy is left.
+    """
+    wanted = nodes.join(ids, "id", "left_semi").select("id", *_FIRST)
+    keyed = given.select(*_row_key("doc_id", "text_hash"), "text")
+    return keyed.join(wanted.hint("merge"), _FIRST).select("id", "text").dropDuplicates(["id"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -394,24 +403,46 @@ def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     ).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, class_id, rep_id), one row per row of ``docs``.
+_FIRST = ["first_none", "first_id", "first_hash"]
 
-    class_id is the smallest doc_id of the group of texts linked, over any
-    number of links, by weighted Jaccard similarity of 0.8 or more between
-    their multisets of five-word shingles; rep_id is the smallest doc_id with
-    the same multiset.  A text of one to four words is one shingle; a text
-    without words is alike only to equal texts (NULL reads as empty).  Rows of
-    one doc_id are versions of one document and share a class.  A NULL doc_id
-    counts as the smallest id.  Other columns are not looked at.
+
+def _row_key(doc_id: str, text_hash: str) -> list[Column]:
+    """Three columns, never NULL, that tell rows apart; their order puts NULL ids last."""
+    return [
+        F.col(doc_id).isNull().alias("first_none"),
+        F.coalesce(doc_id, F.lit(0).cast("long")).alias("first_id"),
+        F.col(text_hash).alias("first_hash"),
+    ]
+
+
+def _first_id(row: str) -> Column:
+    """The doc_id of a row key."""
+    return F.when(~F.col(f"{row}.first_none"), F.col(f"{row}.first_id"))
+
+
+def _text_hash(text: Column) -> Column:
+    """128 bits of a text; NULL reads as empty."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(signatures of all rows, nodes with their ``root``): what near copies are linked to.
+
+    Nodes: id, high, low, root and the key of their first row.
     """
     given = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        _text_hash(F.col("text")).alias("text_hash"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
     signed = cut(signatures(given), "signatures")
+    # Numbers differ in any run of a task; they hold once the table is written.
     nodes = cut(
-        signed.groupBy("high", "low", "bands", "sketch").agg(F.min("id").alias("id")), "nodes"
+        signed.groupBy("high", "low", "bands", "sketch").agg(
+            F.min(F.struct(*_row_key("doc_id", "text_hash"))).alias("first")
+        ).select(
+            F.monotonically_increasing_id().alias("id"), "high", "low", "bands", "sketch", "first.*"
+        ), "nodes",
     )
     sketches = nodes.select("id", "sketch")
     rows = nodes.select("id", F.explode("bands").alias("bucket"))
@@ -424,7 +455,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ).distinct()
     first = cut(_likely(stars, sketches), "candidates")
     ids = first.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    held = cut(bags(_texts_of(given, ids)), "bags")
+    held = cut(bags(_texts_of(given, nodes, ids)), "bags")
     links = cut(verified(first, held), "links")
     joined = components(links)
 
@@ -436,31 +467,51 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.min("root").alias("lo"), F.max("root").alias("hi")
     ).where("lo <> hi").select("bucket")
     open_rows = placed.join(mixed, "bucket").join(sketches, "id")
-    more = cut(across_components(open_rows, given), "links")
+    more = cut(across_components(open_rows, given, nodes), "links")
     if not more.isEmpty():
         joined = components(links.unionByName(more))
-
-    classes = nodes.join(joined, "id", "left").select(
-        "high", "low", F.col("id").alias("rep_id"), F.coalesce("root", "id").alias("class_id")
+    return signed, nodes.join(joined, "id", "left").select(
+        "high", "low", F.coalesce("root", "id").alias("root"), F.struct(*_FIRST).alias("first")
     )
-    own = signed.select("id", "high", "low").join(classes, ["high", "low"])
-    real = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
-    return own.select(
-        F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), real("class_id"), real("rep_id")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id, rep_id), one row per row of ``docs``.
+
+    class_id is the smallest doc_id of the group of texts linked, over any
+    number of links, by weighted Jaccard similarity of 0.8 or more between
+    their multisets of five-word shingles; rep_id is the smallest doc_id with
+    the same multiset.  A text of one to four words is one shingle; a text
+    without words is alike only to equal texts (NULL reads as empty).  Only
+    texts decide on classes: rows that repeat a doc_id, or have none, with
+    different texts are different documents.  A NULL doc_id comes after all
+    others, so class_id is NULL only where the whole class has no id.  Other
+    columns are not looked at.
+    """
+    signed, nodes = _classified(docs)
+    smallest = nodes.groupBy("root").agg(F.min("first").alias("smallest"))
+    classes = nodes.join(smallest, "root").select(
+        "high", "low", _first_id("smallest").alias("class_id"), _first_id("first").alias("rep_id")
     )
+    own = signed.select("doc_id", "high", "low").join(classes, ["high", "low"])
+    return own.select("doc_id", "class_id", "rep_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each near-duplicate class, its smallest doc_id.
 
-    Of rows that repeat the kept doc_id one stays.  All columns pass as they are.
+    Classes are those of ``near_duplicates``; where rows repeat the smallest
+    doc_id with different texts, the text with the smallest hash stays.  Of
+    rows with one id and one text, a hash of the other columns picks one, so
+    the choice is the same in any run.  All columns pass as they are.
     """
-    lost = near_duplicates(docs).where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(
-        F.coalesce("doc_id", F.lit(NO_ID)).alias("_lost_id")
-    ).distinct()
-    keyed = docs.withColumn("_own_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    return keyed.join(lost, keyed["_own_id"] == lost["_lost_id"], "left_anti").dropDuplicates(
-        ["_own_id"]
-    ).drop("_own_id")
-
-
+    _, nodes = _classified(docs)
+    kept = nodes.groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    ordered = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    # Copies go before the exchange; many rows of one id and text are no hot key.
+    rows = docs.select(
+        F.struct(*columns).alias("_row"), F.xxhash64(*ordered).alias("_order"),
+        F.col("doc_id").cast("long").alias("_id"), _text_hash(F.col("text")).alias("_hash"),
+    ).groupBy(*_row_key("_id", "_hash")).agg(F.min_by("_row", "_order").alias("_row"))
+    return rows.join(kept, _FIRST, "left_semi").select("_row.*")

@@ -125,6 +125,34 @@ def test_families_across_components(llm, monkeypatch):
     assert rows(got, "doc_id", "class_id") == sorted(brute_classes(docs), key=repr)
 
 
+def test_texts_without_an_id_and_with_a_repeated_id(llm):
+    """Ids neither bring different texts together nor pass links on."""
+    a, b, c, d, e, f = (prose(200 + k, 60) for k in range(6))
+    near = lambda text: text + " more"
+    docs = [(None, a), (None, b), (None, c), (None, c), (None, near(c)), (1, near(a)), (2, near(b)),
+            (7, d), (7, e), (7, e), (8, near(d)), (9, near(e)), (None, f), (-(1 << 63), "smallest")]
+    df = llm.createDataFrame(
+        [(i, t, n, {"k": n}) for n, (i, t) in enumerate(docs)],
+        "doc_id long, text string, n int, m map<string,int>",
+    )
+    got = near_dedup.near_duplicates(df)
+    low = -(1 << 63)
+    assert rows(got) == sorted([
+        (None, 1, None), (1, 1, 1), (None, 2, None), (2, 2, 2),
+        *[(None, None, None)] * 4,  # c three times, f
+        (7, 7, 7), (8, 7, 8), (7, 7, 7), (7, 7, 7), (9, 7, 9), (low, low, low),
+    ], key=repr)
+    kept = near_dedup.keep_one(df)
+    assert kept.columns == df.columns
+    found = Counter((r.doc_id, r.text) for r in kept.collect())
+    of_c = found.pop((None, c), 0) + found.pop((None, near(c)), 0)
+    assert of_c == 1
+    assert found == Counter(
+        [(1, near(a)), (2, near(b)), (7, d), (7, e), (None, f), (low, "smallest")])
+    dealt = near_dedup.keep_one(df.orderBy("n", ascending=False).repartition(3))
+    assert rows(dealt, "doc_id", "n") == rows(kept, "doc_id", "n")
+
+
 def test_components_of_chains_and_stars(llm):
     links = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 200)]
     df = llm.createDataFrame(links, "a long, b long")
