@@ -65,11 +65,13 @@ class Chain:
         m[:, :, first] = emit[None, :, first]
         return m
 
-    def marginals(self, observed: np.ndarray, first: np.ndarray, pairs: bool = False):
+    def marginals(self, observed: np.ndarray, first: np.ndarray, pairs: bool = False,
+                  weights: np.ndarray | None = None):
         """P(state 1) of every word; with ``pairs`` also the expected transitions.
 
         ``observed`` holds the numbers of each word's active features, one row
-        per word; ``first`` marks the words that begin a document.
+        per word; ``first`` marks the words that begin a document; ``weights``
+        are the words' weights in the expected transitions.
         """
         unary = self.weights[observed].sum(axis=1)
         n = len(unary)
@@ -89,25 +91,29 @@ class Chain:
             return p
         joint = before[:, None, :] * m * after[None, :, :]
         joint /= joint.sum(axis=(0, 1))
+        if weights is not None:
+            joint *= weights
         return p, joint[:, :, ~first].sum(axis=2)
 
 
 def fit(
     observed: np.ndarray, first: np.ndarray, labels: np.ndarray, n_features: int,
-    steps: int = 80, rate: float = 0.2, decay: float = 1e-3,
+    steps: int = 80, rate: float = 0.2, decay: float = 1e-3, weights: np.ndarray | None = None,
 ) -> Chain:
-    """Likelihood ascent (Adam, whole batch) on labelled words."""
+    """Likelihood ascent (Adam, whole batch) on labelled words; ``weights``: one per word."""
+    if weights is None:
+        weights = np.ones(len(labels))
     chain = Chain(np.zeros(n_features), np.zeros((2, 2)))
     known = np.zeros((2, 2))
     inner = np.flatnonzero(~first)
-    np.add.at(known, (labels[inner - 1], labels[inner]), 1)
-    have = np.bincount(observed.ravel(), np.repeat(labels, observed.shape[1]), n_features)
-    scale = 1.0 / max(labels.sum(), 1)
+    np.add.at(known, (labels[inner - 1], labels[inner]), weights[inner])
+    have = np.bincount(observed.ravel(), np.repeat(labels * weights, observed.shape[1]), n_features)
+    scale = 1.0 / max((labels * weights).sum(), 1)
     m = np.zeros(n_features + 4)
     v = np.zeros(n_features + 4)
     for t in range(1, steps + 1):
-        p, moves = chain.marginals(observed, first, pairs=True)
-        expected = np.bincount(observed.ravel(), np.repeat(p, observed.shape[1]), n_features)
+        p, moves = chain.marginals(observed, first, pairs=True, weights=weights)
+        expected = np.bincount(observed.ravel(), np.repeat(p * weights, observed.shape[1]), n_features)
         slope = np.concatenate([have - expected, (known - moves).ravel()]) * scale
         slope -= decay * np.concatenate([chain.weights, chain.transitions.ravel()])
         m = 0.9 * m + 0.1 * slope

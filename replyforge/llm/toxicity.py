@@ -5,7 +5,9 @@
 2. Words of toxic documents that the lexicon names are labelled toxic, all
    words of clean documents are labelled clean; the CRF is fitted to these
    labelled words.  A document's own counts are taken out before its words are
-   looked up, so that it cannot vouch for itself.
+   looked up, so that it cannot vouch for itself.  The documents whose words are
+   used are drawn by label, so rare toxic ones are all in; weights give both
+   labels back the shares they have among the labelled documents.
 3. Forward-backward marginals of every word give the document's features, a
    logistic curve over them the score, and runs of words above one half the
    offending offsets.
@@ -115,13 +117,14 @@ def document_features(p: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     ], axis=1)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 40, ridge: float = 0.1) -> np.ndarray:
-    """Newton steps for a ridge logistic curve."""
+def _logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray, rounds: int = 40,
+              ridge: float = 0.1) -> np.ndarray:
+    """Newton steps for a ridge logistic curve over weighted rows."""
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (y - p) - ridge * w
-        curve = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        slope = x.T @ (weights * (y - p)) - ridge * w
+        curve = (x * (weights * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
         step = np.linalg.solve(curve, slope)
         w += step * min(1.0, 2.0 / max(np.abs(step).max(), 1e-9))
     return w
@@ -209,6 +212,31 @@ def build_lexicon(texts: DataFrame) -> Lexicon:
     )
 
 
+def _fill_unseen(chain: Chain, observed: np.ndarray) -> None:
+    """Levels that no fitted word has weigh what the level below does.
+
+    Own counts are taken out for fitting only, so words of few documents reach
+    higher levels when they are scored.
+    """
+    seen = np.bincount(observed.ravel(), minlength=N_FEATURES) > 0
+    for at in range(1, N_FEATURES):
+        if (at - 1) % _N and not seen[at]:
+            chain.weights[at] = chain.weights[at - 1]
+
+
+def drawn_by_label(toxic: int, clean: int, limit: int) -> tuple[int, int, float, float]:
+    """How many toxic and clean documents of so many are drawn, and what each one weighs.
+
+    Toxic ones take up to half of ``limit``, and what clean ones leave.  Weights
+    undo the draw; a document of the label drawn more fully weighs 1.
+    """
+    some = min(toxic, max(limit // 2, limit - clean))
+    others = min(clean, limit - some)
+    stands = [n / k if k else np.inf for n, k in ((toxic, some), (clean, others))]
+    least = min(stands)
+    return some, others, *(w / least if np.isfinite(w) else 1.0 for w in stands)
+
+
 def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS,
           chain_rows: int = CHAIN_ROWS) -> Tagger:
     """A tagger; with no labelled toxic document it scores everything near 0."""
@@ -231,10 +259,14 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
                                for a, b in zip(words.bounds[:-1], words.bounds[1:])],
                 })
 
-    # Ids are chosen first: only chosen texts move.
-    some = sample.select("_label_id").orderBy(
+    # Ids are chosen first, of those with a text: only chosen texts move.
+    known = texts.select(F.col("doc_id").alias("_label_id"), "_toxic").distinct()
+    have = {r["_toxic"]: r["n"] for r in known.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
+    n_toxic, n_clean, *weighs = drawn_by_label(have.get(1, 0), have.get(0, 0), chain_rows)
+    by_hash = lambda label: known.where(F.col("_toxic") == label).select("_label_id").orderBy(
         F.xxhash64("_label_id", F.lit(1)), "_label_id"
-    ).limit(chain_rows)
+    )
+    some = by_hash(1).limit(n_toxic).unionByName(by_hash(0).limit(n_clean))
     chosen = texts.join(F.broadcast(some), texts["doc_id"] == some["_label_id"]).select(
         "doc_id", "text", "_toxic"
     )
@@ -249,10 +281,12 @@ def train(docs: DataFrame, labels: DataFrame, labelled_rows: int = LABELLED_ROWS
     observed, first = observations(words, level, begin)
     named = np.maximum(level, begin) >= np.searchsorted(LEVELS, 0.5)
     word_labels = (named & (np.repeat(toxic, sizes) == 1)).astype(np.int64)
-    chain = fit(observed, first, word_labels, N_FEATURES)
+    weights = np.where(toxic == 1, *weighs)
+    chain = fit(observed, first, word_labels, N_FEATURES, weights=np.repeat(weights, sizes))
+    _fill_unseen(chain, observed)
     p = chain.marginals(observed, first)
-    if toxic.any():
-        curve = _logistic(document_features(p, bounds), toxic)
+    if lexicon.base > 0:  # of all labelled documents
+        curve = _logistic(document_features(p, bounds), toxic, weights)
     else:
         curve = np.array([-4.0, 0.0, 0.0, 0.0])  # nothing is known to be toxic
     return Tagger(lexicon, chain, curve)

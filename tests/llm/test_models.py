@@ -368,6 +368,30 @@ def test_toxic_words_are_found(llm, odd, none):
     assert toxicity.score_documents(none, tagger).count() == 0
 
 
+def test_rare_toxic_labels_are_drawn_first(llm):
+    """A small chain sample, in which chance alone would leave no toxic document."""
+    every = llm.range(900).selectExpr("id as doc_id", "0 as toxic")
+    by_chance = {r._label_id for r in toxicity.training_rows(every).orderBy(
+        toxicity.F.xxhash64("_label_id", toxicity.F.lit(1)), "_label_id").limit(30).collect()}
+    toxic = [k for k in range(900) if k not in by_chance][7::60]
+    docs = [(k, prose(k, 40) + (" snarf" if k in toxic else "")) for k in range(900)]
+    df = llm.createDataFrame(docs, "doc_id long, text string")
+    labels = llm.createDataFrame([(k, int(k in toxic)) for k in range(900)], "doc_id long, toxic int")
+    got = toxicity.score_documents(df, toxicity.train(df, labels, chain_rows=30))
+    assert {r.doc_id for r in got.collect() if r.score >= toxicity.THRESHOLD} == set(toxic)
+
+
+def test_draw_by_label():
+    for toxic, clean in ((60, 29_940), (9000, 21_000), (27_000, 3000), (29_900, 100), (40, 50)):
+        some, others, w, v = toxicity.drawn_by_label(toxic, clean, 1500)
+        assert some + others == min(1500, toxic + clean)
+        assert some == min(toxic, max(750, 1500 - clean))
+        assert np.isclose(w * some / (v * others), toxic / clean) and min(w, v) == 1
+    assert toxicity.drawn_by_label(0, 10, 1500) == (0, 10, 1.0, 1.0)
+    assert toxicity.drawn_by_label(10, 0, 1500) == (10, 0, 1.0, 1.0)
+    assert toxicity.drawn_by_label(0, 0, 1500) == (0, 0, 1.0, 1.0)
+
+
 def test_toxicity_without_labels(llm, odd):
     labels = llm.createDataFrame([(1, 0), (None, 1), (5, None)], "doc_id long, toxic int")
     scores = toxicity.score_documents(odd, toxicity.train(odd, labels))
