@@ -92,8 +92,53 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM doc_words LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
 """
 
+_FILTER_ORDERS = r"""
+WITH given AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), firsts AS (SELECT t, min(doc_id) AS first_id FROM given GROUP BY t),
+marks AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic
+  FROM labels GROUP BY doc_id
+), failed AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(w) < 100 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 10 * length(t)
+      THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN first_id < doc_id THEN 16 ELSE 0 END AS m
+  FROM given JOIN firsts USING (t) LEFT JOIN marks USING (doc_id)
+), counted AS (
+  SELECT part, m, count(*) AS n, sum(good) AS g, sum(toxic) AS x FROM failed GROUP BY ALL
+), letters AS (SELECT i, 1 << i AS bit, substr('ABCDE', i + 1, 1) AS letter FROM range(5) r(i)),
+orders AS (
+  SELECT [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits,
+    a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31
+    AND a.bit | b.bit | c.bit | d.bit | e.bit = 31
+), steps AS (
+  SELECT filter_order, k::INT AS step, bits[k] AS bit,
+    list_sum(list_prepend(0, bits[:k - 1]))::INT AS before
+  FROM (SELECT *, unnest(range(1, 6)) AS k FROM orders)
+), counts AS (
+  SELECT part, filter_order, step, bit,
+    sum(CASE WHEN m & (before | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN m & before = 0 AND m & bit <> 0 THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN m & before <> 0 AND m & bit <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN m = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN m & before = 0 AND m & bit <> 0 THEN g ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN m & before = 0 AND m & bit <> 0 THEN x ELSE 0 END)::BIGINT AS toxic_lost
+  FROM counted, steps GROUP BY ALL
+)
+SELECT * EXCLUDE (bit), (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM counts
+"""
+
 SQL: dict[str, str] = {
     "op1_line_dedup": _LINE_DEDUP,
     "op3_reply_trees": _REPLY_TREES,
     "op7_suffix_arrays": _SUFFIX_ARRAYS,
+    "op12_filter_orders": _FILTER_ORDERS,
 }

@@ -8,7 +8,10 @@ from pathlib import Path
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from replyforge.llm import bpe, chat, decontaminate, fingerprints, kd_shards, line_dedup, near_dedup, quality, token_files, toxicity
+from replyforge.llm import (
+    bpe, chat, decontaminate, filter_audit, fingerprints, group_join, kd_shards, line_dedup,
+    near_dedup, quality, token_files, toxicity, whitening,
+)
 from replyforge.llm.oracle import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -129,6 +132,21 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their component of the shingle-set similarity join."""
+    return group_join.linked(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every step of all 120 orders of five filters over all documents, by language."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_qd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings, whitened along four components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_resampling": op2_quality_resampling,
@@ -140,4 +158,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxic_crf": op8_toxic_crf,
     "op9_context_mixing_files": op9_context_mixing_files,
     "op10_kd_shards": op10_kd_shards,
+    "op11_grouped_prefix_join": op11_grouped_prefix_join,
+    "op12_filter_orders": op12_filter_orders,
+    "op13_qd_whitening": op13_qd_whitening,
 }
