@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from replyforge.llm.near_dedup import (
-    _FIRST, _alike, _first_id, _groups, _keys_of, _row_key, _text_hash, components,
+    _FIRST, _alike, _first_id, _groups, _row_key, _text_hash, components,
 )
 from replyforge.llm.words import LOWER, NOT_BLANK, chunks, find_words, mix, salt, shingles
 from replyforge.sources.stages import cut
@@ -37,6 +37,7 @@ FREQUENT = 16  # documents from which a shingle is ranked by its count
 RANKED = 1 << 20  # ranked shingles at most: nine bytes each are broadcast
 GROUP = 1024  # rows of one side when a bucket is compared
 SLOT = 1024  # pairs of one node that are verified together
+FILTER_WORDS = 1 << 20  # of the filter of wanted texts: 8 MB, whatever the corpus
 SEEN = 100_000  # groups whose prefix a task remembers to have sent
 
 _RECORD = (
@@ -182,29 +183,96 @@ def records(given: DataFrame, order: Order) -> DataFrame:
     return given.mapInArrow(run, _RECORD)
 
 
-def sets_of(given: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, bag): the sorted shingles of the nodes in ``ids``, read from their first row."""
+# -- whole sets ----------------------------------------------------------------
+
+
+def pack(hashes: np.ndarray) -> bytes:
+    """A set as sorted 48-bit keys.  Two sets of 20,000 shingles share a key by
+    chance once in a million pairs."""
+    keys = np.unique(hashes & np.uint64((1 << 48) - 1))
+    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(keys of all sets of a binary column, bounds)."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32, len(column) + 1 + column.offset)[column.offset:]
+    wide = np.zeros(((at[-1] - at[0]) // 6, 8), np.uint8)
+    if len(wide):
+        wide[:, :6] = np.frombuffer(data, np.uint8)[at[0]:at[-1]].reshape(-1, 6)
+    return wide.view(np.uint64).ravel(), (at.astype(np.int64) - at[0]) // 6
+
+
+def _bits(hashes: pa.Array) -> np.ndarray:
+    """(rows, 4): places of 16-byte text hashes in the filter of FILTER_WORDS words."""
+    own = np.frombuffer(b"".join(hashes.to_pylist()), np.uint32).reshape(-1, 4)
+    return (own & np.uint32(64 * FILTER_WORDS - 1)).astype(np.int64)
+
+
+def _maybe_wanted(given: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``given`` whose text hash may be wanted, by a Bloom filter of fixed size.
+
+    It only spares the exchange texts that nobody asks for; a corpus with more
+    wanted texts than it can tell apart sends more of them, with the same result.
+    """
+
+    def mark(batches):
+        words = np.zeros(FILTER_WORDS, np.uint64)
+        for batch in batches:
+            at = _bits(batch.column(0)).ravel()
+            np.bitwise_or.at(words, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+        seen = np.flatnonzero(words)
+        yield pa.RecordBatch.from_pydict({"word": seen, "bits": words[seen].view(np.int64)})
+
+    marked = wanted.select("first_hash").mapInArrow(mark, "word long, bits long").groupBy("word").agg(
+        F.bit_or("bits").alias("bits")
+    ).toArrow()  # FILTER_WORDS rows at most
+    words = np.zeros(FILTER_WORDS, np.uint64)
+    words[marked["word"].to_numpy()] = marked["bits"].to_numpy().view(np.uint64)
+    shared = given.sparkSession.sparkContext.broadcast(words)
 
     def run(batches):
+        words = shared.value
         for batch in batches:
-            for chunk in chunks(batch.column(1)):
+            at = _bits(batch.column(1))
+            inside = (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+            yield batch.filter(pa.array(inside.all(axis=1)))
+
+    return given.mapInArrow(run, given.schema)
+
+
+def sets_at(given: DataFrame, nodes: DataFrame, places: DataFrame) -> DataFrame:
+    """``places`` (id, ...) with the set of each id as ``bag``.
+
+    A text travels once, to its node's key; its set is made there and sent
+    straight to all its places.
+    """
+    others = [c for c in places.columns if c != "id"]
+    # A node has a place per prefix shingle, or per SLOT of its pairs, at most.
+    to = places.groupBy("id").agg(F.collect_list(F.struct(*others)).alias("to"))
+    wanted = cut(nodes.select("id", *_FIRST).join(to, "id"), "wanted")
+    few = _maybe_wanted(given, wanted).select(*_row_key("doc_id", "text_hash"), "text")
+    # Rows that repeat id and text give one set.
+    texts = few.join(wanted, _FIRST).dropDuplicates(_FIRST).select("id", "to", "text")
+
+    def run(batches):
+        for batch in batches:
+            for chunk in chunks(batch.column(2)):
                 hashes, row = shingle_sets(chunk)
                 ends = np.searchsorted(row, np.arange(chunk.n + 1))
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(chunk.first, chunk.n),
-                    pa.array([hashes[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:])], pa.binary()),
-                ], names=["id", "bag"])
+                    batch.column(1).slice(chunk.first, chunk.n),
+                    pa.array([pack(hashes[x:y]) for x, y in zip(ends[:-1], ends[1:])], pa.binary()),
+                ], names=["id", "to", "bag"])
 
-    wanted = nodes.join(ids, "id", "left_semi").select("id", *_FIRST)
-    texts = given.select(*_row_key("doc_id", "text_hash"), "text").join(wanted, _FIRST)
-    # Rows that repeat id and text give one set.
-    return texts.select("id", "text").mapInArrow(run, "id long, bag binary").groupBy("id").agg(
-        F.first("bag").alias("bag")
-    )
+    schema = texts.select("id", "to").schema.add("bag", "binary")
+    sent = texts.mapInArrow(run, schema).select("id", F.explode("to").alias("to"), "bag")
+    return sent.select("id", "to.*", "bag")
 
 
-def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sets reach the similarity; held: (id, bag).
+def verified(pairs: DataFrame, given: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose sets reach the similarity.
 
     The set of ``a`` travels once for every SLOT of its pairs, not with each.
     """
@@ -217,21 +285,18 @@ def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
     dealt = pairs.join(many, "a", "left").select(
         "a", "b", F.pmod(F.xxhash64("b"), slots).cast("int").alias("slot")
     )
-    right = dealt.join(held.withColumnRenamed("id", "b"), "b").select("a", "slot", "b", "bag")
-    left = dealt.select("a", "slot").distinct().join(held.withColumnRenamed("id", "a"), "a").select(
-        "a", "slot", F.lit(None).cast("long").alias("b"), "bag"
-    )
-    rows = left.unionByName(right).repartition("a", "slot").sortWithinPartitions(
-        "a", "slot", F.col("b").asc_nulls_first()
-    )
+    leads = dealt.select(F.col("a").alias("id"), "a", "slot", F.lit(True).alias("leads")).distinct()
+    rest = dealt.select(F.col("b").alias("id"), "a", "slot", F.lit(False).alias("leads"))
+    rows = sets_at(given, nodes, leads.unionByName(rest)).select("a", "id", "leads", "bag", "slot")
+    rows = rows.repartition("a", "slot").sortWithinPartitions("a", "slot", F.desc("leads"), "id")
 
     def check(batches):
         mine = None
         for batch in batches:
             if not len(batch):
                 continue
-            keys, at = _keys_of(batch.column(3))
-            leads = np.flatnonzero(batch.column(2).is_null().to_numpy(zero_copy_only=False))
+            keys, at = unpack(batch.column(3))
+            leads = np.flatnonzero(batch.column(2).to_numpy(zero_copy_only=False))
             good = np.zeros(len(batch), dtype=bool)
             for start, stop in zip([0, *(leads + 1).tolist()], [*leads.tolist(), len(batch)]):
                 if start:
@@ -240,7 +305,8 @@ def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
                     good[start:stop] = _alike(
                         mine, keys[at[start]:at[stop]], at[start:stop + 1] - at[start]
                     )
-            yield batch.select(["a", "b"]).filter(pa.array(good))
+            found = batch.select(["a", "id"]).filter(pa.array(good))
+            yield found.rename_columns(["a", "b"])
 
     return rows.mapInArrow(check, "a long, b long")
 
@@ -312,15 +378,15 @@ def possible_groups(placed: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "token long, pos int, head long").distinct()
 
 
-def links_across(rows: DataFrame, held: DataFrame) -> DataFrame:
+def links_across(rows: DataFrame, given: DataFrame, nodes: DataFrame) -> DataFrame:
     """Verified links (a, b) that join components; rows: token, n, pos, id, size, root."""
-    full = _in_blocks(rows, "id").join(held, "id")
+    full = sets_at(given, nodes, _in_blocks(rows, "id"))
 
     def run(batches):
         for group in _groups(batches):
             ids = group["id"].to_numpy()
             label = np.unique(group["root"].to_numpy(), return_inverse=True)[1]
-            keys, at = _keys_of(group["bag"].combine_chunks())
+            keys, at = unpack(group["bag"].combine_chunks())
             a, b = [], []
             for start, pairs in _possible(group):
                 for k in range(len(pairs)):
@@ -387,38 +453,46 @@ def linked(docs: DataFrame) -> DataFrame:
     index = groups.select("head", "size", "copies", F.posexplode("prefix").alias("pos", "token"))
     buckets = cut(
         index.groupBy("token").agg(
-            F.min("head").alias("leader"), F.sum("copies").alias("nodes"), F.count("*").alias("n")
+            F.min("head").alias("leader"), F.sum("copies").alias("nodes"), F.count("*").alias("n"),
+            F.bit_xor(F.xxhash64("head")).alias("same"),
         ).where("nodes > 1"), "buckets",
     )
-    placed = cut(index.join(buckets, "token").drop("copies", "nodes"), "placed")
+    # Buckets of the same groups become one: two alike texts share many shingles.  Each
+    # group keeps its first position in any of them, which can only admit more pairs.
+    placed = cut(
+        index.join(buckets, "token")
+        .groupBy(F.xxhash64("same", "n").alias("token"), "head", "size", "leader", "nodes", "n")
+        .agg(F.min("pos").alias("pos")), "placed",
+    )
 
-    # First the pairs with a bucket's first group and with a group's first node.
-    sizes = groups.select(F.col("head").alias("a"), F.col("size").alias("size_a"))
+    # First the pairs with a bucket's first group, and with a group's first node.
+    leads = placed.where("head = leader").select(
+        "token", F.col("size").alias("size_a"), (F.col("size") - F.col("pos")).alias("rest_a")
+    )
+    bound = F.least(F.col("size") - F.col("pos"), "rest_a")  # as in _possible
     stars = (
-        placed.where("head <> leader").select(F.col("leader").alias("a"), F.col("head").alias("b"), "size")
-        .distinct().join(sizes, "a")
-        .where(MOST * F.least("size", "size_a") >= LEAST * F.greatest("size", "size_a"))
-        .select("a", "b")
+        placed.where("head <> leader").join(leads, "token")
+        .where((LEAST + MOST) * bound >= LEAST * (F.col("size") + F.col("size_a")))
+        .select(F.col("leader").alias("a"), F.col("head").alias("b")).distinct()
     )
     inside = nodes.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
     pairs = cut(stars.unionByName(inside), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    held = cut(sets_of(given, nodes, ids), "sets")
-    links = cut(verified(pairs, held), "links")
+    links = cut(verified(pairs, given, nodes), "links")
     rooted = _rooted(nodes, links)
 
-    # Then the buckets that hold several components.
+    # Then the buckets that hold several components.  Where each group is one node, all
+    # pairs with the leader have been looked at; two nodes are one pair in any case.
     spans = rooted.groupBy("head").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    spanned = placed.join(spans, "head").drop("leader")
+    open_rows = placed.where("nodes > 2 and (head <> leader or nodes > n)")
+    spanned = open_rows.select("token", "pos", "head", "size").join(spans, "head")
     mixed = spanned.groupBy("token").agg(
-        F.min("lo").alias("least"), F.max("hi").alias("most")
-    ).where("least <> most").select("token")
+        F.min("lo").alias("least"), F.max("hi").alias("most"), F.count("*").alias("n")
+    ).where("least <> most").select("token", "n")
     left = cut(possible_groups(spanned.join(mixed, "token")), "possible-groups")
     rows = left.join(rooted.select("head", "id", "size", "root"), "head").drop("head")
     rows = cut(rows, "possible-members")
     counts = rows.groupBy("token").agg(F.count("*").alias("n"))
-    held = sets_of(given, nodes, rows.select("id").distinct())
-    more = cut(links_across(rows.join(counts, "token"), held), "links")
+    more = cut(links_across(rows.join(counts, "token"), given, nodes), "links")
     if not more.isEmpty():
         rooted = _rooted(nodes, links.unionByName(more))
 
