@@ -117,7 +117,7 @@ def triangular(fit: DataFrame, d: int, n: int, sums: list[int]) -> np.ndarray:
     schema = "part int, r binary"
     parts = fit.mapInArrow(reduce, schema).repartition(GATHER, "part").mapInArrow(gather, schema)
     held = None
-    for row in parts.orderBy("part").collect():
+    for row in sorted(parts.collect()):  # GATHER rows at most; one order, one result
         held = _factor(held, np.frombuffer(row.r).reshape(-1, d))
     full = np.zeros((d, d))
     full[: len(held)] = held
