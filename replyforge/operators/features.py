@@ -1,8 +1,9 @@
 """n-grams, vocabularies and TF-IDF in relational form.
 
-One document is one row.  Document and corpus frequencies come from one
-aggregation by term, combined inside each task before the shuffle; weights need
-one exchange by document, which the counts and the norm share.
+One document is one row.  Word lists are what is written and moved; n-grams
+exist only where they are counted.  Document and corpus frequencies come from
+one aggregation by term, combined inside each task before the shuffle; weights
+need one exchange by document, which the counts and the norm share.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from replyforge.functions import packs
 from replyforge.functions.text import cleaned_tokens, drop_words, ngrams, word_tokens
-from replyforge.operators.ranking import top_n
+from replyforge.operators.ranking import nth_text, top_n
 from replyforge.sources.stages import cut
 
 
@@ -47,12 +48,15 @@ def gram_lists(df: DataFrame, key: str, words: Column, sizes=(1,)) -> DataFrame:
     )
 
 
+def by_document(held: DataFrame, key: str, words: str, sizes=(1,)) -> DataFrame:
+    """``gram_lists`` after the one exchange by document, which moves words only."""
+    return gram_lists(held.select(key, words).repartition(key), key, F.col(words), sizes)
+
+
 def term_counts(lists: DataFrame, key: str) -> DataFrame:
-    """(key, term, tf), partitioned by ``key`` from the one exchange on."""
-    return (
-        lists.repartition(key).select(key, F.explode("grams").alias("term"))
-        .groupBy(key, "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
+    """(key, term, tf); no further exchange if ``lists`` come from ``by_document``."""
+    return lists.select(key, F.explode("grams").alias("term")).groupBy(key, "term").agg(
+        F.count(F.lit(1)).alias("tf")
     )
 
 
@@ -62,8 +66,8 @@ def vocabulary(
     """(term, df, cf): terms in at least ``min_df`` documents, the
     ``max_features`` most frequent ones if a limit is given (ties by term).
 
-    A histogram over powers of two (64 rows at most) first discards every term
-    that cannot make the limit, so the final top-n sorts little more than it keeps.
+    Nothing is sorted as a whole: histograms find the count and, among the terms
+    with that count, the last term that makes the limit; the rest is a filter.
     """
     mark = lambda grams, df, cf: F.transform(
         grams, lambda g: F.struct(g.alias("term"), F.lit(df).alias("df"), F.lit(cf).alias("cf"))
@@ -77,19 +81,31 @@ def vocabulary(
     if max_features is None:
         return terms
     terms = cut(terms, "terms")
-    scaled = terms.withColumn("_power", F.floor(F.log2("cf")))
-    downward = Window.orderBy(F.desc("_power")).rowsBetween(
+    power = F.floor(F.log2("cf"))
+    found = _where_reached(terms, power, max_features)
+    if found is None:
+        return terms
+    # Distinct counts of one power: at most the root of all occurrences.
+    edge = terms.where(power == found["value"])
+    found = _where_reached(edge, F.col("cf"), found["wanted"])
+    last = nth_text(terms.where(F.col("cf") == found["value"]), "term", found["wanted"])
+    more = F.col("cf") > found["value"]
+    return terms.where(more | ((F.col("cf") == found["value"]) & (F.col("term") <= last)))
+
+
+def _where_reached(df: DataFrame, value: Column, n: int):
+    """(value, wanted): the value, going down, at which ``n`` rows are reached, and
+    how many of its rows are wanted; None where there are fewer rows."""
+    downward = Window.orderBy(F.desc("value")).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    least = (
-        scaled.groupBy("_power").agg(F.count(F.lit(1)).alias("n"))
+    return (
+        df.groupBy(value.alias("value")).agg(F.count(F.lit(1)).alias("n"))
         .withColumn("upto", F.sum("n").over(downward))
-        .where(F.col("upto") >= max_features)
-        .agg(F.max("_power"))
-        .scalar()
+        .where(F.col("upto") >= n)
+        .agg(F.max_by(F.struct("value", (n - F.col("upto") + F.col("n")).alias("wanted")), "value").alias("f"))
+        .first()["f"]
     )
-    strong = scaled.where(F.coalesce(F.col("_power") >= least, F.lit(True))).drop("_power")
-    return strong.orderBy(F.desc("cf"), "term").limit(max_features)
 
 
 def tfidf(
@@ -107,9 +123,11 @@ def tfidf(
     Spark sizes the join with the vocabulary: a small one is sent to all tasks,
     a large one is a shuffle join in which AQE splits very common terms.
     """
-    # Texts are tokenised once: vocabulary and weights both read these lists.
-    lists = cut(gram_lists(docs, key, words, sizes), "gram-lists")
-    vocab = cut(with_idf(vocabulary(lists, min_df, max_features), lists), "vocabulary")
+    # Texts are tokenised once: vocabulary and weights both read these words.
+    held = cut(docs.select(key, words.alias("words")), "words")
+    chosen = vocabulary(gram_lists(held, key, F.col("words"), sizes), min_df, max_features)
+    vocab = cut(with_idf(chosen, held), "vocabulary")
+    lists = by_document(held, key, "words", sizes)
     raw = raw_weights(lists, key, vocab, sublinear).select(key, "term", "raw")
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
     return raw.select(key, "term", (F.col("raw") / norm).alias("weight"))

@@ -103,9 +103,10 @@ def review_queue(golden: DataFrame, flagged: DataFrame) -> DataFrame:
     """Golden rows flagged for review, with the suggestion and blank verdicts.
 
     ``flagged`` (example_id, suggested_intent, reason_for_review) is an input
-    table; Spark sizes the join.
+    table; a row without a reason is not flagged.  Spark sizes the join.
     """
-    return golden.join(flagged, "example_id").select(
+    reasons = flagged.where(normalised(F.col("reason_for_review")) != "")
+    return golden.join(reasons, "example_id").select(
         "example_id",
         "customer_text",
         F.col("intent").alias("current_intent"),

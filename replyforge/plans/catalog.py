@@ -16,10 +16,14 @@ from replyforge.operators import (
     cleaning, features, golden as golden_ops, judging, metrics, model as ml, profiling,
     routing, rules, sampling, threads,
 )
+from replyforge.operators.incremental import ProfileState
 from replyforge.plans import jobs, views
-from replyforge.sources import readers, writers
+from replyforge.schemas import RAW_MESSAGES
+from replyforge.sources import readers, taxonomy as taxonomies, writers
 from replyforge.sources.stages import cut, stage_path
-from replyforge.streaming.route_stream import message_stream, route_stream as run_stream
+from replyforge.streaming.route_stream import (
+    message_stream, route_stream as run_stream, route_stream_model as run_model_stream,
+)
 
 QUERIES: dict = {}
 
@@ -277,12 +281,90 @@ def schema_peek(spark, sf):
     return profiling.schema_rows(spark.createDataFrame([], found))
 
 
+@query
+def csv_rejects(spark, sf):
+    """The lines of a CSV of all messages that have too many fields, and why."""
+    path = stage_path(spark, "messages-csv")
+    rows = views.messages_with_response(spark, sf)
+    odd = F.col("tweet_id") % 5 == 3
+    writers.export_csv(rows.where(~odd), path)
+    writers.append_csv(
+        rows.where(odd).withColumn("surplus", F.lit('x, "y"\nz')).withColumn("more", F.lit(1)), path
+    )
+    _, rejects = readers.read_messages(spark, path)
+    return rejects.select(
+        F.substring_index("line", ",", 1).cast("long").alias("tweet_id"), "n_fields", "reason",
+        F.col("file").isNotNull().alias("has_file"),
+    )
+
+
+@query
+def missing_columns(spark, sf):
+    """Expected columns that a CSV of all messages lacks."""
+    path = stage_path(spark, "messages-csv")
+    writers.export_csv(views.messages(spark, sf).drop("conv_id", "turn", "role"), path)
+    return profiling.missing_columns(spark.read.options(**readers.CSV_OPTIONS).csv(path))
+
+
+@query
+def ordered_export(spark, sf):
+    """All messages exported in the order of their ids, numbered as the files have them."""
+    path = stage_path(spark, "ordered-csv")
+    rows = views.messages_with_response(spark, sf)
+    writers.export_csv(rows, path, order_by=("tweet_id",))
+    numbered = readers.read_in_order(spark, path, RAW_MESSAGES)
+    return numbered.select("row_no", parse_id(F.col("tweet_id")).alias("tweet_id"))
+
+
+def _profiled(spark, sf) -> tuple[DataFrame, ProfileState]:
+    """(dirty messages, their profile), gathered from three deliveries of files."""
+    rows = views.dirty(spark, sf)
+    columns = ["tweet_id", "author_id", "inbound", "created_at", "text", "in_response_to_tweet_id"]
+    state = ProfileState(spark, stage_path(spark, "profile"))
+    for delivery in range(3):
+        path = stage_path(spark, "delivery")
+        # Copies of a message come with different deliveries.
+        rows.where((F.col("conv_id") + F.col("copy")) % 3 == delivery).select(*columns).write.parquet(path)
+        state.add(path)
+    return rows.select(*columns), state
+
+
+@query
+def profile_incremental(spark, sf):
+    """NULLs and repeated ids, merged from three deliveries profiled one by one."""
+    _, state = _profiled(spark, sf)
+    nulls = state.null_profile().select(
+        "column", F.inline(F.array(
+            F.struct(F.lit("n_rows").alias("measure"), F.col("n_rows").alias("value")),
+            F.struct(F.lit("n_null").alias("measure"), F.col("n_null").alias("value")),
+        ))
+    )
+    measures = ("unique_ids", "duplicated_ids", "extra_rows")
+    ids = state.duplicate_ids().select(F.lit("tweet_id").alias("column"), F.inline(F.array(*[
+        F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in measures
+    ])))
+    return nulls.unionByName(ids)
+
+
+@query
+def distinct_estimates(spark, sf):
+    """Exact distinct counts, and whether the merged sketches are within five percent."""
+    rows, state = _profiled(spark, sf)
+    exact = rows.agg(*[F.countDistinct(c).alias(c) for c in rows.columns]).select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).alias("exact")) for c in rows.columns
+    ])))
+    apart = F.abs(F.col("estimate") - F.col("exact")) * 20 <= F.col("exact")
+    return exact.join(state.distinct_estimates(), "column").select(
+        "column", "exact", apart.alias("within_5_pct")
+    )
+
+
 # -- text ------------------------------------------------------------------
 
 
 @query
 def clean_text(spark, sf):
-    docs = views.table(spark, sf, "documents")
+    docs = views.documents(spark, sf)
     return docs.select("doc_id", clean_message(F.col("text")).alias("clean_text"))
 
 
@@ -298,40 +380,39 @@ def display_text(spark, sf):
 
 @query
 def word_topk(spark, sf):
-    return profiling.word_topk(views.table(spark, sf, "documents"), "text", "doc_id", sample=None)
+    return profiling.word_topk(views.documents(spark, sf), "text", "doc_id", sample=None)
 
 
 @query
 def bigram_topk(spark, sf):
-    return features.ngram_topk(views.table(spark, sf, "documents"), "text", 2)
+    return features.ngram_topk(views.documents(spark, sf), "text", 2)
 
 
 @query
 def trigram_topk(spark, sf):
-    return features.ngram_topk(views.table(spark, sf, "documents"), "text", 3)
+    return features.ngram_topk(views.documents(spark, sf), "text", 3)
 
 
 @query
 def doc_freq(spark, sf):
-    docs = views.table(spark, sf, "documents")
+    docs = views.documents(spark, sf)
     lists = features.gram_lists(docs, "doc_id", features.training_words(F.col("text")), (1, 2))
     return features.vocabulary(lists, min_df=2, max_features=2000)
 
 
 @query
 def tfidf(spark, sf):
-    docs = views.table(spark, sf, "documents")
     weights = features.tfidf(
-        docs, "doc_id", features.discovery_tokens(F.col("text")), max_features=2000
+        views.documents(spark, sf), "doc_id", features.discovery_tokens(F.col("text")),
+        max_features=2000,
     )
     return weights.withColumn("weight", F.round("weight", 6))
 
 
 @query
 def tfidf_sublinear(spark, sf):
-    docs = views.table(spark, sf, "documents")
     weights = features.tfidf(
-        docs, "doc_id", features.training_words(F.col("text")), (1, 2),
+        views.documents(spark, sf), "doc_id", features.training_words(F.col("text")), (1, 2),
         min_df=2, max_features=50_000, sublinear=True,
     )
     return weights.withColumn("weight", F.round("weight", 6))
@@ -494,13 +575,22 @@ def _prediction_table(spark, sf):
 # -- golden set ------------------------------------------------------------
 
 
-def _taxonomy(spark):
-    return spark.createDataFrame([(i,) for i in packs.ALL_INTENTS], "name string")
+def _taxonomy(spark, sf):
+    """The intents of all weak labels, through a taxonomy file."""
+    path = stage_path(spark, "taxonomy")
+    names = views.weak_labels(spark, sf).select(F.col("intent").alias("name")).distinct()
+    taxonomies.write(spark, names, path)
+    return taxonomies.read(spark, path)
+
+
+@query
+def taxonomy(spark, sf):
+    return _taxonomy(spark, sf).select("position", "name")
 
 
 @query
 def validate_golden(spark, sf):
-    return golden_ops.validate_golden(_golden_table(spark, sf), _taxonomy(spark))
+    return golden_ops.validate_golden(_golden_table(spark, sf), _taxonomy(spark, sf))
 
 
 @query
@@ -779,6 +869,99 @@ def score_given_model(spark, sf):
     )
 
 
+def _four_digits(scored):
+    return scored.withColumn("confidence", F.round("confidence", 4))
+
+
+@query
+def route_model(spark, sf):
+    """All messages routed by a saved and loaded model."""
+    usable, _ = routing.split_blank(views.spiked(spark, sf))
+    scored = _four_digits(ml.score(usable, _saved_model(spark, sf)))
+    routed = routing.respond(scored, keep=("example_id",))
+    return routed.select("example_id", F.to_json("response").alias("response"))
+
+
+def _saved_model(spark, sf):
+    """The given model through its folder: saved, then loaded."""
+    path = stage_path(spark, "model")
+    ml.save_model(views.given_model(spark, sf), path)
+    return ml.load_model(path, spark)
+
+
+@query
+def route_stream_model(spark, sf):
+    """The same routing with the same model over a stream of the messages."""
+    path = stage_path(spark, "model")
+    ml.save_model(views.given_model(spark, sf), path)
+    source = views.table(spark, sf, "conversations")
+    stream = message_stream(spark, sf, source.schema, "conversations.parquet")
+    out = stage_path(spark, "routed")
+    run_model_stream(
+        views.spike(stream), path, out, stage_path(spark, "rejects"),
+        stage_path(spark, "stream-state"), keep=("example_id",),
+    ).awaitTermination()
+    rounded = F.col("response").withField(
+        "predictions.confidence", F.round("response.predictions.confidence", 4)
+    )
+    return spark.read.parquet(out).select("example_id", F.to_json(rounded).alias("response"))
+
+
+@query
+def model_round_trip(spark, sf):
+    """Every message scored by the model that was saved and loaded again."""
+    return ml.score(views.spiked(spark, sf), _saved_model(spark, sf)).select(
+        "customer_tweet_id", "model_intent", F.round("confidence", 6).alias("confidence")
+    )
+
+
+@query
+def training_gradient(spark, sf):
+    """Slope of the training objective on all weak labels, at given coefficients."""
+    train = views.weak_labels(spark, sf).select("customer_text", "intent")
+    slopes = ml.training_gradient(train, views.given_model(spark, sf))
+    return slopes.withColumn("gradient", F.round("gradient", 9))
+
+
+@query
+def golden_evaluation_given(spark, sf):
+    """Class report of the given model, routed, on the 250 held-out messages."""
+    held_out = sampling.uniform_sample(views.golden(spark, sf), "customer_tweet_id", 250)
+    preds = ml.evaluate_golden(
+        held_out.withColumnRenamed("intent", "true_intent"), views.given_model(spark, sf)
+    )
+    return _rounded(metrics.class_report(preds), "precision", "recall", "f1")
+
+
+def _assigned_once(spark, sf):
+    """(weights, clusters by one round from given ones, their centres) of all documents."""
+    docs = views.documents(spark, sf)
+    weights = cut(
+        features.tfidf(docs, "doc_id", features.discovery_tokens(F.col("text")), max_features=2000),
+        "topic-weights",
+    )
+    start = docs.where(clean_message(F.col("text")) != "").select(
+        "doc_id", (F.col("doc_id") % 10).cast("int").alias("cluster")
+    )
+    return ml.lloyd_steps(weights, cut(start, "start"), "doc_id")
+
+
+@query
+def cluster_assign_given(spark, sf):
+    """One k-means round over all documents from given clusters."""
+    return _assigned_once(spark, sf)[0]
+
+
+@query
+def cluster_profile_given(spark, sf):
+    """Sizes, heaviest terms and an example of the clusters after that round."""
+    assigned, centres = _assigned_once(spark, sf)
+    clean = clean_message(F.col("text")).alias("_clean")
+    texts = views.documents(spark, sf).select("doc_id", "text", clean)
+    rounded = centres.withColumn("weight", F.round("weight", 9))  # ties go by term
+    return ml.cluster_profile(texts.join(assigned, "doc_id"), rounded, "doc_id", "text")
+
+
 @query
 def train_score(spark, sf):
     """Classifier trained on the weak labels, every message scored and routed."""
@@ -803,13 +986,13 @@ def golden_evaluation(spark, sf):
 
 @query
 def topic_clusters(spark, sf):
-    docs = views.table(spark, sf, "documents")
+    docs = views.documents(spark, sf)
     clustered, _ = ml.topic_clusters(docs, "doc_id", "text")
     return clustered.select("doc_id", "cluster")
 
 
 @query
 def cluster_profile(spark, sf):
-    docs = views.table(spark, sf, "documents")
+    docs = views.documents(spark, sf)
     clustered, centres = ml.topic_clusters(docs, "doc_id", "text")
     return ml.cluster_profile(clustered, centres, "doc_id", "text")

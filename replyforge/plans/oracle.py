@@ -10,7 +10,7 @@ from __future__ import annotations
 from replyforge.functions import packs
 from replyforge.functions.text import WHITESPACE, WHITESPACE_CLASS
 from replyforge.plans.catalog import GIVEN_BIAS, GIVEN_LABELS, GIVEN_TERMS
-from replyforge.plans.views import BRAND, PHRASES
+from replyforge.plans.views import BRAND, GIVEN_BIASES, GIVEN_FEATURES, GIVEN_STEPS, PHRASES
 
 
 def lit(value) -> str:
@@ -344,11 +344,11 @@ REVIEW = GOLDEN + f""",
 flags AS (
   SELECT example_id, ([{', '.join(lit(i) for i in packs.INTENTS)}])[CAST(conv_id % 7 + 1 AS INTEGER)]
       AS suggested_intent,
-    CASE WHEN (conv_id * 5 + turn) % 12 = 0 THEN 'wrong phrase' ELSE 'wrong product' END
-      AS reason_for_review,
+    CASE WHEN (conv_id * 5 + turn) % 12 = 0 THEN 'wrong phrase'
+      WHEN (conv_id * 5 + turn) % 12 < 3 THEN 'wrong product' ELSE '' END AS reason_for_review,
     CASE (conv_id * 5 + turn) % 12 WHEN 0 THEN 'accept' WHEN 1 THEN ' Accept' || chr(9)
-      ELSE 'reject' END AS human_decision
-  FROM spiked WHERE (conv_id * 5 + turn) % 12 < 3)"""
+      WHEN 2 THEN 'reject' ELSE '' END AS human_decision
+  FROM spiked)"""
 
 DISCOVERY_STOPS = ", ".join(lit(w) for w in sorted(set(packs.DISCOVERY_STOP_WORDS)))
 REPORT_STOPS = ", ".join(lit(w) for w in sorted(set(packs.REPORT_STOP_WORDS)))
@@ -478,6 +478,94 @@ SELECT example_id, CAST(json_object(
       'generation_mode', {lit(packs.REPLY_MODE)}, 'evidence_used', evidence)) AS VARCHAR) AS response
 FROM {dimmed('decided', 'intent')} WHERE {strip('customer_text')} <> ''"""
 
+# The given model: terms with idf and hashed coefficients; margins, probabilities.
+_EIGHT = range(len(packs.ALL_INTENTS))
+_INTENT_LIST = ", ".join(lit(i) for i in packs.ALL_INTENTS)
+GIVEN = f"""
+gm_words AS (
+  SELECT customer_tweet_id, regexp_extract_all(lower(customer_text), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w
+  FROM spiked),
+gm_tf AS (
+  SELECT customer_tweet_id, term, count(*) AS tf FROM (
+    SELECT customer_tweet_id, unnest(list_concat(w, {gram(2)})) AS term FROM gm_words) GROUP BY ALL),
+gm_vocab AS (
+  SELECT term, count(*) AS df, sum(tf) AS cf FROM gm_tf GROUP BY term HAVING count(*) >= 2
+  ORDER BY cf DESC, term LIMIT {GIVEN_FEATURES}),
+gm AS (
+  SELECT term, ln((1.0::DOUBLE + (SELECT count(*) FROM spiked)) / (1 + df)) + 1 AS idf,
+    [{', '.join(
+        f"(('0x' || substr(md5(term || {lit(':' + i)}), 1, 6))::INTEGER % 2001 - 1000) / {GIVEN_STEPS}::DOUBLE"
+        for i in packs.ALL_INTENTS)}] AS c
+  FROM gm_vocab),
+gm_raw AS (
+  SELECT customer_tweet_id, term, (1 + ln(tf)) * idf AS raw, c FROM gm_tf JOIN gm USING (term)),
+gm_x AS (
+  SELECT customer_tweet_id, term, c,
+    raw / sqrt(sum(raw * raw) OVER (PARTITION BY customer_tweet_id)) AS x FROM gm_raw),
+gm_dots AS (
+  SELECT customer_tweet_id, [{', '.join(f'sum(x * c[{i + 1}])' for i in _EIGHT)}] AS d
+  FROM gm_x GROUP BY 1),
+gm_margins AS (
+  SELECT s.*, [{', '.join(f'{b}::DOUBLE + coalesce(d[{i + 1}], 0)' for i, b in enumerate(GIVEN_BIASES))}] AS z
+  FROM spiked s LEFT JOIN gm_dots USING (customer_tweet_id)),
+scored AS (
+  SELECT * EXCLUDE (z), z, ([{_INTENT_LIST}])[list_position(z, list_max(z))] AS model_intent,
+    1.0 / list_sum(list_transform(z, lambda v: exp(v - list_max(z)))) AS full_confidence
+  FROM gm_margins)"""
+
+ROUTED_GIVEN = SPIKED + "," + GIVEN + f""",
+model AS (
+  SELECT conv_id, turn, customer_tweet_id, example_id, customer_text, model_intent,
+    round(full_confidence, 4) AS confidence, {strip('lower(customer_text)')} AS low
+  FROM scored),
+over AS (""" + ROUTED.split("over AS (", 1)[1]
+
+# Residual of every (row, class), summed per (term, class), plus the penalty.
+GRADIENT = f"""WITH {WEAK}, {GIVEN},
+sizes AS (SELECT intent, count(*) AS support FROM weak WHERE customer_text IS NOT NULL GROUP BY 1),
+n AS (SELECT sum(support)::DOUBLE AS n, count(*) AS k FROM sizes),
+residuals AS (
+  SELECT customer_tweet_id, [{', '.join(
+      f"(n / (k * support)) / n * (e[{i + 1}] / list_sum(e) - (intent = {lit(name)})::INTEGER)"
+      for i, name in enumerate(packs.ALL_INTENTS))}] AS r
+  FROM (SELECT customer_tweet_id, list_transform(z, lambda v: exp(v - list_max(z))) AS e
+        FROM scored WHERE customer_text IS NOT NULL)
+    JOIN weak USING (customer_tweet_id) JOIN sizes USING (intent), n),
+slopes AS (
+  SELECT term, [{', '.join(f'sum(x * r[{i + 1}])' for i in _EIGHT)}] AS g
+  FROM gm_x JOIN residuals USING (customer_tweet_id) GROUP BY term),
+lines AS (
+  SELECT term, [{', '.join(f'coalesce(g[{i + 1}], 0) + c[{i + 1}] / n' for i in _EIGHT)}] AS g
+  FROM gm LEFT JOIN slopes USING (term), n
+  UNION ALL SELECT '(bias)', [{', '.join(f'sum(r[{i + 1}])' for i in _EIGHT)}] FROM residuals)
+SELECT term, unnest([{_INTENT_LIST}]) AS label,
+  unnest(list_transform(g, lambda v: round(v, 9))) AS gradient FROM lines"""
+
+# One k-means round on sparse rows: centres of the given clusters, nearest centre.
+LLOYD = f"""{CLEANED},
+terms AS (SELECT doc_id, unnest(w) AS term FROM topic_words),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
+vocab AS (
+  SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term ORDER BY cf DESC, term LIMIT 2000),
+raw AS (
+  SELECT doc_id, term,
+    tf * (ln((1.0::DOUBLE + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS raw
+  FROM tf JOIN vocab USING (term)),
+x AS (SELECT doc_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS x FROM raw),
+start AS (SELECT doc_id, (doc_id % 10)::INTEGER AS cluster FROM cleaned WHERE clean_text <> ''),
+first_centres AS (
+  SELECT cluster, term, sum(x) / any_value(size) AS w
+  FROM x JOIN start USING (doc_id)
+    JOIN (SELECT cluster, count(*) AS size FROM start GROUP BY 1) USING (cluster) GROUP BY ALL),
+squares AS (SELECT cluster, sum(w * w) AS n FROM first_centres GROUP BY 1),
+dots AS (
+  SELECT doc_id, cluster, sum(x * w) AS d FROM x JOIN first_centres USING (term) GROUP BY ALL),
+far AS (
+  SELECT s.doc_id, q.cluster, q.n - 2 * coalesce(d, 0) AS far
+  FROM start s CROSS JOIN squares q LEFT JOIN dots ON dots.doc_id = s.doc_id AND dots.cluster = q.cluster),
+assigned AS (
+  SELECT doc_id, arg_min(cluster, (far, cluster)) AS cluster FROM far GROUP BY doc_id)"""
+
 MODEL_ROWS = PREDS + f""",
 majority AS (
   SELECT intent FROM weak GROUP BY intent ORDER BY count(*) DESC, intent LIMIT 1),
@@ -750,11 +838,11 @@ SELECT customer_tweet_id, intent FROM weak
 WHERE customer_tweet_id IN (SELECT customer_tweet_id FROM held)
    OR {strip('lower(customer_text)')} IN (SELECT {strip('lower(customer_text)')} FROM held)""",
     "score_given_model": given_score(),
-    "validate_golden": f"""WITH {GOLDEN}, t AS (
+    "validate_golden": f"""WITH {WEAK}, {AUTO}, t AS (
   SELECT count(*) AS n, count(*) - count(DISTINCT example_id) AS dup,
     count(*) FILTER (customer_text IS NULL) AS missing,
-    count(DISTINCT intent) FILTER (intent NOT IN
-      ({', '.join(lit(i) for i in packs.ALL_INTENTS)}, 'UNLABELED')) AS invalid,
+    count(DISTINCT intent) FILTER (intent NOT IN (SELECT intent FROM weak)
+      AND intent <> 'UNLABELED') AS invalid,
     count(*) FILTER (intent = 'UNLABELED') AS open FROM auto)
 SELECT 1::BIGINT AS check_no, 'row_count' AS check_name, n BETWEEN 150 AND 250 AS ok,
   CASE WHEN n BETWEEN 150 AND 250 THEN 0 ELSE n END AS bad FROM t
@@ -767,10 +855,62 @@ SELECT intent, count(*) AS n, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVE
 FROM auto GROUP BY 1""",
     "difficulty_distribution": f"""WITH {GOLDEN}
 SELECT difficulty, count(*) AS n FROM auto GROUP BY 1""",
+    "route_model": ROUTE_SQL.replace(ROUTED, ROUTED_GIVEN, 1),
+    "route_stream_model": ROUTE_SQL.replace(ROUTED, ROUTED_GIVEN, 1),
+    "model_round_trip": f"""WITH {SPIKED}, {GIVEN}
+SELECT customer_tweet_id, model_intent, round(full_confidence, 6) AS confidence FROM scored""",
+    "training_gradient": GRADIENT,
+    "golden_evaluation_given": f"""WITH {ROUTED_GIVEN}, {AUTO}, {HELD_OUT},
+named AS (
+  SELECT a.intent AS true_intent, d.intent AS predicted_intent
+  FROM decided d JOIN auto a USING (customer_tweet_id)
+  WHERE customer_tweet_id IN (SELECT customer_tweet_id FROM held)), {report('predicted_intent')}
+SELECT label, round(precision, 9) AS precision, round(recall, 9) AS recall, round(f1, 9) AS f1,
+  support FROM rep""",
+    "cluster_assign_given": f"WITH {LLOYD} SELECT doc_id, cluster FROM assigned",
+    "cluster_profile_given": f"""WITH {LLOYD},
+sizes AS (SELECT cluster, count(*) AS size FROM assigned GROUP BY 1),
+centres AS (
+  SELECT cluster, term, round(sum(x) / any_value(size), 9) AS w
+  FROM x JOIN assigned USING (doc_id) JOIN sizes USING (cluster) GROUP BY ALL),
+words AS (
+  SELECT cluster, string_agg(term, ', ' ORDER BY w DESC, term) AS words FROM (
+    SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY w DESC, term) AS nth FROM centres)
+  WHERE nth <= 5 GROUP BY 1),
+examples AS (
+  SELECT cluster, text, row_number() OVER (PARTITION BY cluster
+    ORDER BY NOT (length(clean_text) BETWEEN 31 AND 149), doc_id) AS nth
+  FROM cleaned JOIN assigned USING (doc_id))
+SELECT cluster, size, words, substr(replace(text, chr(10), ' '), 1, 200) AS example
+FROM sizes LEFT JOIN words USING (cluster) JOIN examples USING (cluster) WHERE nth = 1""",
+    "taxonomy": f"""WITH {WEAK}
+SELECT (row_number() OVER (ORDER BY intent) - 1)::INTEGER AS position, intent AS name
+FROM (SELECT DISTINCT intent FROM weak)""",
+    "csv_rejects": f"""WITH {MESSAGES}
+SELECT tweet_id, 9::BIGINT AS n_fields, 'too many fields: 9 instead of 7' AS reason,
+  TRUE AS has_file FROM msgs WHERE tweet_id % 5 = 3""",
+    "missing_columns": f"""WITH {MESSAGES}
+SELECT 'response_tweet_id' AS "column" FROM (SELECT count(*) AS n FROM msgs) WHERE n >= 0""",
+    "ordered_export": f"""WITH {MESSAGES}
+SELECT row_number() OVER (ORDER BY tweet_id) AS row_no, tweet_id FROM msgs""",
+    "profile_incremental": f"""WITH {DIRTY},
+ids AS (SELECT tweet_id, count(*) AS n FROM dirty WHERE tweet_id IS NOT NULL GROUP BY 1)
+""" + " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", 'n_rows' AS measure, count(*)::BIGINT AS value FROM dirty
+UNION ALL SELECT '{c}', 'n_null', count(*) FILTER ({c} IS NULL) FROM dirty"""
+        for c in ("tweet_id", "author_id", "inbound", "created_at", "text", "in_response_to_tweet_id")
+    ) + """
+UNION ALL SELECT 'tweet_id', 'unique_ids', count(*) FROM ids
+UNION ALL SELECT 'tweet_id', 'duplicated_ids', count(*) FILTER (n > 1) FROM ids
+UNION ALL SELECT 'tweet_id', 'extra_rows', sum(n - 1)::BIGINT FROM ids""",
+    "distinct_estimates": f"WITH {DIRTY} " + " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(DISTINCT {c}) AS exact, TRUE AS within_5_pct FROM dirty"""
+        for c in ("tweet_id", "author_id", "inbound", "created_at", "text", "in_response_to_tweet_id")
+    ),
     "review_queue": f"""WITH {REVIEW}
 SELECT a.example_id, a.customer_text, a.intent AS current_intent, f.suggested_intent,
   f.reason_for_review, '' AS human_decision, '' AS final_intent
-FROM auto a JOIN flags f USING (example_id)""",
+FROM auto a JOIN flags f USING (example_id) WHERE f.reason_for_review <> ''""",
     "review_gate": f"""WITH {REVIEW}
 SELECT count(*) FILTER (human_decision = '' OR suggested_intent IS NULL) AS open_rows,
   count(*) FILTER (human_decision = '' OR suggested_intent IS NULL) = 0 AS ok FROM flags""",

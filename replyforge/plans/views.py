@@ -11,9 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from replyforge.functions import packs
+from replyforge.operators import features
+from replyforge.operators.model import IntentModel
 from replyforge.operators.routing import decide
 from replyforge.operators.rules import auto_label, expected_escalation, weak_label
-from replyforge.sources.readers import read_table
+from replyforge.sources.readers import read_table, spread
+from replyforge.sources.stages import cut
 
 BRAND = "brand1"
 
@@ -35,6 +38,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, dealt over all cores for work on their texts."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def _message_columns():
     conv, turn, role = F.col("conv_id"), F.col("turn"), F.col("role")
     tweet_id = conv * 1000 + turn + 1
@@ -130,7 +138,7 @@ def spike(conversations: DataFrame) -> DataFrame:
 
 
 def spiked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spike(table(spark, sf_dir, "conversations"))
+    return spike(spread(table(spark, sf_dir, "conversations")))
 
 
 def with_model_stand_in(df: DataFrame) -> DataFrame:
@@ -178,17 +186,18 @@ def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def review_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Review table: which examples were flagged and what the reviewer said."""
+    """Review table of all messages: which were flagged and what the reviewer said."""
     slot = (F.col("conv_id") * 5 + F.col("turn")) % 12
-    return spiked(spark, sf_dir).where(slot < 3).select(
+    return spiked(spark, sf_dir).select(
         "example_id",
         F.element_at(
             F.array(*[F.lit(i) for i in packs.INTENTS]), (F.col("conv_id") % 7 + 1).cast("int")
         ).alias("suggested_intent"),
-        F.when(slot == 0, "wrong phrase").otherwise("wrong product").alias("reason_for_review"),
-        F.when(slot == 0, "accept").when(slot == 1, " Accept\t").otherwise("reject").alias(
-            "human_decision"
+        F.when(slot == 0, "wrong phrase").when(slot < 3, "wrong product").otherwise("").alias(
+            "reason_for_review"
         ),
+        F.when(slot == 0, "accept").when(slot == 1, " Accept\t").when(slot == 2, "reject")
+        .otherwise("").alias("human_decision"),
     ).withColumn("final_intent", F.col("suggested_intent"))
 
 
@@ -206,7 +215,7 @@ def event_chain(spark: SparkSession, sf_dir: str, cycles: bool = False) -> DataF
 
 def document_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as first-turn customer messages."""
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         F.col("doc_id").alias("customer_tweet_id"),
         F.col("doc_id").alias("conversation_id"),
         F.lit(1).cast("long").alias("turn_index"),
@@ -220,3 +229,33 @@ def human_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spiked(spark, sf_dir).select(
         "example_id", F.when(score > 0, score).alias("human_overall_score")
     )
+
+
+# Fixed values of the given model: vocabulary size, biases, steps per unit.
+GIVEN_FEATURES = 2000
+GIVEN_STEPS = 250.0
+GIVEN_BIASES = [0.3, -0.1, 0.2, 0.0, -0.2, 0.1, 0.4, -0.3]
+
+
+def given_model(spark: SparkSession, sf_dir: str) -> IntentModel:
+    """A model over all messages whose coefficients any engine can work out.
+
+    Its terms are the words and pairs of at least two messages, the most
+    frequent ones, with their idf; a coefficient is a hash of term and intent in
+    steps from -4 to 4.
+    """
+    words = cut(
+        spiked(spark, sf_dir).select(
+            "customer_tweet_id", features.training_words(F.col("customer_text")).alias("words")
+        ), "given-words",
+    )
+    grams = features.gram_lists(words, "customer_tweet_id", F.col("words"), (1, 2))
+    vocab = features.with_idf(features.vocabulary(grams, 2, GIVEN_FEATURES), words)
+    labels = list(packs.ALL_INTENTS)
+    digest = lambda name: F.md5(F.concat("term", F.lit(f":{name}")))
+    coefficients = F.array(*[
+        (F.conv(F.substring(digest(name), 1, 6), 16, 10).cast("long") % 2001 - 1000) / F.lit(GIVEN_STEPS)
+        for name in labels
+    ])
+    terms = cut(vocab.withColumn("coefficients", coefficients), "given-terms")
+    return IntentModel(terms, GIVEN_BIASES, labels)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from replyforge.functions.numbers import parse_flag, parse_id
 from replyforge.schemas import RAW_MESSAGES
+from replyforge.sources.taxonomy import entries
 
 _CORRUPT = "_corrupt_record"
 # Without columnPruning=false a narrow select would hide lines that do not fit.
@@ -19,18 +20,29 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan dealt over all cores where its files give fewer tasks than there are.
+
+    A file with one row group is one task, however long its texts take; a table
+    of many files is returned as it is.  Only for scans: asking a plan with
+    exchanges for its tasks would run them.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
+
+
 def read_csv(
     spark: SparkSession, path: str, schema: T.StructType = RAW_MESSAGES
 ) -> tuple[DataFrame, DataFrame]:
     """(rows, rejected lines) of a CSV file or folder, all columns as text.
 
-    A line with too many fields is rejected whole; one with too few keeps its
-    fields and gets NULLs.  Messages contain newlines, so files are parsed
+    A line with too many fields is rejected whole, as (file, line, n_fields,
+    reason); one with too few keeps its fields and gets NULLs.  Messages contain newlines, so files are parsed
     whole: keep them many and moderate, and hand Parquet to later jobs.
     """
     wide = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
     raw = spark.read.options(**CSV_OPTIONS, mode="PERMISSIVE", columnNameOfCorruptRecord=_CORRUPT)
-    table = raw.schema(wide).csv(path)
+    table = raw.schema(wide).csv(path).select("*", F.col("_metadata.file_name").alias("_file"))
     # Only lines that did not fit are looked at again, with one field to spare.
     spare = T.StructType([*schema.fields, T.StructField("_extra", T.StringType())])
     again = F.from_csv(_CORRUPT, spare.simpleString()[len("struct<"):-1].replace(":", " "),
@@ -41,7 +53,38 @@ def read_csv(
     some_field = F.coalesce(F.length(names[0]), F.lit(0)) >= 0
     return (
         table.where(~overfull & some_field).select(*names),
-        table.where(overfull & some_field).select(F.col(_CORRUPT).alias("line")),
+        table.where(overfull & some_field).select(
+            F.col("_file").alias("file"), F.col(_CORRUPT).alias("line"),
+            field_count(F.col(_CORRUPT)).alias("n_fields"),
+        ).withColumn(
+            "reason", F.concat(F.lit("too many fields: "), F.col("n_fields").cast("string"),
+                               F.lit(f" instead of {len(names)}")),
+        ),
+    )
+
+
+def field_count(line: Column) -> Column:
+    """Fields of a CSV record: separators outside quotes, plus one."""
+    bare = F.regexp_replace(line, '"[^"]*"', "")
+    return (F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1).cast("long")
+
+
+def read_in_order(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of a CSV export with ``row_no``, their place in file order, from 1.
+
+    Files follow each other by name, rows as they stand in their file.  Files are
+    numbered apart, each in a task, and shifted by the sizes of those before.
+    """
+    table = spark.read.options(**CSV_OPTIONS).schema(schema).csv(path).select(
+        "*", F.col("_metadata.file_name").alias("_file"), F.monotonically_increasing_id().alias("_at")
+    )
+    earlier = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    before = table.groupBy("_file").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))  # one row per file
+    )
+    nth = F.row_number().over(Window.partitionBy("_file").orderBy("_at"))
+    return table.withColumn("_nth", nth).join(F.broadcast(before), "_file").select(
+        (F.col("_before") + F.col("_nth")).alias("row_no"), *schema.fieldNames()
     )
 
 
@@ -91,19 +134,11 @@ def peek_schema(spark: SparkSession, path: str, rows: int | None = None) -> T.St
 def read_taxonomy(spark: SparkSession, path: str, section: str = "intents") -> DataFrame:
     """(position, name) of the intents in a taxonomy YAML file (one small file).
 
-    The file is a list of entries with a ``name``, or has that list under
-    ``section``; anything else is refused.
+    Read on the driver, from any store that Spark reads; ``taxonomy.read`` scans
+    folders of them in tasks.
     """
-    try:
-        import yaml
-    except ImportError as missing:
-        raise RuntimeError("reading a taxonomy needs PyYAML on the driver") from missing
     (text,) = [r["value"] for r in spark.read.text(path, wholetext=True).collect()]
-    found = yaml.safe_load(text)
-    entries = found.get(section) if isinstance(found, dict) else found
-    if not isinstance(entries, list) or not all(isinstance(e, dict) and "name" in e for e in entries):
-        raise ValueError(f"{path} has no list of named {section}")
-    names = [(i, str(e["name"])) for i, e in enumerate(entries)]
+    names = [(i, str(e["name"])) for i, e in enumerate(entries(text, section, path))]
     return spark.createDataFrame(names, "position int, name string")
 
 

@@ -25,6 +25,14 @@ def export_csv(df: DataFrame, path: str, order_by: tuple[str, ...] = ()) -> None
     ).csv(path)
 
 
+def append_csv(df: DataFrame, path: str) -> None:
+    """More files for a CSV folder; their columns need not be those that are there."""
+    df.write.mode("append").options(
+        header="true", quote='"', escape='"',
+        ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false",
+    ).csv(path)
+
+
 def write_metrics(df: DataFrame, path: str) -> None:
     """A one-row frame holding one JSON text becomes one JSON record."""
     df.write.mode("overwrite").text(path)

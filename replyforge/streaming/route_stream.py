@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from replyforge.operators.model import IntentModel, load_model, score as score_texts
 from replyforge.operators.routing import respond, split_blank
 
 
@@ -55,3 +56,26 @@ def route_stream(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def route_stream_model(
+    stream: DataFrame,
+    model: IntentModel | str,
+    routed_path: str,
+    rejects_path: str,
+    checkpoint: str,
+    text: str = "customer_text",
+    keep=(),
+) -> StreamingQuery:
+    """``route_stream`` with a trained model: each micro-batch is joined to its terms.
+
+    ``model`` is a model or the folder it was saved to; a folder is loaded once,
+    so all batches of a run use one version.  Scoring writes nothing, and equal
+    texts of a batch are scored once.
+    """
+    if isinstance(model, str):
+        model = load_model(model, stream.sparkSession)
+    return route_stream(
+        stream, lambda batch: score_texts(batch, model, text), routed_path, rejects_path,
+        checkpoint, text, keep,
+    )
