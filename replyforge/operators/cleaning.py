@@ -47,7 +47,9 @@ def clean_pairs(
     usable = pairs.where(failed_step(min_len).isNull())
     flagged = flag_long(deduplicated(usable), long_len)
     kept = cut(flagged.drop("turn_index", "conversation_turns"), "clean")
-    return number_within(kept, ["conversation_id"], ["support_tweet_id"], hot_rows=hot_rows)
+    # A reply can answer several messages: rows are unique by the pair.
+    order = ["support_tweet_id", "customer_tweet_id"]
+    return number_within(kept, ["conversation_id"], order, hot_rows=hot_rows)
 
 
 def clean_ledger(pairs: DataFrame, min_len: int = MIN_SUPPORT_LEN) -> DataFrame:

@@ -126,8 +126,11 @@ def train_classifier(
     return IntentModel(terms, [float(b) for b in fitted.interceptVector.toArray()], labels)
 
 
-def score(df: DataFrame, model: IntentModel, text: str = "customer_text") -> DataFrame:
-    """Add ``model_intent`` and ``confidence`` (the largest class probability).
+def score(
+    df: DataFrame, model: IntentModel, text: str = "customer_text", digits: int | None = None
+) -> DataFrame:
+    """Add ``model_intent`` and ``confidence`` (the largest class probability, rounded
+    to ``digits`` if given).
 
     A text is scored by the sum over its terms of weight times coefficient; one
     without any known term (or NULL) gets the biases.  A score depends on the
@@ -150,7 +153,7 @@ def score(df: DataFrame, model: IntentModel, text: str = "customer_text") -> Dat
     return keyed.join(sums, "_text", "left").withColumn("_margins", margins).select(
         *df.columns,
         F.element_at(names, F.array_position("_margins", best).cast("int")).alias("model_intent"),
-        (1.0 / mass).alias("confidence"),
+        (1.0 / mass if digits is None else F.round(1.0 / mass, digits)).alias("confidence"),
     )
 
 

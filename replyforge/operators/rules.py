@@ -159,9 +159,8 @@ def with_majority(df: DataFrame, labels: DataFrame, label: str = "intent", out:
 
 def expected_escalation(intent: Column, text: Column) -> Column:
     """1 when the true intent or the text calls for a person, else 0."""
-    words = packs.LOSS_WORDS + ["human", "agent", "real person"] + packs.ACCOUNT_WORDS
     return (
         F.when(intent.isin(packs.ESCALATION, packs.OTHER), 1)
-        .when(contains_any(normalised(text), words), 1)
+        .when(contains_any(normalised(text), packs.EXPECTED_WORDS), 1)
         .otherwise(0)
     )

@@ -869,16 +869,12 @@ def score_given_model(spark, sf):
     )
 
 
-def _four_digits(scored):
-    return scored.withColumn("confidence", F.round("confidence", 4))
-
-
 @query
 def route_model(spark, sf):
     """All messages routed by a saved and loaded model."""
-    usable, _ = routing.split_blank(views.spiked(spark, sf))
-    scored = _four_digits(ml.score(usable, _saved_model(spark, sf)))
-    routed = routing.respond(scored, keep=("example_id",))
+    routed, _ = jobs.route(
+        views.spiked(spark, sf), _saved_model(spark, sf), keep=("example_id",), digits=4
+    )
     return routed.select("example_id", F.to_json("response").alias("response"))
 
 
@@ -899,12 +895,9 @@ def route_stream_model(spark, sf):
     out = stage_path(spark, "routed")
     run_model_stream(
         views.spike(stream), path, out, stage_path(spark, "rejects"),
-        stage_path(spark, "stream-state"), keep=("example_id",),
+        stage_path(spark, "stream-state"), keep=("example_id",), digits=4,
     ).awaitTermination()
-    rounded = F.col("response").withField(
-        "predictions.confidence", F.round("response.predictions.confidence", 4)
-    )
-    return spark.read.parquet(out).select("example_id", F.to_json(rounded).alias("response"))
+    return spark.read.parquet(out).select("example_id", F.to_json("response").alias("response"))
 
 
 @query

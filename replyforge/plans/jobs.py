@@ -205,8 +205,9 @@ def agreement(judged: DataFrame, human: DataFrame) -> DataFrame:
 
 
 def route(
-    messages: DataFrame, model: ml.IntentModel, text: str = "customer_text", keep=()
+    messages: DataFrame, model: ml.IntentModel, text: str = "customer_text", keep=(),
+    digits: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(nested responses, rejected blank messages)."""
+    """(nested responses, rejected blank messages); confidence rounded to ``digits``."""
     usable, rejected = routing.split_blank(messages, text)
-    return routing.respond(ml.score(usable, model, text), text, keep), rejected
+    return routing.respond(ml.score(usable, model, text, digits), text, keep), rejected

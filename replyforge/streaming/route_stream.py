@@ -66,6 +66,7 @@ def route_stream_model(
     checkpoint: str,
     text: str = "customer_text",
     keep=(),
+    digits: int | None = None,
 ) -> StreamingQuery:
     """``route_stream`` with a trained model: each micro-batch is joined to its terms.
 
@@ -76,6 +77,6 @@ def route_stream_model(
     if isinstance(model, str):
         model = load_model(model, stream.sparkSession)
     return route_stream(
-        stream, lambda batch: score_texts(batch, model, text), routed_path, rejects_path,
+        stream, lambda batch: score_texts(batch, model, text, digits), routed_path, rejects_path,
         checkpoint, text, keep,
     )
