@@ -152,41 +152,77 @@ def format_paths(messages: DataFrame) -> DataFrame:
     )
 
 
-def format_trees(messages: DataFrame, branches: int | None = 1) -> DataFrame:
-    """Best ``branches`` paths of each tree (all if None) as conversations.
+def _named(messages: DataFrame) -> DataFrame:
+    """Messages with plain values, a node for each, and its row's own ``given`` node.
 
-    ``messages`` has tree, node, parent, role, text, score.  NULL role or text
-    reads as empty, NULL score as 0; a NULL tree is a tree of its own.  Of rows
-    that repeat a node one stays, the least by parent, role, text and score.
-    Rows without a node count as one node per tree, without replies.  Trees
-    that are empty give no row; further columns are not looked at.
+    A message without a node gets a number below all others, so it is a message
+    of its own, which may answer a parent but has no replies.
     """
-    clean = messages.select(
-        "tree", "node", "parent", F.coalesce("role", F.lit("")).alias("role"),
-        F.coalesce("text", F.lit("")).alias("text"),
+    clean = cut(messages.select(
+        "tree", F.col("node").cast("long").alias("given"), F.col("parent").cast("long").alias("parent"),
+        F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
         F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"),
-    )
-    kept = clean.groupBy("tree", "node").agg(
-        F.min(F.struct("parent", "role", "text", "score")).alias("m")
-    )
-    nodes = cut(kept.select("tree", "node", "m.*"), "messages")
+        F.monotonically_increasing_id().alias("at"),
+    ), "messages")
+    least = clean.agg(F.least(F.min("given"), F.lit(0))).first()[0]
+    return clean.withColumn("node", F.coalesce("given", F.lit(least or 0) - 1 - F.col("at"))).drop("at")
+
+
+def place_trees(messages: DataFrame, branches: int | None = 1) -> tuple[DataFrame, DataFrame]:
+    """(conversations, messages that are in no tree).
+
+    Conversations: the best ``branches`` paths of each tree (all if None), as
+    ``format_paths`` has them, with rank and branch_score.  ``messages`` has
+    tree, node, parent, role, text, score.  NULL role or text reads as empty,
+    NULL score as 0; a NULL tree is a tree of its own.  A message without a node
+    is one of its own; rows that repeat a message are one.  Trees that are empty
+    give no row; further columns are not looked at.
+
+    Not placed (tree, node, parent, role, text, score, reason): where rows of one
+    node differ, all but the least by parent, role, text and score ("another
+    message has this node"), and messages on or below a cycle ("no root").
+    """
+    clean = _named(messages)
+    values = F.struct("parent", "role", "text", "score", "given")
+    # Repeated rows go before the exchange; what is left of a node are its different messages.
+    different = clean.select("tree", "node", values.alias("m")).distinct()
+    first = different.groupBy("tree", "node").agg(F.min("m").alias("m"))
+    nodes = cut(first.select("tree", "node", "m.*"), "nodes")
     rounds, reach = jump_tables(nodes)
     leaves = cut(chosen_leaves(nodes, reach, branches), "leaves")
     steps = expand(leaves, rounds)
     texts = nodes.select(
         F.col("tree").alias("t"), F.col("node").alias("n"), "role", "text"
     )
-    path = steps.join(
-        texts, F.col("tree").eqNullSafe(F.col("t")) & F.col("node").eqNullSafe(F.col("n"))
-    )
+    path = steps.join(texts, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")))
     done = format_paths(path.select("tree", "leaf", "back", "role", "text"))
     ranks = leaves.select(
         F.col("tree").alias("t"), F.col("leaf").alias("l"), "rank", "branch_score"
     )
-    return done.join(
-        ranks, F.col("tree").eqNullSafe(F.col("t")) & F.col("leaf").eqNullSafe(F.col("l"))
+    conversations = done.join(
+        ranks, F.col("tree").eqNullSafe(F.col("t")) & (F.col("leaf") == F.col("l"))
     ).drop("t", "l")
 
+    kept = nodes.select(F.col("tree").alias("t"), F.col("node").alias("n"), values.alias("kept"))
+    others = different.join(
+        kept, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))
+    ).where(~F.col("m").eqNullSafe(F.col("kept"))).select(
+        "tree", "m.*", F.lit("another message has this node").alias("reason")
+    )
+    rooted = reach.select(F.col("tree").alias("t"), F.col("node").alias("n"))
+    adrift = nodes.join(
+        rooted, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n")), "left_anti"
+    ).select("tree", "parent", "role", "text", "score", "given", F.lit("no root").alias("reason"))
+    unplaced = others.unionByName(adrift).select(
+        "tree", F.col("given").alias("node"), "parent", "role", "text", "score", "reason"
+    )
+    return conversations, unplaced
+
+
+def format_trees(messages: DataFrame, branches: int | None = 1) -> DataFrame:
+    """The conversations of ``place_trees``."""
+    return place_trees(messages, branches)[0]
+
 
 def thread_messages(conversations: DataFrame) -> DataFrame:
     """Linear conversations as trees: each turn answers the one before."""

@@ -200,6 +200,29 @@ def test_tree_paths_and_ranking(llm):
     assert chat.format_trees(df.where("false")).count() == 0
 
 
+def test_no_message_is_lost(llm):
+    tree = [
+        (1, 1, None, "user", "root", 0.0), (1, 2, 1, "assistant", "one answer", 1.0),
+        (1, 2, 1, "assistant", "another answer", 1.0), (1, 2, 1, "assistant", "one answer", 1.0),
+        (1, None, 1, "assistant", "no node", 1.0), (1, None, 1, "assistant", "no node", 1.0),
+        (1, None, None, "user", "no node, no parent", 1.0), (1, -7, 1, "assistant", "negative", 1.0),
+        (2, 1, 2, "user", "cycle a", 0.0), (2, 2, 1, "user", "cycle b", 0.0),
+        (2, 3, 2, "user", "below the cycle", 0.0), (None, None, None, "user", "nothing", 0.0),
+        (None, None, None, "user", "known", 0.0),
+    ]
+    df = llm.createDataFrame(
+        tree, "tree long, node long, parent long, role string, text string, score double")
+    out, unplaced = chat.place_trees(df.repartition(3), branches=None)
+    turns = out.select("tree", chat.read_turns(out["formatted"])["text"].alias("texts"))
+    assert sorted(((r.tree, tuple(r.texts)) for r in turns.collect()), key=repr) == sorted([
+        (1, ("root", "another answer")), (1, ("root", "no node")), (1, ("root", "no node")),
+        (1, ("no node, no parent",)), (1, ("root", "negative")), (None, ("nothing",)), (None, ("known",)),
+    ], key=repr)
+    assert rows(unplaced, "tree", "node", "text", "reason") == sorted([
+        (1, 2, "one answer", "another message has this node"), (2, 1, "cycle a", "no root"),
+        (2, 2, "cycle b", "no root"), (2, 3, "below the cycle", "no root")], key=repr)
+
+
 def test_long_thread(llm):
     n = 37
     df = llm.range(n).selectExpr(
