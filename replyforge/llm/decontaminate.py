@@ -2,10 +2,11 @@
 
 A shard is a run of whole documents of about ``SHARD_BYTES``.  Its word suffix
 array is built by prefix doubling (only groups still tied are sorted again),
-deep enough for the longest window.  Every benchmark suffix is looked up by
-binary search in every shard; the matching range gives all places, runs of
-places give the longest verbatim match.  Documents never move: a shard lives
-and dies within one task.
+deep enough for the longest window.  Every benchmark suffix that is long enough
+for a window is looked up by binary search in every shard; the matching range
+gives all places, and where a suffix begins to match, the match is followed to
+its last word.  Suffixes that begin alike are looked up once.  Documents never
+move: a shard lives and dies within one task.
 
 Benchmark items are the stated query set.  They are read in blocks of at most
 ``BLOCK_BYTES`` of text, so what is sent to the executors at once is bounded;
@@ -26,6 +27,7 @@ from replyforge.llm.words import LOWER, Chunk, Words, chunks, find_words
 WINDOW = 10
 SHARD_BYTES = 1 << 21
 BLOCK_BYTES = 8 << 20
+PAIRS = 1 << 20  # pairs of a hit and an item's place that are followed at once
 
 HITS = ("doc_id long, text_key binary, n_words long, spans array<struct<start:long,stop:long>>, "
         "items array<string>, longest long")
@@ -121,18 +123,26 @@ class SuffixArray:
 
 @dataclass
 class Suffixes:
-    """Distinct windows of a block of items, with the items that hold each."""
+    """Suffixes of a block of items: distinct first windows, and where they lie.
+
+    ``sequence`` holds the word hashes of all items, a 0 before and after each;
+    window w begins there at ``places[first[w]:first[w + 1]]``.
+    """
 
     windows: np.ndarray
     lengths: np.ndarray
     items_of: list[np.ndarray]
+    sequence: np.ndarray
+    places: np.ndarray
+    first: np.ndarray
     item_ids: list[str]
     word_bytes: dict[int, bytes]
 
     @classmethod
     def of(cls, ids: list[str], texts: list[str], window: int) -> Suffixes:
         word_bytes: dict[int, bytes] = {}
-        held: dict[tuple, set[int]] = {}
+        held: dict[tuple, tuple[set[int], list[int]]] = {}
+        sequence: list[int] = [0]
         for item, text in enumerate(texts):
             for chunk in chunks(pa.array([text], pa.string()), 1 << 40):
                 words = find_words(chunk)
@@ -143,13 +153,49 @@ class Suffixes:
                         raise ValueError("two benchmark words share a 64-bit hash")
                 size = min(window, len(hashes))
                 for k in range(len(hashes) - size + 1 if size else 0):
-                    held.setdefault(tuple(hashes[k:k + size]), set()).add(item)
+                    items, places = held.setdefault(tuple(hashes[k:k + size]), (set(), []))
+                    items.add(item)
+                    places.append(len(sequence) + k)
+                sequence += [*hashes, 0]
         table = np.zeros((len(held), window), dtype=np.uint64)
         lengths = np.zeros(len(held), dtype=np.int64)
         for row, key in enumerate(held):
             table[row, : len(key)] = key
             lengths[row] = len(key)
-        return cls(table, lengths, [np.array(sorted(s)) for s in held.values()], ids, word_bytes)
+        places = [p for _, p in held.values()]
+        return cls(
+            table, lengths, [np.array(sorted(i)) for i, _ in held.values()],
+            np.array(sequence, dtype=np.uint64), np.array(sum(places, []), dtype=np.int64),
+            np.cumsum([0, *map(len, places)]), ids, word_bytes,
+        )
+
+    def longest(self, hashes: np.ndarray, which: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Words of the longest match that begins at each hit, 0 where one goes on from
+        the word before: window which[k] lies at place at[k] of ``hashes``, which has a
+        0 at both ends of every text."""
+        best = np.zeros(len(at), dtype=np.int64)
+        count = np.diff(self.first)[which]
+        ends = np.cumsum(count)
+        start = 0
+        while start < len(at):
+            # Hits and places of their windows in pairs, a bounded number at a time.
+            stop = max(start + 1, int(np.searchsorted(ends, ends[start] + PAIRS, "right")))
+            n = count[start:stop]
+            hit = np.repeat(np.arange(start, stop), n)
+            offset = np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n)
+            mine = self.places[self.first[which[hit]] + offset]
+            theirs = at[hit]
+            begins = (self.sequence[mine - 1] != hashes[theirs - 1]) | (self.sequence[mine - 1] == 0)
+            hit, mine, theirs = hit[begins], mine[begins], theirs[begins]
+            size = self.lengths[which[hit]]
+            going = np.arange(len(hit))
+            while len(going):
+                word = self.sequence[mine[going] + size[going]]
+                going = going[(word != 0) & (word == hashes[theirs[going] + size[going]])]
+                size[going] += 1
+            np.maximum.at(best, hit, size)
+            start = stop
+        return best
 
 
 def _search(chunk: Chunk, block: Suffixes, window: int):
@@ -186,6 +232,10 @@ def _search(chunk: Chunk, block: Suffixes, window: int):
     by_row = np.argsort(row, kind="stable")
     which, row, word = which[by_row], row[by_row], word[by_row]
     edges = np.searchsorted(row, np.arange(len(counts) + 1))
+    # The words of the shard between marks, as the items have them.
+    marked = np.zeros(len(words.hashes) + len(counts) + 1, dtype=np.uint64)
+    marked[np.arange(len(words.hashes)) + words.rows() + 1] = words.hashes
+    runs = block.longest(marked, which, word + row + 1)
     for r in range(len(counts)):
         a, b = edges[r], edges[r + 1]
         if a == b:
@@ -193,14 +243,10 @@ def _search(chunk: Chunk, block: Suffixes, window: int):
             continue
         first = word[a:b] - words.bounds[r]
         size = block.lengths[which[a:b]]
-        items: dict[int, list] = {}
-        for w, start, length in zip(which[a:b], first, size):
-            for item in block.items_of[w]:
-                items.setdefault(int(item), []).append((int(start), int(length)))
-        longest = max(_longest(sorted(v)) for v in items.values())
+        items = {int(i) for w in np.unique(which[a:b]) for i in block.items_of[w]}
         spans = _united(sorted(zip(first.tolist(), (first + size).tolist())))
         ids = sorted({block.item_ids[i] for i in items})
-        yield int(counts[r]), spans, ids, longest
+        yield int(counts[r]), spans, ids, int(runs[a:b].max())
 
 
 def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -213,18 +259,6 @@ def _united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(s) for s in out]
 
 
-def _longest(windows: list[tuple[int, int]]) -> int:
-    """Words of the longest run of windows that start at consecutive words."""
-    best = run = 0
-    last = None
-    for start, length in windows:
-        if start == last:
-            continue
-        run = run + 1 if last is not None and start == last + 1 else length
-        best, last = max(best, run), start
-    return best
-
-
 def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
     items = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"),
@@ -243,7 +277,7 @@ def find_matches(
 
     ``spans`` are the hit words [start, stop), ``items`` the ids (as text) of
     items with a window in the document, ``longest`` the words of the longest
-    run of windows of one item.  An item shorter than the window is one window;
+    verbatim match with any item (0 below a window).  An item shorter than the window is one window;
     NULL texts have no words; a NULL item id reads as ''.  Repeated rows are
     answered each.  Columns other than doc_id, item_id and text are not read.
     """

@@ -228,6 +228,21 @@ def brute_windows(docs, items, size=10):
     return sorted(out)
 
 
+def brute_longest(text, items, size=10):
+    """Words of the longest run that text and an item share, if it holds a window."""
+    w, best = words_of(text), 0
+    for _, item in items:
+        v = words_of(item)
+        for a in range(len(w)):
+            for b in range(len(v)):
+                n = 0
+                while a + n < len(w) and b + n < len(v) and w[a + n] == v[b + n]:
+                    n += 1
+                if n >= min(size, len(v)):
+                    best = max(best, n)
+    return best
+
+
 def test_windows_like_brute_force(llm):
     items = [(1, prose(1, 30)), (2, prose(2, 10)), (3, "Short item"), (4, None), (10, prose(1, 14)),
              (11, "again " * 15)]
@@ -243,8 +258,11 @@ def test_windows_like_brute_force(llm):
         found = decontaminate.find_matches(df, bench, block_bytes=block_bytes)
         got = found.select("doc_id", "n_words", decontaminate.hit_words().alias("n"), "items")
         assert sorted((a, b, c, tuple(d)) for a, b, c, d in got.collect()) == brute_windows(docs, items)
-    longest = dict(rows(decontaminate.find_matches(df, bench), "doc_id", "longest"))
-    assert longest[1] == 30 and longest[2] == 12 and longest[8] == 20 and longest[0] == 0
+    for block_bytes in (1 << 20, 60):
+        found = decontaminate.find_matches(df, bench, block_bytes=block_bytes)
+        longest = dict(rows(found, "doc_id", "longest"))
+        assert longest == {i: brute_longest(t, items) for i, t in docs}
+    assert longest[1] == 30 and longest[2] == 12 and longest[9] == 15 and longest[0] == 0
     clean = decontaminate.remove_contaminated(df, bench)
     assert rows(clean, "doc_id") == sorted(
         [(i,) for i, _, n, _ in brute_windows(docs, items) if not n], key=repr
