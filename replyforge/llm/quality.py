@@ -3,7 +3,11 @@
 Two generative models of hashed n-grams are counted: one over target texts
 (labelled good), one over all raw texts.  A text's log weight is the sum of
 log(target / raw) over its n-grams, so it measures how much likelier the target
-model makes the text.  A sample of k raw texts without replacement, in
+model makes the text.  The target model leans on the raw one: each bucket has
+PRIOR more occurrences than counted, observed and expected alike, so an n-gram
+too rare for the target texts to have is no evidence, however long the text or
+few the labels.  Target texts are in two folds; a labelled text is weighed by
+the other fold's model, all others by the mean of both.  A sample of k raw texts without replacement, in
 proportion to the weights, is the k largest sums of log weight and Gumbel noise
 (drawn from the text's id, so a rerun draws the same).
 
@@ -17,7 +21,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
 
 from replyforge.llm.words import (
     LOWER, NOT_BLANK, Chunk, chunks, find_words, mix, salt, text_hashes,
@@ -25,7 +30,7 @@ from replyforge.llm.words import (
 from replyforge.sources.stages import cut
 
 BUCKETS = 1 << 16
-SMOOTHING = 1.0
+PRIOR = 10.0
 TEMPERATURE = 1.0
 BINS = 4096
 
@@ -87,70 +92,82 @@ CUT_RANGE, CUT_STEP = 20.0, 0.05
 
 
 def labelled_sample(labels: DataFrame, limit: int = LABELLED_ROWS) -> DataFrame:
-    """(id, quality, fit): at most ``limit`` rows, the first in hash order of the id.
+    """(id, quality, fold): at most ``limit`` rows, the first in hash order of the id.
 
-    Half of them (``fit``) supply the target texts, the others, whose n-grams the
-    target model has not seen, the cut.  Ids labelled more than once count as good only if always good; rows with a
+    Ids labelled more than once count as good only if always good; rows with a
     NULL id or label are left out.
     """
     clean = labels.where("doc_id is not null and quality is not null").groupBy(
         F.col("doc_id").cast("long").alias("_label_id")
     ).agg(F.min("quality").cast("int").alias("_quality"))
     return clean.orderBy(F.xxhash64("_label_id"), "_label_id").limit(limit).withColumn(
-        "_fit", F.pmod(F.xxhash64("_label_id", F.lit(1)), F.lit(2)) == 0
+        "_fold", F.pmod(F.xxhash64("_label_id", F.lit(1)), F.lit(2)).cast("int")
     )
 
 
-def _with_labels(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """(doc_id, text, target, quality): is it a target text; its label if the cut may use it."""
+def _with_labels(docs: DataFrame, sample: DataFrame, *more) -> DataFrame:
+    """(doc_id, text, fold, quality, more): fold is -1 and quality NULL without a label."""
     given = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *more
     )
-    return given.join(
-        F.broadcast(sample), given["doc_id"] == sample["_label_id"], "left"  # LABELLED_ROWS rows
-    ).select(
-        "doc_id", "text", F.coalesce(F.col("_fit") & (F.col("_quality") == 1), F.lit(False)).alias("_target"),
-        F.when(~F.col("_fit"), F.col("_quality")).alias("_quality"),
+    named = sample.withColumnRenamed("_label_id", "doc_id")
+    return given.join(F.broadcast(named), "doc_id", "left").select(  # LABELLED_ROWS rows
+        "doc_id", "text", F.coalesce("_fold", F.lit(-1)).alias("fold"),
+        F.col("_quality").alias("quality"), *given.columns[2:],
     )
 
 
 def count_models(docs: DataFrame, sample: DataFrame) -> np.ndarray:
-    """log(target / raw) of every bucket, counted over all ``docs``."""
+    """(2, BUCKETS): log(target / raw) of every bucket for either fold's target texts."""
 
     def count(batches):
         raw = np.zeros(BUCKETS, dtype=np.int64)
-        target = np.zeros(BUCKETS, dtype=np.int64)
+        target = np.zeros((2, BUCKETS), dtype=np.int64)
         for batch in batches:
-            good = batch.column(2).to_numpy(zero_copy_only=False)
+            fold = batch.column(2).to_numpy()
+            good = pc.equal(batch.column(3), 1).fill_null(False).to_numpy(zero_copy_only=False)
             for chunk in chunks(batch.column(1)):
                 grams, bounds = ngrams(chunk)
                 raw += np.bincount(grams, minlength=BUCKETS)
-                mine = np.repeat(good[chunk.first:chunk.first + chunk.n], np.diff(bounds))
-                target += np.bincount(grams[mine], minlength=BUCKETS)
+                of = slice(chunk.first, chunk.first + chunk.n)
+                for f in (0, 1):
+                    mine = np.repeat(good[of] & (fold[of] == f), np.diff(bounds))
+                    target[f] += np.bincount(grams[mine], minlength=BUCKETS)
         seen = np.flatnonzero(raw)
         yield pa.RecordBatch.from_pydict({
             "bucket": pa.array(seen, pa.int64()), "raw": pa.array(raw[seen], pa.int64()),
-            "target": pa.array(target[seen], pa.int64()),
+            "t0": pa.array(target[0][seen], pa.int64()), "t1": pa.array(target[1][seen], pa.int64()),
         })
 
-    parts = _with_labels(docs, sample).mapInArrow(count, "bucket long, raw long, target long")
-    sums = parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-    raw = np.full(BUCKETS, SMOOTHING)
-    target = np.full(BUCKETS, SMOOTHING)
+    parts = _with_labels(docs, sample).mapInArrow(count, "bucket long, raw long, t0 long, t1 long")
+    sums = parts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("raw", "t0", "t1")])
+    raw, target = np.zeros(BUCKETS), np.zeros((2, BUCKETS))
     for r in sums.collect():  # BUCKETS rows at most
-        raw[r["bucket"]] += r["raw"]
-        target[r["bucket"]] += r["target"]
-    if target.sum() == SMOOTHING * BUCKETS:
-        return np.zeros(BUCKETS)  # nothing is known to be good: all texts weigh the same
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+        raw[r["bucket"]] = r["raw"]
+        target[:, r["bucket"]] = r["t0"], r["t1"]
+    return np.stack([log_ratio(target[f] if target[f].any() else target.sum(axis=0), raw) for f in (0, 1)])
 
 
-def log_weights(texts: pa.Array, ratio: np.ndarray) -> np.ndarray:
+def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """log(target / raw) of every bucket, from occurrences; 0 where a model is empty."""
+    if not target.any():
+        return np.zeros(len(raw))  # nothing is known to be good: all texts weigh the same
+    share = raw / raw.sum()
+    leaning = (target + PRIOR) / (target.sum() * share + PRIOR)
+    return np.log(leaning / (leaning * share).sum())
+
+
+def log_weights(texts: pa.Array, fold: np.ndarray, ratios: np.ndarray) -> np.ndarray:
+    """Log weights: by the other fold's model, or by both where the fold is -1."""
+    tables = {-1: ratios.mean(axis=0), 0: ratios[1], 1: ratios[0]}
     out = np.zeros(len(texts))
     for chunk in chunks(texts):
         grams, bounds = ngrams(chunk)
-        sums = np.concatenate([[0.0], np.cumsum(ratio[grams])])
-        out[chunk.first:chunk.first + chunk.n] = sums[bounds[1:]] - sums[bounds[:-1]]
+        own = fold[chunk.first:chunk.first + chunk.n]
+        for f in np.unique(own).tolist():
+            sums = np.concatenate([[0.0], np.cumsum(tables[f][grams])])
+            weights = sums[bounds[1:]] - sums[bounds[:-1]]
+            out[chunk.first:chunk.first + chunk.n][own == f] = weights[own == f]
     return out
 
 
@@ -161,9 +178,10 @@ def gumbel(ids: np.ndarray, seed: int = 0) -> np.ndarray:
     return -np.log(-np.log(uniform))
 
 
-def _keys(batch: pa.RecordBatch, ids: int, texts: int, ratio: np.ndarray, temperature: float):
-    weights = log_weights(batch.column(texts), ratio)
-    known = batch.column(ids).cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
+def _keys(batch: pa.RecordBatch, ratios: np.ndarray, temperature: float):
+    """(log weights, keys) of (doc_id, text, fold, ...)."""
+    weights = log_weights(batch.column(1), batch.column(2).to_numpy(), ratios)
+    known = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
     return weights, weights / temperature + gumbel(known)
 
 
@@ -172,7 +190,7 @@ def score(docs: DataFrame, sample: DataFrame, ratio, temperature: float = TEMPER
 
     def run(batches):
         for batch in batches:
-            weights, keys = _keys(batch, 0, 1, ratio.value, temperature)
+            weights, keys = _keys(batch, ratio.value, temperature)
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column(0), "quality": batch.column(3),
                 "log_weight": weights, "key": keys,
@@ -186,8 +204,9 @@ def score(docs: DataFrame, sample: DataFrame, ratio, temperature: float = TEMPER
 def sample_size(scored: DataFrame) -> int:
     """How many raw texts are as likely as the good ones: the k of the sample.
 
-    The cut on the log weight that errs least on the labelled sample (the middle
-    of the widest such gap), counted over all raw rows.
+    The cut on the log weight with the smallest sum of the shares of good texts
+    lost and of bad ones kept in the labelled sample (the middle of the widest
+    such gap), counted over all raw rows.  All rows, if either label is missing.
     """
     scaled = F.signum("log_weight") * F.log1p(F.abs("log_weight"))
     place = F.floor(F.least(F.greatest(scaled, F.lit(-CUT_RANGE)), F.lit(CUT_RANGE)) / CUT_STEP).cast("long")
@@ -197,15 +216,16 @@ def sample_size(scored: DataFrame) -> int:
         F.count_if(F.col("quality") == 0).alias("bad"),
     )
     rows = sorted(tuple(r) for r in bins.collect())  # 2 * CUT_RANGE / CUT_STEP rows at most
-    if not any(bad for _, _, _, bad in rows):
+    all_good, all_bad = (sum(r[c] for r in rows) for c in (2, 3))
+    if not all_good or not all_bad:
         return sum(n for _, n, _, _ in rows)
     low, high = int(-CUT_RANGE / CUT_STEP), int(CUT_RANGE / CUT_STEP) + 1
     by_bin = {b: (n, good, bad) for b, n, good, bad in rows}
-    errors, now = [], sum(bad for _, _, _, bad in rows)
+    errors, now = [], all_bad * all_good
     for b in range(low, high + 1):  # keeping bins b and above
         errors.append(now)
         _, good, bad = by_bin.get(b, (0, 0, 0))
-        now += good - bad
+        now += good * all_bad - bad * all_good
     least = min(errors)
     runs, start = [], None
     for k, e in enumerate([*errors, -1]):
@@ -251,10 +271,10 @@ class Resampler:
 
     def __init__(self, docs: DataFrame, labels: DataFrame, k: int | None = None,
                  temperature: float = TEMPERATURE, labelled_rows: int = LABELLED_ROWS):
-        sample = cut(labelled_sample(labels, labelled_rows), "labelled")
+        self.sample = cut(labelled_sample(labels, labelled_rows), "labelled")
         self.temperature = temperature
-        self.ratio = docs.sparkSession.sparkContext.broadcast(count_models(docs, sample))
-        self.scored = cut(score(docs, sample, self.ratio, temperature), "log-weights")
+        self.ratio = docs.sparkSession.sparkContext.broadcast(count_models(docs, self.sample))
+        self.scored = cut(score(docs, self.sample, self.ratio, temperature), "log-weights")
         self.k = sample_size(self.scored) if k is None else k
         self.threshold = largest_keys(self.scored, self.k)
 
@@ -267,18 +287,15 @@ class Resampler:
     def keep(self, docs: DataFrame) -> DataFrame:
         """The sampled rows of the corpus, all columns as they are."""
         ratio, temperature, threshold = self.ratio, self.temperature, self.threshold
-        id_at, text_at = docs.columns.index("doc_id"), docs.columns.index("text")
+        whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+        rows = _with_labels(docs, self.sample, whole)
 
         def run(batches):
             for batch in batches:
-                columns = list(batch.columns)
-                columns[text_at] = columns[text_at].fill_null("")
-                filled = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-                _, keys = _keys(filled, id_at, text_at, ratio.value, temperature)
-                yield batch.filter(pa.array(keys >= threshold))
+                _, keys = _keys(batch, ratio.value, temperature)
+                yield batch.select(["_row"]).filter(pa.array(keys >= threshold))
 
-        schema = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema.fields])
-        return docs.mapInArrow(run, schema)
+        return rows.mapInArrow(run, rows.select("_row").schema).select("_row.*")
 
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
@@ -287,7 +304,7 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFr
     Without ``k`` the sample is as large as the part of the corpus that looks
     like the labelled good texts.  Rows that tie at the last place stay
     together.  NULL and empty texts have log weight 0; NULL ids share one
-    noise; repeated rows share weight and noise.  Without labels, or without
-    any bad one, every row stays.  Only doc_id and text of ``docs`` are read.
+    noise; repeated rows share weight and noise.  Without labels, or with one
+    kind of them only, every row stays.  Only doc_id and text of ``docs`` are read.
     """
     return Resampler(docs, labels, k).keep(docs)

@@ -2,11 +2,13 @@
 
 import hashlib
 import itertools
+import math
 import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from llm.helpers import rows
 
 from llm.prose import prose
@@ -320,6 +322,78 @@ def test_quality_keeps_good_texts(llm, odd, none):
     assert quality.resample(none, labels).count() == 0
 
 
+def brute_decisions(docs, labels, prior=10.0):
+    """Log weight of each id, models and all worked out by hand."""
+    grams = {}
+    for k, text in docs:
+        (chunk,) = chunks(pa.array([text], pa.string())) if text else (None,)
+        grams[k] = quality.ngrams(chunk)[0].tolist() if chunk else []
+    fold = labels  # id -> (fold, quality)
+    raw = Counter(g for gs in grams.values() for g in gs)
+    total = sum(raw.values())
+    target = [Counter(g for k, gs in grams.items() if fold.get(k) == (f, 1) for g in gs) for f in (0, 1)]
+
+    def table(t):
+        size = sum(t.values())
+        lean = {b: (t[b] + prior) / (size * n / total + prior) for b, n in raw.items()}
+        mass = sum(lean[b] * n / total for b, n in raw.items())
+        return {b: math.log(x / mass) for b, x in lean.items()}
+
+    tables = [table(t) for t in target]
+    weights = {}
+    for k, gs in grams.items():
+        sums = [sum(t[g] for g in gs) for t in tables]
+        weights[k] = sums[1 - fold[k][0]] if k in fold else sum(sums) / 2
+    return weights
+
+
+def test_models_and_sample_like_brute_force(llm):
+    docs = [(k, prose(k, 20 + k % 30) if k % 5 else junk(k)) for k in range(120)]
+    docs += [(200, None), (201, ""), (202, docs[6][1])]
+    df = llm.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    labels = llm.createDataFrame([(k, int(k % 5 > 0)) for k in range(0, 120, 2)], "doc_id long, quality int")
+    fitted = quality.Resampler(df, labels)
+    folds = {r["_label_id"]: (r["_fold"], r["_quality"]) for r in fitted.sample.collect()}
+    assert {f for f, _ in folds.values()} == {0, 1}
+    got = {r.doc_id: r for r in fitted.decisions().collect()}
+    want = brute_decisions(docs, folds)
+    assert {k: r.log_weight for k, r in got.items()} == pytest.approx(want, abs=1e-9)
+    # The size: every cut of the scale is tried on the labelled texts.
+    step = {k: math.floor(min(max(math.copysign(math.log1p(abs(w)), w), -20), 20) / 0.05)
+            for k, w in want.items()}
+    good = [step[k] for k, (_, q) in folds.items() if q == 1]
+    bad = [step[k] for k, (_, q) in folds.items() if q == 0]
+    errors = {c: sum(g < c for g in good) / len(good) + sum(b >= c for b in bad) / len(bad)
+              for c in range(-400, 403)}
+    sizes = {sum(s >= c for s in step.values()) for c, e in errors.items() if e == min(errors.values())}
+    assert fitted.k in sizes
+    noise = quality.gumbel(np.array(list(want)))
+    keys = {k: want[k] + g for k, g in zip(want, noise)}
+    assert {k for k, r in got.items() if r.kept} == set(sorted(keys, key=lambda k: -keys[k])[:fitted.k])
+    assert {r.doc_id for r in fitted.keep(df).collect()} == {k for k, r in got.items() if r.kept}
+
+
+def test_rows_that_tie_at_the_last_place_stay_together(llm):
+    docs = [(5, "good words here")] * 3 + [(5, None), (6, None)]
+    df = llm.createDataFrame(docs, "doc_id long, text string")
+    labels = llm.createDataFrame([(5, 1)], "doc_id long, quality int")
+    for k in (1, 2, 3, 4):
+        fitted = quality.Resampler(df, labels, k=k)
+        kept = rows(fitted.keep(df), "doc_id", "text")
+        assert kept.count((5, "good words here")) in (0, 3)  # one key: all or none
+        assert len(kept) >= k and fitted.decisions().where("kept").count() == len(kept)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_good_documents_stay_and_bad_ones_go(llm, sf):
+    read = lambda t: llm.read.parquet(f"/root/testdata/{sf}/{t}.parquet")
+    labels = {r.doc_id: r.quality for r in read("labels").collect()}
+    kept = {r.doc_id for r in quality.resample(read("documents"), read("labels")).collect()}
+    good, bad = ([i for i, q in labels.items() if q == v] for v in (1, 0))
+    assert sum(i in kept for i in good) >= 0.98 * len(good)
+    assert sum(i in kept for i in bad) <= 0.2 * len(bad)
+
+
 # -- toxicity ----------------------------------------------------------------
 
 
