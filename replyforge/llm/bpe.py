@@ -1,7 +1,9 @@
 """Byte-level BPE encoding and decoding with a pair occurrence index.
 
 Texts are cut at blanks between two non-blank characters, where no pre-token
-can cross, so each distinct cut piece is encoded once per task and kept.
+can cross.  The pieces of a batch are numbered by Arrow, each distinct one is
+encoded once and kept in a table of bounded size for all tasks of the worker,
+and ids, decimals and decoded bytes are gathered for whole batches.
 New pre-tokens of a batch are merged together: every adjacent pair is listed
 under its merge rank with all its positions, the active ranks are applied in
 ascending order to all their positions, and each merge updates the lists of
@@ -18,16 +20,16 @@ import hashlib
 import heapq
 import json
 import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-KEEP_PIECES = 300_000  # entries of a task's caches before they start anew
+KEEP_BYTES = 40 << 20  # of one generation of a worker's table, about
 BATCH_CHARS = 1 << 21
 
 # Fixed value: the pre-token rule of byte-level BPE files with use_regex.
@@ -48,6 +50,28 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def _refuse_other_rules(spec: dict, path: str) -> None:
+    """Stops at a tokenizer file with rules that are not those of this module."""
+    cut = spec.get("pre_tokenizer") or {}
+    model = spec["model"]
+    reasons = [
+        name for name, there in (
+            ("a normalizer", spec.get("normalizer")),
+            ("another pre-tokenizer", cut.get("type") != "ByteLevel"),
+            ("a prefix space", cut.get("add_prefix_space")),
+            ("no pre-token rule", not cut.get("use_regex", True)),
+            ("dropout", model.get("dropout")),
+            ("byte fallback", model.get("byte_fallback")),
+            ("merges that are ignored", model.get("ignore_merges")),
+            ("added tokens that strip or need whole words", any(
+                t.get(f) for t in spec["added_tokens"] for f in ("lstrip", "rstrip", "single_word")
+            )),
+        ) if there
+    ]
+    if reasons:
+        raise ValueError(f"{path} has {', '.join(reasons)}")
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices starts[0], starts[0]+1, ... of all runs, one after the other."""
     ends = np.cumsum(lengths)
@@ -55,12 +79,56 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
+class Table:
+    """Encoded pieces: ids (and their decimals with a comma after each), end to end."""
+
+    def __init__(self):
+        self.entries: dict[str, int] = {}
+        self.ids, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.digits, self.widths = np.zeros(0, np.uint8), np.zeros(0, np.int64)
+        self.size = 0  # bytes, about
+
+    def add(
+        self, keys: list[str], ids: np.ndarray, lengths: np.ndarray, decimals: Decimals | None = None
+    ) -> None:
+        """Entries for new keys; ``ids`` holds theirs one after the other."""
+        self.entries.update(zip(keys, range(len(self.lengths), len(self.lengths) + len(keys))))
+        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+        self.lengths = np.concatenate([self.lengths, lengths])
+        self.size += 180 * len(keys) + 4 * sum(map(len, keys)) + 4 * len(ids)
+        if decimals is not None:
+            widths = decimals.width[ids]
+            edges = np.concatenate([[0], np.cumsum(widths)])
+            ends = np.concatenate([[0], np.cumsum(lengths)])
+            digits = decimals.flat[ragged(decimals.start[ids], widths)]
+            self.digits = np.concatenate([self.digits, digits])
+            self.widths = np.concatenate([self.widths, np.diff(edges[ends])])
+            self.size += len(digits)
+
+    def ids_of(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all the entries, ids per entry)."""
+        lengths = self.lengths[entries]
+        starts = np.cumsum(self.lengths) - self.lengths
+        return self.ids[ragged(starts[entries], lengths)], lengths
+
+
+class Decimals:
+    """Every id as decimal digits and a comma."""
+
+    def __init__(self, size: int):
+        written = [b"%d," % i for i in range(size)]
+        self.flat = np.frombuffer(b"".join(written), np.uint8)
+        self.width = np.array([len(w) for w in written], np.int64)
+        self.start = np.cumsum(self.width) - self.width
+
+
 class PairIndexBPE:
     """One tokenizer file: encoder, decoder and what a worker has seen so far."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _refuse_other_rules(spec, path)
         vocabulary = spec["model"]["vocab"]
         alphabet = byte_alphabet()
         self.byte_ids = [0] * 256
@@ -73,7 +141,12 @@ class PairIndexBPE:
             left, right = vocabulary[a], vocabulary[b]
             self.merges.append((left, right, vocabulary[a + b]))
             self.rank[left << 32 | right] = r
+        self.byte_symbols = np.array(self.byte_ids)
+        self.byte_ranks = np.array([
+            [self.rank.get(a << 32 | b, -1) for b in self.byte_ids] for a in self.byte_ids
+        ])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.special_marks = {t[0] for t in self.special}
         longest_first = sorted(self.special, key=len, reverse=True)
         self.special_cut = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") \
             if self.special else None
@@ -84,41 +157,34 @@ class PairIndexBPE:
         self.token_length = np.array([len(t) for t in tokens], dtype=np.int64)
         self.token_start = np.cumsum(self.token_length) - self.token_length
         self.token_bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)
-        self.forget()
-
-    def forget(self) -> None:
-        self.pre_tokens: dict[str, list[int]] = {}
-        self.whole: dict[str, int] = {}  # piece -> number
-        self.led: dict[str, int] = {}  # the same, of the piece with a blank before it
-        self.decimals: list[str] = []
-        self.lengths = array("q")
-        self.flat = array("q")
+        self.decimals = Decimals(size)
+        self.table, self.before = Table(), Table()
 
     # -- merging -------------------------------------------------------------
 
-    def merge(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of each piece."""
-        symbols: list[int] = []
-        right: list[int] = []
-        bounds = [0]
-        for piece in pieces:
-            at = len(symbols)
-            symbols.extend([self.byte_ids[b] for b in piece])
-            right.extend(range(at + 1, len(symbols) + 1))
-            if piece:
-                right[-1] = -1
-            bounds.append(len(symbols))
-        left = [-1] * len(symbols)
+    def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, ids per piece)."""
+        flat = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        bounds = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
+        n = len(flat)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        some = np.diff(bounds) > 0
+        after[bounds[1:][some] - 1] = before[bounds[:-1][some]] = -1
+        # All places of all byte pairs that merge, listed by rank.
+        ranks = np.full(n, -1, dtype=np.int64)
+        ranks[:-1] = self.byte_ranks[flat[:-1], flat[1:]]
+        ranks[after < 0] = -1
+        at = np.flatnonzero(ranks >= 0)
+        at = at[np.argsort(ranks[at], kind="stable")]
+        found, first_at = np.unique(ranks[at], return_index=True)
+        listed = at.tolist()
+        edges = [*first_at.tolist(), len(listed)]
+        places = {r: listed[x:y] for r, x, y in zip(found.tolist(), edges[:-1], edges[1:])}
+        symbols = self.byte_symbols[flat].tolist()
+        left, right = before.tolist(), after.tolist()
+        bounds = bounds.tolist()
         rank, merges = self.rank, self.merges
-        places: dict[int, list[int]] = {}
-        for i, j in enumerate(right):
-            if j >= 0:
-                left[j] = i
-                r = rank.get(symbols[i] << 32 | symbols[j])
-                if r is not None:
-                    places.setdefault(r, []).append(i)
-        active = list(places)
-        heapq.heapify(active)
+        active = list(places)  # in ascending order: a heap
         while active:
             r = heapq.heappop(active)
             todo = places.pop(r)
@@ -157,86 +223,116 @@ class PairIndexBPE:
                         places.setdefault(r, []).extend(rest)
                         heapq.heappush(active, r)
                     break
-        return [
-            [s for s in symbols[bounds[k]:bounds[k + 1]] if s >= 0] for k in range(len(pieces))
-        ]
+        merged = np.array(symbols, dtype=np.int64)
+        left_over = np.concatenate([[0], np.cumsum(merged >= 0)])
+        return merged[merged >= 0], np.diff(left_over[bounds])
 
     # -- texts ---------------------------------------------------------------
 
     def _segments(self, text: str) -> list[str]:
         """Pre-tokens and special tokens of a text."""
-        if self.special_cut is None or not self.special_cut.search(text):
+        if text.isascii() and text[1:].isalpha() and (text[0] == " " or text[0].isalpha()):
+            return [text]  # an ASCII word, with or without a blank before it
+        if not self.special_marks & set(text) or not self.special_cut.search(text):
             return PRE_TOKEN.findall(text)
         out = []
         for part in self.special_cut.split(text):
             out += [part] if part in self.special else PRE_TOKEN.findall(part)
         return out
 
-    def _learn(self, names: list[str], cache: dict[str, int], lead: str) -> None:
-        cut = [self._segments(lead + name) for name in names]
-        new = {p for parts in cut for p in parts} - self.pre_tokens.keys() - self.special.keys()
-        new = sorted(new)
-        self.pre_tokens.update(zip(new, self.merge([p.encode() for p in new])))
-        for name, parts in zip(names, cut):
-            ids: list[int] = []
-            for p in parts:
-                ids += [self.special[p]] if p in self.special else self.pre_tokens[p]
-            cache[name] = len(self.lengths)
-            self.lengths.append(len(ids))
-            self.decimals.append(",".join(map(str, ids)))
-            self.flat.extend(ids)
+    def _numbers(self, keys: list[str]) -> np.ndarray:
+        """Entry of each key in the current table; new ones are encoded.
+
+        When the table is full it becomes the one before, whose entries move to
+        the new one when they are asked for; what is not asked for is forgotten.
+        """
+        if self.table.size > KEEP_BYTES:
+            self.table, self.before = Table(), self.table
+        entries, before = self.table.entries, self.before.entries
+        missing = list(dict.fromkeys(k for k in keys if k not in entries))
+        known = [k for k in missing if k in before]
+        if known:
+            self.table.add(known, *self.before.ids_of(np.array([before[k] for k in known])), self.decimals)
+        unknown = [k for k in missing if k not in before]
+        cut = [self._segments(k) for k in unknown]
+        new = sorted({p for parts in cut for p in parts} - entries.keys())
+        plain = [p for p in new if p not in self.special]
+        self.table.add(plain, *self.merge([p.encode() for p in plain]), self.decimals)
+        special = [p for p in new if p in self.special]
+        ids = np.array([self.special[p] for p in special], dtype=np.int64)
+        self.table.add(special, ids, np.ones(len(ids), np.int64), self.decimals)
+        rest = [(k, parts) for k, parts in zip(unknown, cut) if k not in entries]
+        flat = np.array([entries[p] for _, parts in rest for p in parts], dtype=np.int64)
+        ids, lengths = self.table.ids_of(flat)
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        edges = np.concatenate([[0], np.cumsum([len(parts) for _, parts in rest])]).astype(np.int64)
+        self.table.add([k for k, _ in rest], ids, np.diff(ends[edges]), self.decimals)
+        return np.array([entries[k] for k in keys], dtype=np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """(ids of all texts, ids per text, decimal ids joined by commas per text)."""
-        if len(self.lengths) > KEEP_PIECES or len(self.pre_tokens) > KEEP_PIECES:
-            self.forget()
-        cut: list[list[str]] = []
-        plain: list[bool] = []
-        heads: set[str] = set()
-        tails: set[str] = set()
-        for text in texts:
-            # Next to other blanks a blank does not always start a pre-token.
-            easy = not _NEAR_BLANKS.search(text)
-            parts = text.split(" ") if easy else self._segments(text)
-            cut.append(parts)
-            plain.append(easy)
-            if easy:
-                heads.add(parts[0])
-                tails.update(parts[1:])
-            else:
-                heads.update(parts)
-        self._learn(sorted(heads - self.whole.keys()), self.whole, "")
-        self._learn(sorted(tails - self.led.keys()), self.led, " ")
-        numbers: list[int] = []
-        counts, joined = [], []
-        for parts, easy in zip(cut, plain):
-            if easy:
-                own = [self.whole[parts[0]], *map(self.led.__getitem__, parts[1:])]
-            else:
-                own = list(map(self.whole.__getitem__, parts))
-            if own and not self.lengths[own[0]]:
-                own = own[1:]  # an empty text, or nothing before the first blank
-            numbers += own
-            counts.append(len(own))
-            joined.append(",".join(map(self.decimals.__getitem__, own)))
-        lengths = np.frombuffer(self.lengths, dtype=np.int64) if self.lengths else np.zeros(0, int)
-        starts = np.cumsum(lengths) - lengths
-        at = np.array(numbers, dtype=np.int64)
-        flat = np.frombuffer(self.flat, dtype=np.int64) if self.flat else np.zeros(0, int)
-        ids = flat[ragged(starts[at], lengths[at])]
-        ends = np.concatenate([[0], np.cumsum(lengths[at])])[
-            np.cumsum(np.array(counts, dtype=np.int64))
-        ]
-        return ids, np.diff(np.concatenate([[0], ends])).astype(np.int64), joined
+        # Next to other blanks a blank does not always start a pre-token.
+        easy = np.array([not _NEAR_BLANKS.search(t) for t in texts], dtype=bool)
+        split = pc.split_pattern(pa.array([t for t, e in zip(texts, easy) if e], pa.string()), " ")
+        at = split.offsets.to_numpy().astype(np.int64)
+        coded = split.flatten().dictionary_encode()
+        code, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        led = np.ones(len(code), dtype=bool)
+        led[at[:-1]] = False  # a text's first piece has no blank before it
+        seen = np.zeros((2, len(names)), dtype=bool)
+        seen[led.astype(np.int64), code] = True
+        heads, tails = np.flatnonzero(seen[0]), np.flatnonzero(seen[1])
+        hard = [self._segments(t) if t else [] for t, e in zip(texts, easy) if not e]
+        rest = sorted({p for parts in hard for p in parts})
+        keys = [names[c] for c in heads.tolist()] + [" " + names[c] for c in tails.tolist()]
+        numbers = self._numbers(keys + rest)
+        number = np.zeros((2, len(names)), dtype=np.int64)
+        number[0, heads], number[1, tails] = np.split(numbers[:len(keys)], [len(heads)])
+        found = dict(zip(rest, numbers[len(keys):].tolist()))
+        others = [found[p] for parts in hard for p in parts]
+        entries = np.concatenate([number[led.astype(np.int64), code], np.array(others, dtype=np.int64)])
+        # Entries of each text: the easy texts come first, in their order.
+        sizes = np.zeros(len(texts), dtype=np.int64)
+        sizes[easy], sizes[~easy] = np.diff(at), [len(parts) for parts in hard]
+        order = np.argsort(~easy, kind="stable")
+        starts = np.zeros(len(texts), dtype=np.int64)
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        entries = entries[ragged(starts, sizes)]
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+
+        def gathered(flat, lengths):
+            own = lengths[entries]
+            values = flat[ragged((np.cumsum(lengths) - lengths)[entries], own)]
+            return values, np.concatenate([[0], np.cumsum(own)])[bounds]
+
+        table = self.table
+        ids, ends = gathered(table.ids, table.lengths)
+        digits, cuts = gathered(table.digits, table.widths)
+        raw = digits.tobytes()  # every id is followed by a comma
+        joined = [raw[a:max(a, b - 1)].decode() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        return ids.astype(np.int64), np.diff(ends), joined
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
         """Texts of runs of ids; bytes that are no UTF-8 become replacement marks."""
+        return [b.decode("utf-8", "replace") for b in self.decoded_bytes(ids, counts)]
+
+    def decoded_bytes(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """The tokens' bytes of runs of ids, whether they are UTF-8 or not."""
         lengths = self.token_length[ids]
         raw = self.token_bytes[ragged(self.token_start[ids], lengths)].tobytes()
         ends = np.concatenate([[0], np.cumsum(lengths)])[
             np.concatenate([[0], np.cumsum(counts)])
         ]
-        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:])]
+        return [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+
+def _as_text(raw: bytes) -> bytes:
+    """UTF-8 of the text that the bytes decode to."""
+    try:
+        raw.decode()
+    except UnicodeDecodeError:
+        return raw.decode("utf-8", "replace").encode()
+    return raw
 
 
 @lru_cache(maxsize=4)
@@ -260,12 +356,12 @@ def _encoded(model: PairIndexBPE, batch: pa.RecordBatch, ids: bool) -> Iterator[
     texts = batch.column(1).to_pylist()
     for start, stop in bounded(texts):
         found, counts, joined = model.encode(texts[start:stop])
-        back = model.decode(found, counts)
+        back = model.decoded_bytes(found, counts)
         columns = {
             "doc_id": batch.column(0).slice(start, stop - start),
             "n_tokens": pa.array(counts),
             "ids_sha256": [hashlib.sha256(j.encode()).hexdigest() for j in joined],
-            "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in back],
+            "decoded_sha256": [hashlib.sha256(_as_text(b)).hexdigest() for b in back],
         }
         if ids:
             ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
@@ -285,11 +381,8 @@ def encode_documents(docs: DataFrame, path: str, ids: bool = False) -> DataFrame
 
     def encode(batches):
         model = tokenizer(path)
-        try:
-            for batch in batches:
-                yield from _encoded(model, batch, ids)
-        finally:
-            model.forget()  # the worker lives on, for other tasks
+        for batch in batches:
+            yield from _encoded(model, batch, ids)
 
     given = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")

@@ -1,12 +1,14 @@
 """Line dedup, tokenizers, token files, chat, sharding: brute force and odd input."""
 
 import hashlib
+import json
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
 from llm.helpers import rows
+from llm.prose import prose
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
@@ -113,6 +115,30 @@ def test_bpe_any_text(texts):
     assert model.decode(ids, counts) == texts
 
 
+def test_bpe_table_turns_over(monkeypatch):
+    """A full table becomes the one before; results do not depend on what is kept."""
+    monkeypatch.setattr(bpe, "KEEP_BYTES", 3000)
+    model, library = bpe.PairIndexBPE(BYTE), Tokenizer.from_file(BYTE)
+    for k in range(30):
+        texts = [prose(k % 7 + j, 12) + ", it's" for j in range(4)] + TRICKY[k % len(TRICKY):][:2]
+        ids, counts, joined = model.encode(texts)
+        want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert joined == [",".join(map(str, w)) for w in want]
+        assert ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
+        assert model.decode(ids, counts) == [library.decode(w, skip_special_tokens=False) for w in want]
+
+
+def test_bpe_refuses_other_rules(tmp_path):
+    spec = json.load(open(BYTE, encoding="utf-8"))
+    for change in ({"normalizer": {"type": "Lowercase"}},
+                   {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}},
+                   {"added_tokens": [{"content": "x", "id": 1, "lstrip": True}]}):
+        path = tmp_path / "t.json"
+        path.write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError, match="t.json has"):
+            bpe.PairIndexBPE(str(path))
+
+
 def test_bpe_documents(llm, odd, none):
     encoded = bpe.encode_documents(odd, BYTE, ids=True)
     back = bpe.decode_documents(encoded, BYTE)
