@@ -4,13 +4,14 @@ Every block of ids is coded by itself: all models start anew, so blocks can be
 read in any order and a damaged one stays alone.  numpy codes one id of every
 block per step; a block is a lane.
 
-An id's probability is a mix of three predictions: the id that followed the
-last two ids before (order 2), the id that followed the last one (order 1),
-and adaptive frequencies of the block's ids (order 0, upper and lower byte).
-The weights of the mix adapt too, apart for each state of confidence in the two
-predicted ids.  A step codes which part of the mix holds the id, then both
-bytes together if it is order 0.  Byte frequencies are counted at once and come
-into force every REFRESH ids.
+An id's probability is the weighted sum of three predictions: the id that
+followed the last two ids before (order 2), the id that followed the last one
+(order 1), and adaptive frequencies of the block's ids (order 0, upper byte
+times lower byte given the upper one or its class).  An id that several orders predict gets the sum of what each
+gives it, and is coded in one step from that one distribution.  The weights
+adapt too, apart for each state of confidence in the two predicted ids: every
+order gains by its share in the probability of the id that came.  Byte
+frequencies are counted at once and come into force every REFRESH ids.
 
 The coder keeps 48 bits of low and range and emits 16 bits when the range gets
 short; where a carry could still come, the range is cut so that it cannot.
@@ -26,8 +27,11 @@ BLOCK = 4096
 TABLE = 1024  # contexts of orders 1 and 2 in a block
 STEP = 8  # weight of a new observation in byte frequencies
 FULL = 3500  # total at which byte frequencies are halved; stays below 2**12
-REFRESH = 16
+REFRESH = 64
 MIX_STEP, MIX_FULL = 24, 4000
+CLASSES = 16  # tables of lower bytes: one for each upper byte below 15, one for the rest
+LOWER = 4096  # what the frequencies of a table of lower bytes add up to
+SHARES = 120  # what the weights of the three orders add up to, about
 MAX_ID = 1 << 16
 
 _U = np.uint64
@@ -71,60 +75,133 @@ class _Bytes:
         return group + (self.flat_below[at] <= mark).sum(axis=1)
 
 
+class _LowerBytes:
+    """Adaptive frequencies of the lower byte, a table per lane and class.
+
+    Frequencies in force are scaled to LOWER, so an id's frequency by order 0 has
+    one total whatever its class.  Only tables with new counts are summed again.
+    """
+
+    def __init__(self, lanes: int):
+        self.count = np.ones((lanes * CLASSES, 256), dtype=np.int16)
+        self.flat = self.count.reshape(-1)
+        self.below = np.empty((lanes * CLASSES, 257), dtype=np.int16)
+        self.below[:] = np.arange(257) * (LOWER // 256)
+        self.flat_below = self.below.reshape(-1)
+        self.coarse = self.below[:, 16:256:16].copy()
+        self.touched: list[np.ndarray] = []
+
+    def add(self, table: np.ndarray, symbol: np.ndarray) -> None:
+        self.flat[table * 256 + symbol] += STEP
+        self.touched.append(table)
+
+    def refresh(self) -> None:
+        new = np.zeros(len(self.count), dtype=bool)
+        new[np.concatenate(self.touched)] = True
+        self.touched = []
+        rows = np.flatnonzero(new)
+        sums = np.cumsum(self.count[rows], axis=1, dtype=np.int32)
+        full = np.flatnonzero(sums[:, -1] > FULL)
+        if len(full):
+            self.count[rows[full]] = (self.count[rows[full]] + 1) >> 1
+            sums[full] = np.cumsum(self.count[rows[full]], axis=1, dtype=np.int32)
+        below = sums * (LOWER - 256) // sums[:, -1:] + np.arange(1, 257, dtype=np.int32)
+        self.below[rows, 1:] = below
+        self.coarse[rows] = below[:, 15:255:16]
+
+    span = _Bytes.span
+    find = _Bytes.find
+
+
 class _Models:
     """Predictions of all lanes; encoder and decoder update them alike."""
 
     def __init__(self, lanes: int):
-        self.high, self.low = _Bytes(lanes), _Bytes(lanes)
+        self.high, self.low = _Bytes(lanes), _LowerBytes(lanes)
         self.one = np.zeros(lanes * TABLE, dtype=np.int32)  # id << 2 | confidence
         self.two = np.zeros(lanes * TABLE, dtype=np.int32)
         # Weights of order 2, 1 and 0 in 16 bits each.
         self.mix = np.full(lanes * 32, 8 | 8 << 16 | 16 << 32, dtype=np.int64)
         self.lane1 = np.arange(lanes, dtype=np.int64) * TABLE
         self.lane32 = np.arange(lanes, dtype=np.int64) * 32
+        self.lanes = np.arange(lanes, dtype=np.int64)
         self.last = np.zeros(lanes, dtype=np.int64)
         self.before = np.zeros(lanes, dtype=np.int64)
         self.step = 0
 
     def look(self, k: int) -> None:
-        """Predictions and mix of the first k lanes."""
+        """The distribution of the first k lanes: predicted ids, weights, total."""
         own = self.last[:k] * 40503
         self.at1 = self.lane1[:k] + ((own >> 5) & (TABLE - 1))
         self.at2 = self.lane1[:k] + ((own + self.before[:k] * 60493 >> 5) & (TABLE - 1))
         e1, e2 = self.one[self.at1], self.two[self.at2]
-        self.p1, self.p2 = e1 >> 2, e2 >> 2
+        self.p1, self.p2 = (e1 >> 2).astype(np.int64), (e2 >> 2).astype(np.int64)
         self.c1, self.c2 = e1 & 3, e2 & 3
         state = (self.c2 << 2) + self.c1 + ((self.p1 == self.p2) << 4)
         self.at = self.lane32[:k] + state
-        # Prefix sums of the three weights, field by field.
-        self.sums = self.mix[self.at] * (1 | 1 << 16 | 1 << 32)
-        self.total = self.sums >> 32 & _FIELD
-
-    def span(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        shift = part << 4
-        below = (self.sums << 16) >> shift & _FIELD
-        return below, (self.sums >> shift & _FIELD) - below
-
-    def learn(self, k: int, ids, hit1, hit2, part, lanes) -> None:
-        """``lanes``: those whose id was coded by its bytes."""
-        self.mix[self.at] += MIX_STEP << (part << 4)
-        full = self.at[self.total > MIX_FULL]
+        fields = self.mix[self.at]
+        f2, f1, f0 = fields & _FIELD, fields >> 16 & _FIELD, fields >> 32
+        self.sum = f2 + f1 + f0
+        w2, w1 = f2 * SHARES // self.sum, f1 * SHARES // self.sum
+        self.w0 = 1 + f0 * SHARES // self.sum
+        unit = self.high.total[:k] * LOWER  # order 0 adds up to this
+        self.u1, self.u2 = w1 * unit, w2 * unit
+        self.total = self.w0 * unit + self.u1 + self.u2
+
+    def order0(self, k: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(frequency of smaller ids, frequency of the id) by order 0 alone."""
+        lanes, high = self.lanes[:k], ids >> 8
+        low1, size1 = self.high.span(lanes, high)
+        low2, size2 = self.low.span(lanes * CLASSES + np.minimum(high, CLASSES - 1), ids & 255)
+        return low1 * LOWER + size1 * low2, size1 * size2
+
+    def span(self, k: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(cumulative frequency below the id, its frequency) in the mix."""
+        below, size = self.order0(k, ids)
+        self.own = self.w0 * size
+        below = self.w0 * below + self.u1 * (self.p1 < ids) + self.u2 * (self.p2 < ids)
+        self.hit1, self.hit2 = self.p1 == ids, self.p2 == ids
+        self.size = self.own + self.u1 * self.hit1 + self.u2 * self.hit2
+        return below, self.size
+
+    def find(self, k: int, goal: np.ndarray) -> np.ndarray:
+        """The id whose span holds ``goal``."""
+        rest = goal.copy()
+        found = np.full(k, -1, dtype=np.int64)
+        for guess, added in ((self.p1, self.u1), (self.p2, self.u2)):
+            below, size = self.span(k, guess)
+            found = np.where((goal >= below) & (goal < below + size), guess, found)
+            rest -= added * (goal >= below + size)
+        rest = np.minimum(rest // self.w0, self.high.total[:k] * LOWER - 1)
+        lanes = self.lanes[:k]
+        high = self.high.find(lanes, rest // LOWER)
+        low1, size1 = self.high.span(lanes, high)
+        goal = np.clip((rest - low1 * LOWER) // size1, 0, LOWER - 1)
+        low = self.low.find(lanes * CLASSES + np.minimum(high, CLASSES - 1), goal)
+        return np.where(found >= 0, found, high << 8 | low)
+
+    def learn(self, k: int, ids: np.ndarray) -> None:
+        """After ``span`` of the ids."""
+        gain2 = MIX_STEP * self.u2 * self.hit2 // self.size
+        gain1 = MIX_STEP * self.u1 * self.hit1 // self.size
+        gain0 = MIX_STEP * self.own // self.size
+        self.mix[self.at] += gain2 | gain1 << 16 | gain0 << 32
+        full = self.at[self.sum > MIX_FULL]
         if len(full):
             half = 0x7FFF | 0x7FFF << 16 | 0x7FFF << 32
             self.mix[full] = (self.mix[full] >> 1 & half) + (1 | 1 << 16 | 1 << 32)
         packed = ids.astype(np.int32) << 2
-        self.one[self.at1] = packed + np.minimum(self.c1 + 1, 3) * hit1
-        self.two[self.at2] = packed + np.minimum(self.c2 + 1, 3) * hit2
-        if len(lanes):
-            literal = ids[lanes]
-            self.high.flat[lanes * 256 + (literal >> 8)] += STEP
-            self.low.flat[lanes * 256 + (literal & 255)] += STEP
+        self.one[self.at1] = packed + np.minimum(self.c1 + 1, 3) * self.hit1
+        self.two[self.at2] = packed + np.minimum(self.c2 + 1, 3) * self.hit2
+        high = ids >> 8
+        self.high.flat[self.lanes[:k] * 256 + high] += STEP
+        self.low.add(self.lanes[:k] * CLASSES + np.minimum(high, CLASSES - 1), ids & 255)
         self.before[:k] = self.last[:k]
         self.last[:k] = ids
         self.step += 1
         if self.step % REFRESH == 0:
             self.high.refresh(k)
-            self.low.refresh(k)
+            self.low.refresh()
 
 
 def _cut(low: np.ndarray, width: np.ndarray) -> np.ndarray:
@@ -229,18 +306,8 @@ def encode_blocks(ids: np.ndarray, sizes: np.ndarray) -> tuple[list[bytes], np.n
     for row, k in zip(table, open_at.tolist()):
         x = row[:k].astype(np.int64)
         models.look(k)
-        hit2, hit1 = models.p2 == x, models.p1 == x
-        part = np.where(hit2, 0, 2 - hit1)
-        coder.put(slice(0, k), *models.span(part), models.total)
-        lanes = np.flatnonzero(part == 2)
-        if len(lanes):
-            symbol = x[lanes]
-            low1, size1 = models.high.span(lanes, symbol >> 8)
-            low2, size2 = models.low.span(lanes, symbol & 255)
-            total2 = models.low.total[lanes]
-            coder.put(lanes, low1 * total2 + size1 * low2, size1 * size2,
-                      models.high.total[lanes] * total2)
-        models.learn(k, x, hit1, hit2, part, lanes)
+        coder.put(slice(0, k), *models.span(k, x), models.total)
+        models.learn(k, x)
     payloads = [b""] * len(sizes)
     for block, payload in zip(order, coder.finish()):
         payloads[block] = payload
@@ -257,22 +324,10 @@ def decode_blocks(payloads: list[bytes], sizes: np.ndarray, sums: np.ndarray) ->
         models.look(k)
         every = slice(0, k)
         goal = coder.target(every, models.total)
-        f0, f01 = models.sums & _FIELD, models.sums >> 16 & _FIELD
-        part = (goal >= f0).astype(np.int64) + (goal >= f01)
-        coder.take(every, *models.span(part))
-        x = np.where(part == 0, models.p2, models.p1).astype(np.int64)
-        lanes = np.flatnonzero(part == 2)
-        if len(lanes):
-            total2 = models.low.total[lanes]
-            goal = coder.target(lanes, models.high.total[lanes] * total2)
-            high = models.high.find(lanes, goal // total2)
-            low1, size1 = models.high.span(lanes, high)
-            low = models.low.find(lanes, (goal - low1 * total2) // size1)
-            low2, size2 = models.low.span(lanes, low)
-            coder.take(lanes, low1 * total2 + size1 * low2, size1 * size2)
-            x[lanes] = high << 8 | low
+        x = models.find(k, goal)
+        coder.take(every, *models.span(k, x))
         row[:k] = x
-        models.learn(k, x, models.p1 == x, models.p2 == x, part, lanes)
+        models.learn(k, x)
     starts = np.cumsum(sizes) - sizes
     ids = np.zeros(int(sizes.sum()), dtype=np.uint16)
     for lane, block in enumerate(order):

@@ -8,7 +8,7 @@ k holds the documents before those of file k + 1, in ascending doc_id order;
 ``read_token_files`` needs nothing but the files.
 
 Texts are cut at single blanks and line feeds, which the word tokenizer drops
-and no token crosses, and each distinct cut is encoded once per task.
+and no token crosses; each distinct cut is encoded once while a worker keeps it.
 """
 
 from __future__ import annotations
@@ -19,16 +19,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from replyforge.llm.bpe import bounded, ragged
+from replyforge.llm.bpe import Table, bounded
 from replyforge.llm.range_coder import BLOCK, decode_blocks, encode_blocks
 from replyforge.sources.stages import stage_path
 
 SEGMENT_IDS = 1 << 17
 LANES = 2048  # blocks coded in step
-KEEP_WORDS = 200_000
+KEEP_BYTES = 40 << 20  # of one generation of a worker's table of words, about
 NO_ID = -(1 << 63)
 
 SEGMENT = ("part int, seq int, n_ids long, doc_ids binary, doc_tokens binary, "
@@ -45,35 +46,33 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.starts = np.zeros(0, dtype=np.int64)
-        self.sizes = np.zeros(0, dtype=np.int64)
-        self.flat = np.zeros(0, dtype=np.uint16)
+        self.table, self.before = Table(), Table()
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """Entry of each (different) word in the current table; see ``bpe.Table``."""
+        if self.table.size > KEEP_BYTES:
+            self.table, self.before = Table(), self.table
+        entries, before = self.table.entries, self.before.entries
+        missing = [w for w in words if w not in entries]
+        known = [w for w in missing if w in before]
+        self.table.add(known, *self.before.ids_of(np.array([before[w] for w in known], dtype=np.int64)))
+        new = [w for w in missing if w not in before]
+        found = [e.ids for e in self.library.encode_batch(new, add_special_tokens=False)]
+        self.table.add(
+            new, np.array([x for i in found for x in i], dtype=np.int64),
+            np.array([len(i) for i in found], dtype=np.int64),
+        )
+        return np.array([entries[w] for w in words], dtype=np.int64)
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by ``end_id``; ids per text)."""
-        if len(self.known) > KEEP_WORDS:
-            self.forget()
-        cut = [text.replace("\n", " ").split(" ") for text in texts]
-        new = sorted({w for words in cut for w in words} - self.known.keys())
-        if new:
-            found = [e.ids for e in self.library.encode_batch(new, add_special_tokens=False)]
-            sizes = np.array([len(i) for i in found], dtype=np.int64)
-            self.known.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new))))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.flat = np.concatenate(
-                [self.flat, np.array([x for i in found for x in i], dtype=np.uint16)]
-            )
-        at = np.array([n for words in cut for n in map(self.known.__getitem__, words)], np.int64)
-        sizes = self.sizes[at]
-        ids = self.flat[ragged(self.starts[at], sizes)]
-        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([len(w) for w in cut])]
-        counts = np.diff(np.concatenate([[0], ends]))
-        return np.insert(ids, ends, end_id), counts + 1
+        blanks = pc.replace_substring(pa.array(texts, pa.string()), "\n", " ")
+        split = pc.split_pattern(blanks, " ")
+        coded = split.flatten().dictionary_encode()
+        numbers = self._numbers(coded.dictionary.to_pylist())
+        ids, sizes = self.table.ids_of(numbers[coded.indices.to_numpy()])
+        ends = np.concatenate([[0], np.cumsum(sizes)])[split.offsets.to_numpy()]
+        return np.insert(ids, ends[1:], end_id), np.diff(ends) + 1
 
 
 @lru_cache(maxsize=2)
@@ -117,14 +116,18 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, folder: str | Non
 
     Every document gets ``end_id`` at its end, so NULL and empty texts have one
     id.  Rows of one doc_id follow each other by text; NULL ids come first.
-    Only doc_id and text are read.
+    Only doc_id and text are read.  Token ids have 16 bits: a vocabulary with
+    larger ones is refused when one comes up.
     """
     folder = folder or stage_path(docs.sparkSession, "token-files")
     given = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    ordered = given.repartitionByRange("id").sortWithinPartitions("id", "text")
+    # Rows of one id, as of none, are parted by the beginnings of their texts.
+    ordered = given.repartitionByRange("id", F.substring("text", 1, 32)).sortWithinPartitions(
+        "id", "text"
+    )
 
     def encode(batches):
         encoder, part, seq = word_encoder(path), TaskContext.get().partitionId(), 0
@@ -137,7 +140,6 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, folder: str | Non
             done.append((list(ids), list(counts), np.concatenate(runs)))
             ids.clear(), counts.clear(), runs.clear()
 
-        encoder.forget()  # what an earlier task of this worker has left
         for batch in batches:
             texts, keys = batch.column(1).to_pylist(), batch.column(0).to_pylist()
             for start, stop in bounded(texts, 1 << 19):
@@ -151,7 +153,6 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, folder: str | Non
                     yield _segments(part, seq, *zip(*done))
                     seq += len(done)
                     done = []
-        encoder.forget()
         if runs:
             close()
         if done:

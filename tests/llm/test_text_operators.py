@@ -12,7 +12,7 @@ from llm.prose import prose
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from replyforge.llm import bpe, chat, kd_shards, line_dedup, token_files
+from replyforge.llm import bpe, chat, kd_shards, line_dedup, range_coder, token_files
 from replyforge.llm.perfect_hash import PerfectHash
 from replyforge.llm.range_coder import decode_blocks, encode_blocks
 
@@ -169,6 +169,55 @@ def test_coder_compresses_and_checks():
         encode_blocks(np.array([70000]), np.array([1]))
 
 
+def _order_0_alone(monkeypatch):
+    look = range_coder._Models.look
+
+    def alone(self, k):
+        look(self, k)
+        self.total = self.total - self.u1 - self.u2
+        self.u1, self.u2 = np.zeros_like(self.u1), np.zeros_like(self.u2)
+
+    monkeypatch.setattr(range_coder._Models, "look", alone)
+
+
+def test_all_ids_share_one_distribution():
+    """Whatever has been seen, the spans of all ids tile the total, each at least 1."""
+    rng = np.random.default_rng(6)
+    models = range_coder._Models(3)
+    every = np.arange(1 << 16)
+    for step in range(150):
+        models.look(3)
+        x = rng.choice([5, 5, 300, 70, 41000], size=3)
+        if step % 50 == 49:
+            for lane in range(3):
+                one = [np.full(3, i) for i in (0, 5, 69, 70, 71, 300, 40999, 41000, 65535)]
+                at = [tuple(v[lane] for v in models.span(3, i)) for i in one]
+                assert all(below + size <= later for (below, size), (later, _) in zip(at, at[1:]))
+            spans = np.array([models.span(3, np.full(3, i)) for i in every])
+            below, size = spans[:, 0], spans[:, 1]
+            assert (size > 0).all() and (below[0] == 0).all()
+            assert (below[1:] == below[:-1] + size[:-1]).all()
+            assert (below[-1] + size[-1] == models.total).all()
+            for goal in (np.zeros(3, np.int64), models.total - 1, models.total // 3):
+                found = models.find(3, goal)
+                low, width = models.span(3, found)
+                assert ((low <= goal) & (goal < low + width)).all()
+        models.span(3, x)
+        models.learn(3, x)
+
+
+def test_mixing_beats_order_0(monkeypatch):
+    texts = [prose(k, 900) for k in range(6)]
+    encoder = token_files.WordEncoder(WORD)
+    ids, counts = encoder.encode(texts, 2)
+    sizes = np.array([len(ids)])
+    mixed = len(encode_blocks(ids, sizes)[0][0])
+    _order_0_alone(monkeypatch)
+    payloads, sums = encode_blocks(ids, sizes)
+    assert mixed < 0.9 * len(payloads[0])
+    assert (decode_blocks(payloads, sizes, sums) == ids).all()
+
+
 def test_token_files(llm, odd, none, monkeypatch):
     monkeypatch.setattr(token_files, "SEGMENT_IDS", 500)
     library = Tokenizer.from_file(WORD)
