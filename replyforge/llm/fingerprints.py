@@ -21,7 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from replyforge.llm.words import chunks, find_words, mix, salt, shingles
 
@@ -123,18 +123,40 @@ def fingerprint_texts(docs: DataFrame) -> DataFrame:
     return given.mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def _ranges(docs: DataFrame, n_ranges: int) -> tuple[np.ndarray, dict[int, int]]:
-    """Upper limits of the ranges, and the smallest id of each range with rows."""
-    spread = docs.approxQuantile("id", [k / n_ranges for k in range(1, n_ranges)], 0.25 / n_ranges) \
-        if n_ranges > 1 else []
-    limits = np.unique(np.array(spread, dtype=np.float64))
+RANGE_BYTES = 4 << 20  # of text in a range, about
+MOST_RANGES = 100_000  # limits that the driver holds; beyond 400 GB ranges grow
 
+
+def _place(text: str = "text") -> Column:
+    """A string that sorts as (id, first eight bytes of the text)."""
+    number = F.lpad(F.hex(F.col("id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(number, F.hex(F.substring(F.col(text).cast("binary"), 1, 8)))
+
+
+def _ranges(given: DataFrame, n_ranges: int | None) -> tuple[np.ndarray, dict[int, str]]:
+    """Upper limits of the ranges, and the smallest place of each range with rows.
+
+    Ranges hold about as many rows each; rows of one id, as of none, are parted
+    by their texts, so they can lie in many ranges.
+    """
+    if n_ranges is None:
+        size = given.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+        n_ranges = min(MOST_RANGES, 1 + size // RANGE_BYTES)
+    places = given.select(_place().alias("place"))
+    tops = places.repartitionByRange(n_ranges, "place").groupBy(
+        F.spark_partition_id().alias("k")
+    ).agg(F.max("place").alias("top"))
+    limits = np.array(sorted(r["top"] for r in tops.collect())[:-1], dtype="U32")
+    firsts = places.groupBy(_range_of(limits)("place").alias("r")).agg(F.min("place").alias("first"))
+    return limits, {r["r"]: r["first"] for r in firsts.collect()}  # one row per range
+
+
+def _range_of(limits: np.ndarray):
     @F.pandas_udf("long")
-    def range_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(limits, ids.to_numpy().astype(np.float64), "right"))
+    def range_of(places: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(limits, places.to_numpy().astype("U32"), "left"))
 
-    firsts = docs.groupBy(range_of("id").alias("r")).agg(F.min("id").alias("first")).collect()
-    return limits, {r["r"]: r["first"] for r in firsts}  # one row per range
+    return range_of
 
 
 _NEXT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
@@ -155,23 +177,23 @@ def fingerprint_next(docs: DataFrame, n_ranges: int | None = None) -> DataFrame:
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    n_ranges = n_ranges or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    limits, firsts = _ranges(given.select("id"), n_ranges)
+    limits, firsts = _ranges(given, n_ranges)
     filled = sorted(firsts)
     before = {r: filled[k - 1] for k, r in enumerate(filled)}
-
-    @F.pandas_udf("array<long>")
-    def ranges_of(ids: pd.Series) -> pd.Series:
-        values = ids.to_numpy()
-        own = np.searchsorted(limits, values.astype(np.float64), "right")
-        return pd.Series([
-            [r, before[r]] if firsts[r] == i else [r] for r, i in zip(own.tolist(), values.tolist())
-        ])
-
-    placed = given.select("*", F.posexplode(ranges_of("id")).alias("extra", "r"))
-    ordered = placed.repartition("r").sortWithinPartitions("r", "extra", "id", "text").select(
-        "r", "extra", "doc_id", "text"
+    range_of = _range_of(limits)
+    edges = spark.createDataFrame(
+        [(firsts[r], before[r]) for r in filled], "place string, before long"
+    )
+    # The first row of each range closes the one before it; the first one's, the last.
+    closing = (
+        given.withColumn("place", _place()).join(F.broadcast(edges), "place")  # a row per range
+        .groupBy("before").agg(F.min(F.struct("id", "text", "doc_id")).alias("x"))
+        .select(F.col("before").alias("r"), F.lit(1).alias("extra"), "x.doc_id", "x.id", "x.text")
     )
+    own = given.select(range_of(_place()).alias("r"), F.lit(0).alias("extra"), "doc_id", "id", "text")
+    ordered = own.unionByName(closing).repartition("r").sortWithinPartitions(
+        "r", "extra", "id", "text"
+    ).select("r", "extra", "doc_id", "text")
 
     def finish(rows):
         """Result of all rows but the last, which only serves as a next one."""

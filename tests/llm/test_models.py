@@ -204,6 +204,23 @@ def test_fingerprints_follow_jaccard(llm, odd, none):
     assert one.near_next == 1.0
 
 
+@pytest.mark.parametrize("n_ranges", [1, 4, 40, None])
+def test_successors_where_a_third_has_no_id(llm, n_ranges, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 3000)
+    docs = [(None if k % 3 == 0 else k // 2, prose(k % 31, 5 + k % 23)) for k in range(150)]
+    docs += [(None, "the same text")] * 9 + [(-5, "negative"), (None, None), (9, "")]
+    df = llm.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    ordered = sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, (d[1] or "").encode()))
+    want = []
+    for (i, text), (_, following) in zip(ordered, ordered[1:] + ordered[:1]):
+        text, following = text or "", following or ""
+        tail = len(text) // 4
+        edited = text[: len(text) - tail] + following[:tail]
+        want.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest()))
+    got = fingerprints.fingerprint_next(df, n_ranges)
+    assert rows(got, "doc_id", "n_chars", "edited_sha256") == sorted(want, key=repr)
+
+
 def test_fingerprint_packing():
     values = fingerprints.low_bits(pa.array([prose(3, 50), "a"]))
     assert (fingerprints.unpacked(fingerprints.packed(values)[0]) == values[0]).all()
