@@ -696,6 +696,38 @@ def error_samples(spark, sf):
     return metrics.error_samples(_prediction_table(spark, sf))
 
 
+@query
+def accuracy_gaps(spark, sf):
+    """Accuracy where predictions and truths are missing: a gap is never right."""
+    return _rounded(metrics.accuracy(views.patchy_predictions(spark, sf)), "accuracy")
+
+
+@query
+def binary_gaps(spark, sf):
+    """Escalation scores where predictions are missing: a gap is not positive."""
+    scores = metrics.binary_metrics(views.patchy_predictions(spark, sf))
+    return _rounded(scores, "accuracy", "precision", "recall", "f1")
+
+
+def _patchy_table(spark, sf):
+    return cut(views.patchy_predictions(spark, sf), "predictions")
+
+
+@query
+def confusion_pairs_gaps(spark, sf):
+    return metrics.confusion_pairs(_patchy_table(spark, sf))
+
+
+@query
+def error_marginals_gaps(spark, sf):
+    return metrics.error_marginals(_patchy_table(spark, sf))
+
+
+@query
+def failure_rows_gaps(spark, sf):
+    return metrics.failure_rows(_patchy_table(spark, sf))
+
+
 @query
 def report_table(spark, sf):
     return metrics.report_table(metrics.class_report(views.predictions(spark, sf)))

@@ -274,6 +274,12 @@ def report(pred: str, name: str = "rep") -> str:
   FROM {name}_pr)"""
 
 
+PATCHY = PREDS + """, patchy AS (
+  SELECT * REPLACE (
+    CASE WHEN customer_tweet_id % 7 <> 3 THEN predicted_intent END AS predicted_intent,
+    CASE WHEN customer_tweet_id % 11 <> 5 THEN true_intent END AS true_intent,
+    CASE WHEN customer_tweet_id % 7 <> 3 THEN predicted_escalation END AS predicted_escalation)
+  FROM preds)"""
 NAMED = PREDS + ", named AS (SELECT * FROM preds)"
 DIM_ROWS = ", ".join(
     "(" + ", ".join(
@@ -979,6 +985,34 @@ FROM preds WHERE NOT correct""",
     "error_samples": f"""WITH {PREDS}
 SELECT example_id, customer_text, true_intent, predicted_intent, confidence FROM preds
 WHERE NOT correct ORDER BY example_id LIMIT 15""",
+    "accuracy_gaps": f"""WITH {PATCHY}
+SELECT count(*) AS n, count(*) FILTER (true_intent = predicted_intent) AS correct,
+  round(count(*) FILTER (true_intent = predicted_intent) / count(*)::DOUBLE, 9) AS accuracy FROM patchy""",
+    "binary_gaps": f"""WITH {PATCHY}, c AS (
+  SELECT count(*) FILTER (e AND p) AS tp, count(*) FILTER (NOT e AND p) AS fp,
+    count(*) FILTER (e AND NOT p) AS fn, count(*) FILTER (NOT e AND NOT p) AS tn
+  FROM (SELECT expected_escalation = 1 AS e, coalesce(predicted_escalation, 0) = 1 AS p FROM patchy))
+SELECT *, round((tp + tn)::DOUBLE / (tp + fp + fn + tn), 9) AS accuracy,
+  round(tp::DOUBLE / (tp + fp), 9) AS precision, round(tp::DOUBLE / (tp + fn), 9) AS recall,
+  round(2.0::DOUBLE * tp / (2 * tp + fp + fn), 9) AS f1 FROM c""",
+    "confusion_pairs_gaps": f"""WITH {PATCHY}
+SELECT true_intent, predicted_intent, count(*) AS n FROM patchy
+WHERE true_intent IS DISTINCT FROM predicted_intent
+GROUP BY 1, 2 ORDER BY n DESC, 1 NULLS FIRST, 2 NULLS FIRST LIMIT 10""",
+    "error_marginals_gaps": f"""WITH {PATCHY}, wrong AS (
+  SELECT * FROM patchy WHERE true_intent IS DISTINCT FROM predicted_intent)
+SELECT 'true' AS side, true_intent AS intent, count(*) AS n FROM wrong GROUP BY 2
+UNION ALL SELECT 'predicted', predicted_intent, count(*) FROM wrong GROUP BY 2""",
+    "failure_rows_gaps": f"""WITH {PATCHY}
+SELECT example_id, customer_text AS input_ticket, true_intent AS expected_output,
+  predicted_intent AS actual_output,
+  CASE WHEN predicted_intent <> 'other_unknown' AND confidence < 0.6
+    THEN {lit(packs.FAILURE_LOW)} ELSE {lit(packs.FAILURE_WRONG)} END AS failure_category,
+  CASE WHEN predicted_intent = 'other_unknown' THEN {lit(packs.FAILURE_REASON_OTHER)}
+    ELSE {lit(packs.FAILURE_REASON)} END AS possible_reason,
+  CASE WHEN predicted_intent = 'other_unknown' THEN {lit(packs.FAILURE_FIX_OTHER)}
+    ELSE {lit(packs.FAILURE_FIX)} END AS suggested_improvement
+FROM patchy WHERE true_intent IS DISTINCT FROM predicted_intent""",
     "report_table": f"""WITH {NAMED}, {report('predicted_intent')}
 SELECT label, round(precision, 2) AS precision, round(recall, 2) AS recall, round(f1, 2) AS f1,
   support FROM rep""",

@@ -242,6 +242,16 @@ def test_sketches_merge_over_deliveries(spark, tmp_path):
     assert abs(estimates["tweet_id"] / 16000 - 1) < 0.05 and estimates["text"] == 1
 
 
+def test_ledger_by_sketches(spark):
+    pairs = spark.range(5000).select((F.col("id") % 700).alias("conversation_id"))
+    extract = spark.createDataFrame([("b",), ("u",)], "author_id string")
+    exact = profiling.extraction_ledger(extract, pairs, pairs.limit(100), "b").first()
+    about = profiling.extraction_ledger(extract, pairs, pairs.limit(100), "b", approximate=True).first()
+    assert exact.conversations_before == 700
+    assert abs(about.conversations_before / 700 - 1) < 0.1
+    assert (about.pairs_before, about.pairs_removed) == (exact.pairs_before, exact.pairs_removed)
+
+
 # -- sources ------------------------------------------------------------------------------
 
 

@@ -140,3 +140,19 @@ def test_response_record(spark):
     assert response.predictions.priority == "High"
     assert response.routing.assigned_department == "Logistics Escalations"
     assert response.reply_generation.draft_reply.startswith("I'm sorry to hear")
+
+
+def test_expected_escalation_has_its_own_words(spark, monkeypatch):
+    """The evaluation truth does not follow the routing words."""
+    cases = [
+        ("my parcel was stolen", "delivery_issue", 1), ("an AGENT please", "refund_return", 1),
+        ("I cannot access my account", "account_billing", 1), ("where is it", "delivery_issue", 0),
+        ("anything", "other_unknown", 1), ("anything", "customer_service_escalation", 1),
+        ("the item is missing a part", "product_defect", 1), ("call a real person", "refund_return", 1),
+        (None, "refund_return", 0),
+    ]
+    for name in ("LOSS_WORDS", "HUMAN_WORDS", "ACCOUNT_WORDS"):
+        monkeypatch.setattr(packs, name, ["changed"])
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, t string, intent string, want int")
+    got = df.select("i", rules.expected_escalation(F.col("intent"), F.col("t")).alias("e"))
+    assert sorted(rows(got)) == [(i, c[2]) for i, c in enumerate(cases)]
