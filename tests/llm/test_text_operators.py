@@ -345,3 +345,59 @@ def test_shards(llm, odd, none):
     assert twice.shard.nunique() == 1 and twice.slot.nunique() == 2
     assert list(strange[strange.doc_id == 1]["size"]) == [1]
     assert kd_shards.shard_documents(none, shards=16).count() == 0
+
+
+def brute_tree(points, shards, dims=kd_shards.DIMENSIONS):
+    """{place in ``points``: shard}: recursive cuts at exact weighted medians."""
+    scale = {d: max(p[d] for p in points) - min(p[d] for p in points) for d in dims}
+    out = {}
+
+    def split(rows, first, n):
+        if n == 1 or not rows:
+            out.update(dict.fromkeys(rows, first))
+            return
+        spread = {d: max(points[r][d] for r in rows) - min(points[r][d] for r in rows) for d in dims}
+        dim = max(dims, key=lambda d: (spread[d] / max(scale[d], 1), -dims.index(d)))
+        groups = {}
+        for r in rows:
+            groups.setdefault((points[r][dim], points[r]["tie"]), []).append(r)
+        goal = sum(points[r]["size"] for r in rows) * (n // 2) / n
+        left, under = [], 0
+        for key in sorted(groups):
+            weight = sum(points[r]["size"] for r in groups[key])
+            if under + weight >= goal:
+                if under + weight - goal <= goal - under:
+                    left += groups[key]
+                break
+            left += groups[key]
+            under += weight
+        split(left, first, n // 2)
+        split([r for r in rows if r not in set(left)], first + n // 2, n - n // 2)
+
+    split(list(range(len(points))), 0, shards)
+    return out
+
+
+@pytest.mark.parametrize("shards", [2, 5, 16])
+def test_tree_like_brute_force(llm, monkeypatch, shards):
+    monkeypatch.setattr(kd_shards, "TOLERANCE", 0.0)
+    monkeypatch.setattr(kd_shards, "BINS", 8)  # several rounds to each cut
+    docs = [(k, f"{prose(k, k * 7 % 29)}\n" * (k % 3) + "é" * (k % 11)) for k in range(120)]
+    docs += [(200 + k, "same") for k in range(15)] + [(300, None), (301, "")]
+    df = llm.createDataFrame(docs, "doc_id long, text string")
+    points = [r.asDict() for r in kd_shards.text_points(df).collect()]
+    got = {r.doc_id: r.shard for r in kd_shards.shard_documents(df, shards=shards).collect()}
+    want = brute_tree(points, shards)
+    assert got == {points[k]["doc_id"]: shard for k, shard in want.items()}
+    assert {r["doc_id"]: r["text_crc32"] for r in points} == {
+        i: zlib.crc32((t or "").encode()) for i, t in docs}
+
+
+def test_slots_over_several_buckets(llm, monkeypatch):
+    monkeypatch.setattr(kd_shards, "SLOT_ROWS", 2)
+    docs = [(k % 70, prose(k % 90, k % 13)) for k in range(200)] + [(None, "x")] * 20
+    df = llm.createDataFrame(docs, "doc_id long, text string")
+    out = kd_shards.shard_documents(df, shards=4).toPandas()
+    assert len(out) == 220
+    for _, part in out.groupby("shard"):
+        assert sorted(part.slot) == list(range(len(part)))
