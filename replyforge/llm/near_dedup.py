@@ -446,10 +446,9 @@ def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     sketches = nodes.select("id", "sketch")
     rows = nodes.select("id", F.explode("bands").alias("bucket"))
-    # Written, so that Spark knows its size: rows of a hot bucket need not meet in one task.
-    leaders = cut(rows.groupBy("bucket").agg(
+    leaders = rows.groupBy("bucket").agg(
         F.min("id").alias("leader"), F.count("*").alias("n")
-    ).where("n > 1"), "leaders")
+    ).where("n > 1")
     members = cut(rows.join(leaders, "bucket").select("bucket", "id", "leader", "n"), "members")
     stars = members.where("id <> leader").select(
         F.col("leader").alias("a"), F.col("id").alias("b")
