@@ -8,14 +8,19 @@ from replyforge.functions import packs
 from replyforge.functions.ordering import seeded_hash
 from replyforge.functions.text import normalised
 from replyforge.operators.sampling import length_bins, stratified_pick
+from replyforge.sources.stages import cut
 
 GOLDEN_SIZE = 250
 
 
 def golden_sample(clean: DataFrame, n: int = GOLDEN_SIZE, seed: int = 42) -> DataFrame:
     """``n`` first-turn messages, stratified by text length, shuffled and numbered."""
-    first = clean.where("turn_index = 1").withColumn(
-        "text_len", F.length("customer_text").cast("long")
+    # Edges, histograms and picks read this table several times, lengths mostly.
+    first = cut(
+        clean.where("turn_index = 1").select(
+            "customer_tweet_id", "customer_text", "conversation_id",
+            F.length("customer_text").cast("long").alias("text_len"),
+        ), "first-turns",
     )
     binned = length_bins(first, "text_len")
     picked = stratified_pick(binned, "customer_tweet_id", "len_bin", n, 3, seed)

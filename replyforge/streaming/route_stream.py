@@ -32,12 +32,14 @@ def route_stream(
     checkpoint: str,
     text: str = "customer_text",
     keep=(),
+    every: str | None = None,
 ) -> StreamingQuery:
     """Route everything that is available, blanks to ``rejects_path``.
 
     ``score`` adds ``model_intent`` and ``confidence``.  Each micro-batch
     writes to its own sub-folder, so a batch that is retried after a failure
-    replaces its output instead of adding to it.
+    replaces its output instead of adding to it.  With ``every`` (such as
+    "30 seconds") the query goes on with what arrives later, in that rhythm.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -50,10 +52,11 @@ def route_stream(
         finally:
             held.unpersist()
 
+    rhythm = {"processingTime": every} if every else {"availableNow": True}
     return (
         stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**rhythm)
         .start()
     )
 
@@ -67,16 +70,22 @@ def route_stream_model(
     text: str = "customer_text",
     keep=(),
     digits: int | None = None,
+    every: str | None = None,
+    refresh: bool = False,
 ) -> StreamingQuery:
     """``route_stream`` with a trained model: each micro-batch is joined to its terms.
 
-    ``model`` is a model or the folder it was saved to; a folder is loaded once,
-    so all batches of a run use one version.  Scoring writes nothing, and equal
-    texts of a batch are scored once.
+    ``model`` is a model or the folder it was saved to.  A folder is loaded once,
+    so all batches of a run use one version; with ``refresh`` every batch takes
+    the latest finished one.  Scoring writes nothing, and equal texts of a batch
+    are scored once.
     """
-    if isinstance(model, str):
-        model = load_model(model, stream.sparkSession)
-    return route_stream(
-        stream, lambda batch: score_texts(batch, model, text, digits), routed_path, rejects_path,
-        checkpoint, text, keep,
-    )
+    spark, folder = stream.sparkSession, model
+    if isinstance(folder, str):
+        model = load_model(folder, spark)
+
+    def score(batch: DataFrame) -> DataFrame:
+        now = load_model(folder, spark) if refresh and isinstance(folder, str) else model
+        return score_texts(batch, now, text, digits)
+
+    return route_stream(stream, score, routed_path, rejects_path, checkpoint, text, keep, every)

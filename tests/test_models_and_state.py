@@ -97,6 +97,35 @@ def test_stream_with_a_model_equals_batch_and_writes_no_stage(spark, given, tmp_
     assert len(os.listdir(out)) >= 3  # several micro-batches
 
 
+def test_stream_goes_on_and_takes_new_models(spark, given, tmp_path):
+    folder, model = tmp_path / "in", str(tmp_path / "model")
+
+    def arrive(key):
+        spark.createDataFrame([(key, "refund my money now")], "i long, customer_text string").coalesce(
+            1).write.mode("append").parquet(str(folder))
+
+    arrive(1)
+    ml.save_model(given, model)
+    stream = spark.readStream.schema("i long, customer_text string").parquet(str(folder))
+    query = route_stream_model(
+        stream, model, str(tmp_path / "out"), str(tmp_path / "rejects"), str(tmp_path / "state"),
+        keep=("i",), every="1 second", refresh=True)
+    try:
+        query.processAllAvailable()
+        other = ml.IntentModel(given.terms, [9.0, 0.0, 0.0], given.labels)
+        ml.save_model(other, model)
+        arrive(2)
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    got = spark.read.parquet(str(tmp_path / "out")).select("i", "response.predictions.confidence")
+    by_id = {r.i: r.confidence for r in got.collect()}
+    want = [ml.score(spark.createDataFrame([("refund my money now",)], "customer_text string"), m).first()
+            for m in (given, other)]
+    assert by_id == {1: pytest.approx(want[0].confidence), 2: pytest.approx(want[1].confidence)}
+    assert want[0].model_intent != want[1].model_intent
+
+
 # -- gradient --------------------------------------------------------------------
 
 
