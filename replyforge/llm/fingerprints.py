@@ -123,8 +123,8 @@ def fingerprint_texts(docs: DataFrame) -> DataFrame:
     return given.mapInArrow(run, "doc_id long, fingerprint string")
 
 
-RANGE_BYTES = 4 << 20  # of text in a range, about
-MOST_RANGES = 100_000  # limits that the driver holds; beyond 400 GB ranges grow
+RANGE_BYTES = 1 << 20  # of text in a range, about
+MOST_RANGES = 100_000  # limits that the driver holds; beyond 100 GB ranges grow
 
 
 def _place(text: str = "text") -> Column:
