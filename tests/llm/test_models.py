@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -477,6 +478,70 @@ def test_toxic_words_are_found(llm, odd, none):
     assert toxicity.score_documents(none, tagger).count() == 0
 
 
+def brute_scores(docs, learnt, tagger):
+    """{doc_id: score}: lexicon, levels, forward-backward and curve, word by word."""
+    def entries(word):
+        return [("word", word)] + [("begins", word[:n]) for n in toxicity.BEGINNINGS if len(word) > n]
+
+    held, toxic = Counter(), Counter()
+    for text, label in learnt:
+        for e in {e for w in words_of(text) for e in entries(w)}:
+            held[e] += 1
+            toxic[e] += label
+    base = sum(label for _, label in learnt) / len(learnt)
+    prior = toxicity.PRIOR_ROWS
+    share = {e: (toxic[e] + prior * base) / (held[e] + prior) for e in held if toxic[e] >= 3}
+
+    def level(e):
+        of = share.get(e, 0.0)
+        return sum(of >= x for x in toxicity.LEVELS) if of >= toxicity.LEVELS[0] else 0
+
+    n, (weights, moves) = len(toxicity.LEVELS) + 1, (tagger.chain.weights, tagger.chain.transitions)
+    out = {}
+    for i, text in docs:
+        words = words_of(text)
+        own = [level(("word", w)) for w in words]
+        begin = [max([level(e) for e in entries(w)[1:]], default=0) for w in words]
+        either = [0, *map(max, own, begin), 0]
+        emit = [math.exp(min(max(
+            weights[0] + weights[1 + a] + weights[1 + n + b] + weights[1 + 2 * n + either[k]]
+            + weights[1 + 3 * n + either[k + 2]], -30), 30)) for k, (a, b) in enumerate(zip(own, begin))]
+        forward, backward = [], [(0.5, 0.5)] if words else []
+        for k, e in enumerate(emit):
+            if k:
+                f0, f1 = forward[-1]
+                now = [f0 * math.exp(moves[0][s]) + f1 * math.exp(moves[1][s]) for s in (0, 1)]
+            else:
+                now = [1.0, 1.0]
+            now = (now[0], now[1] * e)
+            forward.append((now[0] / sum(now), now[1] / sum(now)))
+        for e in reversed(emit[1:]):
+            b0, b1 = backward[-1]
+            now = [math.exp(moves[s][0]) * b0 + math.exp(moves[s][1]) * e * b1 for s in (0, 1)]
+            backward.append((now[0] / sum(now), now[1] / sum(now)))
+        p = [f[1] * b[1] / (f[0] * b[0] + f[1] * b[1]) for f, b in zip(forward, reversed(backward))]
+        silent = math.prod(1 - min(x, 1 - 1e-9) for x in p)
+        some = min(max(1 - silent, 1e-6), 1 - 1e-6)
+        features = [1.0, math.log(some / (1 - some)), math.log1p(sum(p)), 10 * sum(p) / max(len(p), 1)]
+        x = sum(f * c for f, c in zip(features, tagger.curve))
+        out[i] = 1 / (1 + math.exp(-min(max(x, -30), 30)))
+    return out
+
+
+def test_scores_like_brute_force(llm):
+    docs, labels = toxic_corpus(llm)
+    tagger = toxicity.train(docs, labels)
+    learnt_ids = {r["_label_id"]: r["_toxic"] for r in toxicity.training_rows(labels).collect()}
+    plain = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    assert set(learnt_ids) == {k for k, _ in plain if zlib.crc32(str(k).encode()) % 4 != 2}
+    plain += [(900, None), (901, ""), (902, "snarf"), (903, "blorg snarf zugzug1"), (904, "blorg snarf zugzug1")]
+    learnt = [(t, learnt_ids[k]) for k, t in plain if k in learnt_ids]
+    df = llm.createDataFrame(plain, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in toxicity.score_documents(df, tagger).collect()}
+    assert got == pytest.approx(brute_scores(plain, learnt, tagger), abs=1e-9)
+    assert got[903] == got[904] > 0.9 and got[900] == got[901] < 0.3
+
+
 def test_rare_toxic_labels_are_drawn_first(llm):
     """A small chain sample, in which chance alone would leave no toxic document."""
     every = llm.range(900).selectExpr("id as doc_id", "0 as toxic")
