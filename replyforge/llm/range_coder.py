@@ -7,11 +7,11 @@ block per step; a block is a lane.
 An id's probability is the weighted sum of three predictions: the id that
 followed the last two ids before (order 2), the id that followed the last one
 (order 1), and adaptive frequencies of the block's ids (order 0, upper byte
-times lower byte given the upper one or its class).  An id that several orders predict gets the sum of what each
-gives it, and is coded in one step from that one distribution.  The weights
-adapt too, apart for each state of confidence in the two predicted ids: every
-order gains by its share in the probability of the id that came.  Byte
-frequencies are counted at once and come into force every REFRESH ids.
+times lower byte given the upper one or its class).  An id that several orders
+predict gets the sum of what each gives it, and is coded in one step from that
+one distribution.  The weights adapt too, apart for each state of confidence in
+the two predicted ids: they follow each order's share in the ids that come.
+Byte frequencies are counted at once and come into force every REFRESH ids.
 
 The coder keeps 48 bits of low and range and emits 16 bits when the range gets
 short; where a carry could still come, the range is cut so that it cannot.
@@ -28,17 +28,17 @@ TABLE = 1024  # contexts of orders 1 and 2 in a block
 STEP = 8  # weight of a new observation in byte frequencies
 FULL = 3500  # total at which byte frequencies are halved; stays below 2**12
 REFRESH = 64
-MIX_STEP, MIX_FULL = 24, 4000
-CLASSES = 16  # tables of lower bytes: one for each upper byte below 15, one for the rest
-LOWER = 4096  # what the frequencies of a table of lower bytes add up to
-SHARES = 120  # what the weights of the three orders add up to, about
+RATE = 1 / 48  # by how much the weights follow the orders' shares in an id
+CLASSES = 8  # tables of lower bytes: one for each upper byte below 7, one for the rest
+LOWER_BITS = 12
+LOWER = 1 << LOWER_BITS  # what the frequencies of a table of lower bytes add up to
+SHARES = 120  # the weights of the three orders add up to one more
 MAX_ID = 1 << 16
 
 _U = np.uint64
 _MASK = _U((1 << 48) - 1)
 _SHORT = _U(1 << 32)
 _S16, _S32 = _U(16), _U(32)
-_FIELD = 0xFFFF
 
 
 class _Bytes:
@@ -59,7 +59,6 @@ class _Bytes:
             self.count[full] = (self.count[full] + 1) >> 1
             self.below[full, 1:] = np.cumsum(self.count[full], axis=1, dtype=np.int16)
         self.total[:k] = self.below[:k, 256]
-        self.coarse = np.ascontiguousarray(self.below[:, 16:256:16])
 
     def span(self, lanes: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(cumulative frequency below the symbol, its frequency)."""
@@ -68,11 +67,12 @@ class _Bytes:
         return low, self.flat_below[at + 1] - low
 
     def find(self, lanes: np.ndarray, goal: np.ndarray) -> np.ndarray:
-        """Symbol whose span holds ``goal``: first among sixteen groups, then within."""
-        mark = goal.astype(np.int16)[:, None]
-        group = (self.coarse[lanes] <= mark).sum(axis=1) * 16
-        at = (lanes * 257 + group)[:, None] + np.arange(1, 16)
-        return group + (self.flat_below[at] <= mark).sum(axis=1)
+        """Symbol whose span holds ``goal``, by bisection."""
+        mark, at = goal.astype(np.int16), lanes * 257
+        begin = at.copy()
+        for step in (128, 64, 32, 16, 8, 4, 2, 1):
+            at += step * (self.flat_below[at + step] <= mark)
+        return at - begin
 
 
 class _LowerBytes:
@@ -88,7 +88,6 @@ class _LowerBytes:
         self.below = np.empty((lanes * CLASSES, 257), dtype=np.int16)
         self.below[:] = np.arange(257) * (LOWER // 256)
         self.flat_below = self.below.reshape(-1)
-        self.coarse = self.below[:, 16:256:16].copy()
         self.touched: list[np.ndarray] = []
 
     def add(self, table: np.ndarray, symbol: np.ndarray) -> None:
@@ -100,14 +99,18 @@ class _LowerBytes:
         new[np.concatenate(self.touched)] = True
         self.touched = []
         rows = np.flatnonzero(new)
-        sums = np.cumsum(self.count[rows], axis=1, dtype=np.int32)
+        count = self.count[rows]
+        sums = np.cumsum(count, axis=1, dtype=np.int16)
         full = np.flatnonzero(sums[:, -1] > FULL)
         if len(full):
-            self.count[rows[full]] = (self.count[rows[full]] + 1) >> 1
-            sums[full] = np.cumsum(self.count[rows[full]], axis=1, dtype=np.int32)
-        below = sums * (LOWER - 256) // sums[:, -1:] + np.arange(1, 257, dtype=np.int32)
+            count[full] = (count[full] + 1) >> 1
+            self.count[rows[full]] = count[full]
+            sums[full] = np.cumsum(count[full], axis=1, dtype=np.int16)
+        scale = np.float32(LOWER - 256) / sums[:, -1:].astype(np.float32)
+        below = (sums * scale).astype(np.int16)
+        below += np.arange(1, 257, dtype=np.int16)
+        below[:, -1] = LOWER
         self.below[rows, 1:] = below
-        self.coarse[rows] = below[:, 15:255:16]
 
     span = _Bytes.span
     find = _Bytes.find
@@ -120,8 +123,8 @@ class _Models:
         self.high, self.low = _Bytes(lanes), _LowerBytes(lanes)
         self.one = np.zeros(lanes * TABLE, dtype=np.int32)  # id << 2 | confidence
         self.two = np.zeros(lanes * TABLE, dtype=np.int32)
-        # Weights of order 2, 1 and 0 in 16 bits each.
-        self.mix = np.full(lanes * 32, 8 | 8 << 16 | 16 << 32, dtype=np.int64)
+        # Weights of orders 2 and 1 for each state; order 0 has the rest.
+        self.share2, self.share1 = np.full(lanes * 32, 0.25), np.full(lanes * 32, 0.25)
         self.lane1 = np.arange(lanes, dtype=np.int64) * TABLE
         self.lane32 = np.arange(lanes, dtype=np.int64) * 32
         self.lanes = np.arange(lanes, dtype=np.int64)
@@ -139,57 +142,53 @@ class _Models:
         self.c1, self.c2 = e1 & 3, e2 & 3
         state = (self.c2 << 2) + self.c1 + ((self.p1 == self.p2) << 4)
         self.at = self.lane32[:k] + state
-        fields = self.mix[self.at]
-        f2, f1, f0 = fields & _FIELD, fields >> 16 & _FIELD, fields >> 32
-        self.sum = f2 + f1 + f0
-        w2, w1 = f2 * SHARES // self.sum, f1 * SHARES // self.sum
-        self.w0 = 1 + f0 * SHARES // self.sum
+        self.s2, self.s1 = self.share2[self.at], self.share1[self.at]
+        w2, w1 = (self.s2 * SHARES).astype(np.int64), (self.s1 * SHARES).astype(np.int64)
+        self.w0 = SHARES + 1 - w2 - w1
         unit = self.high.total[:k] * LOWER  # order 0 adds up to this
         self.u1, self.u2 = w1 * unit, w2 * unit
-        self.total = self.w0 * unit + self.u1 + self.u2
+        self.total = (SHARES + 1) * unit
 
-    def order0(self, k: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def order0(self, lanes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(frequency of smaller ids, frequency of the id) by order 0 alone."""
-        lanes, high = self.lanes[:k], ids >> 8
+        high = ids >> 8
         low1, size1 = self.high.span(lanes, high)
         low2, size2 = self.low.span(lanes * CLASSES + np.minimum(high, CLASSES - 1), ids & 255)
         return low1 * LOWER + size1 * low2, size1 * size2
 
     def span(self, k: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(cumulative frequency below the id, its frequency) in the mix."""
-        below, size = self.order0(k, ids)
-        self.own = self.w0 * size
+        below, size = self.order0(self.lanes[:k], ids)
         below = self.w0 * below + self.u1 * (self.p1 < ids) + self.u2 * (self.p2 < ids)
         self.hit1, self.hit2 = self.p1 == ids, self.p2 == ids
-        self.size = self.own + self.u1 * self.hit1 + self.u2 * self.hit2
+        self.size = self.w0 * size + self.u1 * self.hit1 + self.u2 * self.hit2
         return below, self.size
 
     def find(self, k: int, goal: np.ndarray) -> np.ndarray:
-        """The id whose span holds ``goal``."""
-        rest = goal.copy()
-        found = np.full(k, -1, dtype=np.int64)
-        for guess, added in ((self.p1, self.u1), (self.p2, self.u2)):
-            below, size = self.span(k, guess)
-            found = np.where((goal >= below) & (goal < below + size), guess, found)
-            rest -= added * (goal >= below + size)
-        rest = np.minimum(rest // self.w0, self.high.total[:k] * LOWER - 1)
+        """The id whose span holds ``goal``: a predicted one, or by order 0."""
         lanes = self.lanes[:k]
-        high = self.high.find(lanes, rest // LOWER)
+        below, size = self.order0(np.concatenate([lanes, lanes]), np.concatenate([self.p1, self.p2]))
+        same = self.p1 == self.p2
+        below1 = self.w0 * below[:k] + self.u2 * (self.p2 < self.p1)
+        below2 = self.w0 * below[k:] + self.u1 * (self.p1 < self.p2)
+        above1 = below1 + self.w0 * size[:k] + self.u1 + self.u2 * same
+        above2 = below2 + self.w0 * size[k:] + self.u2 + self.u1 * same
+        past1, past2 = goal >= above1, goal >= above2
+        is1, is2 = (goal >= below1) & ~past1, (goal >= below2) & ~past2
+        rest = (goal - self.u1 * past1 - self.u2 * past2) // self.w0
+        # What lies in a predicted id's span may be out of bounds here; it is not used.
+        rest = np.minimum(rest, self.high.total[:k] * LOWER - 1)
+        high = self.high.find(lanes, rest >> LOWER_BITS)
         low1, size1 = self.high.span(lanes, high)
-        goal = np.clip((rest - low1 * LOWER) // size1, 0, LOWER - 1)
-        low = self.low.find(lanes * CLASSES + np.minimum(high, CLASSES - 1), goal)
-        return np.where(found >= 0, found, high << 8 | low)
+        table = lanes * CLASSES + np.minimum(high, CLASSES - 1)
+        low = self.low.find(table, np.minimum((rest - (low1 << LOWER_BITS)) // size1, LOWER - 1))
+        return np.where(is1, self.p1, np.where(is2, self.p2, high << 8 | low))
 
     def learn(self, k: int, ids: np.ndarray) -> None:
         """After ``span`` of the ids."""
-        gain2 = MIX_STEP * self.u2 * self.hit2 // self.size
-        gain1 = MIX_STEP * self.u1 * self.hit1 // self.size
-        gain0 = MIX_STEP * self.own // self.size
-        self.mix[self.at] += gain2 | gain1 << 16 | gain0 << 32
-        full = self.at[self.sum > MIX_FULL]
-        if len(full):
-            half = 0x7FFF | 0x7FFF << 16 | 0x7FFF << 32
-            self.mix[full] = (self.mix[full] >> 1 & half) + (1 | 1 << 16 | 1 << 32)
+        part = RATE / self.size
+        self.share2[self.at] = self.s2 * (1 - RATE) + self.u2 * self.hit2 * part
+        self.share1[self.at] = self.s1 * (1 - RATE) + self.u1 * self.hit1 * part
         packed = ids.astype(np.int32) << 2
         self.one[self.at1] = packed + np.minimum(self.c1 + 1, 3) * self.hit1
         self.two[self.at2] = packed + np.minimum(self.c2 + 1, 3) * self.hit2
