@@ -8,9 +8,10 @@ Layout below the state folder::
 
     ids/batch=<id>/bucket=<n>/   (key, n): rows per id, hash-partitioned by bucket
     files/batch=<id>/            (file, column, n_rows, n_null, sketch)
+    merged/batch=<id>/           (old): the batches that a compacted one stands for
 
-``files`` is written last: a batch without it did not finish and does not count,
-so a job that died is simply run again.
+``files`` is written last, for a compacted batch ``merged``: a batch without it
+did not finish and does not count, so a job that died is simply run again.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ BUCKETS = 64
 LG_K = 14  # 2**14 registers: a standard error of 0.8 %
 
 _FILES = "file string, column string, n_rows long, n_null long, sketch binary, batch string"
+_MERGED = "old string, batch string"
+_COMPACT = "c-"  # begins the names of compacted batches
 
 
 class ProfileState:
@@ -50,12 +53,8 @@ class ProfileState:
         batch = uuid.uuid4().hex
         key = F.col(self.key)
         # One key is one row per task before the exchange, however often it occurs.
-        counts = rows.where(key.isNotNull()).groupBy(
-            key.alias("key"), F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int").alias("bucket")
-        ).agg(F.count(F.lit(1)).alias("n"))
-        counts.repartition("bucket").write.partitionBy("bucket").parquet(
-            f"{self.folder}/ids/batch={batch}"
-        )
+        counts = rows.where(key.isNotNull()).groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
+        self._write_ids(counts, batch)
         figures = [
             F.struct(
                 F.lit(c).alias("column"),
@@ -71,22 +70,52 @@ class ProfileState:
             "file", "column", "n_rows", "n_null", "sketch"
         ).write.parquet(f"{self.folder}/files/batch={batch}")
 
+    def _write_ids(self, counts: DataFrame, batch: str) -> None:
+        bucket = F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int")
+        counts.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(
+            f"{self.folder}/ids/batch={batch}"
+        )
+
+    def compact(self) -> None:
+        """Merge all batches into one, so that reading does not slow down with their number.
+
+        The old ones stay in the folder, uncounted, for the cluster's retention rule.
+        """
+        old = sorted(self._live())
+        if len(old) < 2:
+            return
+        batch = _COMPACT + uuid.uuid4().hex
+        self._write_ids(self._ids(), batch)
+        self._files().drop("batch").write.parquet(f"{self.folder}/files/batch={batch}")
+        self.spark.createDataFrame([(b,) for b in old], "old string").coalesce(1).write.parquet(
+            f"{self.folder}/merged/batch={batch}"
+        )
+
     # -- reading --------------------------------------------------------------
 
-    def _files(self) -> DataFrame:
+    def _read(self, name: str, schema: str) -> DataFrame:
         try:
-            return self.spark.read.schema(_FILES).parquet(f"{self.folder}/files")
-        except AnalysisException:  # nothing added yet
-            return self.spark.createDataFrame([], _FILES)
+            return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+        except AnalysisException:  # nothing there yet
+            return self.spark.createDataFrame([], schema)
+
+    def _live(self) -> set[str]:
+        """Names of the batches that count: finished, and not merged into another one."""
+        merged = [tuple(r) for r in self._read("merged", _MERGED).select("batch", "old").collect()]
+        stands, gone = {b for b, _ in merged}, {old for _, old in merged}
+        finished = {r["batch"] for r in self._read("files", _FILES).select("batch").distinct().collect()}
+        return {b for b in finished if not b.startswith(_COMPACT) or b in stands} - gone
+
+    def _files(self) -> DataFrame:
+        return self._read("files", _FILES).where(F.col("batch").isin(self._live()))
 
     def _ids(self) -> DataFrame:
-        """(key, n) over all finished batches; the key's type is the table's own."""
+        """(key, n) over all batches that count; the key's type is the table's own."""
         try:
             ids = self.spark.read.parquet(f"{self.folder}/ids")
         except AnalysisException:
             return self.spark.createDataFrame([], "key string, n long")
-        finished = [r["batch"] for r in self._files().select("batch").distinct().collect()]
-        return ids.where(F.col("batch").isin(finished)).groupBy("key").agg(F.sum("n").alias("n"))
+        return ids.where(F.col("batch").isin(self._live())).groupBy("key").agg(F.sum("n").alias("n"))
 
     def null_profile(self) -> DataFrame:
         """(column, n_rows, n_null, null_pct), as ``profiling.null_profile`` has it."""

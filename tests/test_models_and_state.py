@@ -253,6 +253,22 @@ def test_profile_grows_file_by_file(spark, tmp_path):
     assert state.add(path) == []
     estimates = {r.column: r.estimate for r in state.distinct_estimates().collect()}
     assert estimates == {"tweet_id": 3, "author_id": 4, "text": 3}
+    # Compacted, the state says the same, goes on growing, and an unfinished merge is no harm.
+    for extra in ([], [(9, "e", "w"), (1, None, None)]):
+        state.compact()
+        state.compact()
+        if extra:
+            _delivery(spark, path, extra)
+            assert len(state.add(path)) == 1
+            seen += extra
+        whole = spark.createDataFrame(seen, "tweet_id long, author_id string, text string")
+        assert rows(state.null_profile(), "column", "n_rows", "n_null", "null_pct") == rows(
+            profiling.null_profile(whole), "column", "n_rows", "n_null", "null_pct")
+        assert rows(state.duplicate_ids()) == rows(profiling.duplicate_ids(whole))
+        assert state.add(path) == []
+    state._files().drop("batch").write.parquet(f"{folder}/files/batch=c-unfinished")
+    assert rows(state.duplicate_ids()) == rows(profiling.duplicate_ids(whole))
+    assert state.null_profile().first().n_rows == len(seen)
     # Ids of a batch that never finished do not count; neither does an empty state.
     spark.createDataFrame([(77, 5, 1)], "key long, n long, bucket int").write.partitionBy("bucket").parquet(
         f"{folder}/ids/batch=unfinished")
