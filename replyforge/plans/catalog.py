@@ -948,6 +948,21 @@ def training_gradient(spark, sf):
     return slopes.withColumn("gradient", F.round("gradient", 9))
 
 
+@query
+def training_optimum(spark, sf):
+    """The classifier trained on all weak labels: its size, and whether the slope of the
+    objective has vanished at its coefficients."""
+    train = cut(views.weak_labels(spark, sf).select("customer_text", "intent"), "weak")
+    model = ml.train_classifier(train)
+    size = train.dropna().agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("intent").alias("n_labels")
+    )
+    steepest = ml.training_gradient(train, model).agg(F.max(F.abs("gradient"))).scalar()
+    return size.withColumn("n_terms", model.terms.agg(F.count(F.lit(1))).scalar()).withColumn(
+        "at_optimum", steepest < 1e-3
+    )
+
+
 @query
 def golden_evaluation_given(spark, sf):
     """Class report of the given model, routed, on the 250 held-out messages."""

@@ -866,6 +866,15 @@ SELECT difficulty, count(*) AS n FROM auto GROUP BY 1""",
     "model_round_trip": f"""WITH {SPIKED}, {GIVEN}
 SELECT customer_tweet_id, model_intent, round(full_confidence, 6) AS confidence FROM scored""",
     "training_gradient": GRADIENT,
+    "training_optimum": f"""WITH {WEAK},
+w AS (
+  SELECT customer_tweet_id, regexp_extract_all(lower(customer_text), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS w
+  FROM weak WHERE customer_text IS NOT NULL),
+terms AS (SELECT customer_tweet_id, unnest(list_concat(w, {gram(2)})) AS term FROM w),
+vocab AS (SELECT term FROM terms GROUP BY term HAVING count(DISTINCT customer_tweet_id) >= 2)
+SELECT count(*) AS n_rows, count(DISTINCT intent) AS n_labels,
+  (SELECT least(count(*), 50000) FROM vocab) AS n_terms, TRUE AS at_optimum
+FROM weak WHERE customer_text IS NOT NULL""",
     "golden_evaluation_given": f"""WITH {ROUTED_GIVEN}, {AUTO}, {HELD_OUT},
 named AS (
   SELECT a.intent AS true_intent, d.intent AS predicted_intent
