@@ -124,6 +124,7 @@ def fingerprint_texts(docs: DataFrame) -> DataFrame:
 
 
 RANGE_BYTES = 1 << 20  # of text in a range, about
+SORTED = 256  # partitions in which places are sorted to find the limits
 MOST_RANGES = 100_000  # limits that the driver holds; beyond 100 GB ranges grow
 
 
@@ -139,14 +140,29 @@ def _ranges(given: DataFrame, n_ranges: int | None) -> tuple[np.ndarray, dict[in
     Ranges hold about as many rows each; rows of one id, as of none, are parted
     by their texts, so they can lie in many ranges.
     """
+    total = given.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n")).first()
     if n_ranges is None:
-        size = given.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-        n_ranges = min(MOST_RANGES, 1 + size // RANGE_BYTES)
+        n_ranges = min(MOST_RANGES, 1 + (total["bytes"] or 0) // RANGE_BYTES)
+    step = max(1, total["n"] // n_ranges)
     places = given.select(_place().alias("place"))
-    tops = places.repartitionByRange(n_ranges, "place").groupBy(
-        F.spark_partition_id().alias("k")
-    ).agg(F.max("place").alias("top"))
-    limits = np.array(sorted(r["top"] for r in tops.collect())[:-1], dtype="U32")
+
+    def every_step(batches):
+        """Each step-th place of a sorted partition, and its last one."""
+        seen, last = 0, None
+        for batch in batches:
+            if not len(batch):
+                continue
+            at = np.arange((step - 1 - seen) % step, len(batch), step)
+            seen += len(batch)
+            last = batch.slice(len(batch) - 1, 1)
+            yield batch.take(pa.array(at))
+        if last is not None:
+            yield last
+
+    # A few partitions for the order, whose bounds Spark samples; limits within them.
+    tops = places.repartitionByRange(min(n_ranges, SORTED), "place").sortWithinPartitions("place")
+    found = {r["place"] for r in tops.mapInArrow(every_step, "place string").collect()}
+    limits = np.array(sorted(found)[:-1], dtype="U32")
     firsts = places.groupBy(_range_of(limits)("place").alias("r")).agg(F.min("place").alias("first"))
     return limits, {r["r"]: r["first"] for r in firsts.collect()}  # one row per range
 
