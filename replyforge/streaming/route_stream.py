@@ -17,11 +17,11 @@ from replyforge.operators.routing import respond, split_blank
 
 
 def message_stream(spark: SparkSession, folder: str, schema: StructType, glob: str | None = None):
-    """Parquet files of a folder as a stream."""
-    reader = spark.readStream.schema(schema)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.parquet(folder)
+    """Parquet files of a folder as a stream, or the tables in it that ``glob`` names:
+    files, or folders of files."""
+    # As a pattern, since a stream takes a plain path for a folder and refuses a file.
+    path = f"{folder}/{{{glob}}}" if glob else folder
+    return spark.readStream.schema(schema).parquet(path)
 
 
 def route_stream(

@@ -10,7 +10,7 @@ from replyforge.operators import metrics, profiling
 from replyforge.plans import jobs, views
 from replyforge.schemas import MESSAGES
 from replyforge.sources import readers, stages, writers
-from replyforge.streaming.route_stream import route_stream
+from replyforge.streaming.route_stream import message_stream, route_stream
 
 CSV = '''tweet_id,author_id,inbound,created_at,text,response_tweet_id,in_response_to_tweet_id
 1,u1,True,t1,"two
@@ -174,3 +174,18 @@ def test_stream_splits_blanks_and_equals_batch(spark):
 
     batch = respond(views.with_model_stand_in(split_blank(df)[0]), keep=("conv_id",))
     assert rows(routed, "conv_id", "response") == rows(batch, "conv_id", "response")
+
+
+@pytest.mark.parametrize("files", [0, 1, 3])
+def test_stream_of_a_table_that_is_a_file_or_a_folder(spark, tmp_path, files):
+    """``files``: parts in a folder of the table's name; 0: one file of that name."""
+    df = spark.createDataFrame([(k, f"text {k}") for k in range(6)], "i long, t string")
+    where = tmp_path / ("t.parquet" if files else "made")
+    df.repartition(max(files, 1)).write.parquet(str(where))
+    if not files:
+        next(where.glob("part-*.parquet")).rename(tmp_path / "t.parquet")
+    df.write.parquet(str(tmp_path / "other.parquet"))
+    out = str(tmp_path / "out")
+    message_stream(spark, str(tmp_path), df.schema, "t.parquet").writeStream.option(
+        "checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(out).awaitTermination()
+    assert rows(spark.read.parquet(out)) == rows(df)
