@@ -44,8 +44,8 @@ def take_quota(
     cuts = _cut_prefixes(counted, quota, group).select(
         *group, F.struct("cut_prefix", "wanted").alias("_cut")
     )
-    if by:
-        placed = hashed.join(cuts, by, "left")
+    if by:  # one row per group goes to all tasks; moved by group, one task got a group's rows
+        placed = hashed.join(F.broadcast(cuts), by, "left")
     else:
         placed = hashed.withColumn("_cut", cuts.select("_cut").scalar())
     inside = placed.where("_cut is null or _prefix < _cut.cut_prefix")
@@ -95,7 +95,7 @@ def last_taken(df, key, quota, by=None, seed=42) -> DataFrame:
     hashed = hashed.withColumn("prefix", F.substring("h", 1, PREFIX_DIGITS))
     cutoffs = _cut_prefixes(hashed.select(*group, "prefix"), quota, group)
     if by:
-        edge = hashed.join(cutoffs, by).where("prefix = cut_prefix")
+        edge = hashed.join(F.broadcast(cutoffs), by).where("prefix = cut_prefix")
     else:
         one = cutoffs.select(F.struct("cut_prefix", "wanted")).scalar()
         edge = hashed.withColumn("c", one).where("prefix = c.cut_prefix")
@@ -211,7 +211,7 @@ def train_val_split(
     here = F.struct(seeded_hash(F.col(key), seed).alias("h"), F.col(key).alias("k"))
     is_val = F.col("last").isNull() | (here <= F.col("last"))
     return (
-        df.join(last, label, "left")
+        df.join(F.broadcast(last), label, "left")
         .withColumn("split", F.when(is_val, "val").otherwise("train"))
         .drop("last")
     )

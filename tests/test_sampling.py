@@ -120,3 +120,17 @@ def test_leakage(spark):
     leaked = sampling.leaked_rows(train, gold, F.lower(F.trim("t")), "k")
     assert rows(leaked, "k") == [(1,), (3,), (3,)]
     assert rows(sampling.without_golden(train, gold, "k"), "k") == [(1,), (2,)]
+
+
+def test_quotas_of_groups_move_no_whole_rows(table, spark):
+    """Moved by group, all rows of the largest group went to one task."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        wide = table.withColumn("payload", F.concat(F.lit("text "), F.col("id")))
+        plan = sampling.small_per_group(wide, "id", "label", 5)._jdf.queryExecution().executedPlan()
+        assert "BroadcastHashJoin [label#" in plan.toString()
+        split = sampling.train_val_split(table, "id", "label")._jdf.queryExecution().executedPlan()
+        assert "BroadcastHashJoin [label#" in split.toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
