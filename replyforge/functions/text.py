@@ -65,8 +65,14 @@ def cleaned_tokens(text: Column) -> Column:
     one-letter words are dropped; what is left is exactly the a-z runs of two
     or more letters, so one extraction replaces three rewriting passes.
     """
-    no_mentions = F.regexp_replace(F.lower(text), "@[a-z0-9_]+", "")
-    no_links = F.regexp_replace(no_mentions, f"http[^{WHITESPACE_CLASS}]+", "")
+    # Each rewriting is for the few texts that have something to rewrite.
+    lower = F.lower(text)
+    no_mentions = F.when(
+        lower.contains("@"), F.regexp_replace(lower, "@[a-z0-9_]+", "")
+    ).otherwise(lower)
+    no_links = F.when(
+        lower.contains("http"), F.regexp_replace(no_mentions, f"http[^{WHITESPACE_CLASS}]+", "")
+    ).otherwise(no_mentions)
     return F.regexp_extract_all(no_links, F.lit("[a-z]{2,}"), F.lit(0))
 
 

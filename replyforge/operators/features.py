@@ -13,8 +13,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from replyforge.functions import packs
 from replyforge.functions.text import cleaned_tokens, drop_words, ngrams, word_tokens
 from replyforge.operators.ranking import nth_text, top_n
+from replyforge.sources.readers import tasks_for
 from replyforge.sources.stages import cut
 
+# Most terms of a vocabulary that is sent whole to every task: a few MB.
+SENT_TERMS = 100_000
+# Most bytes of a word table, as written, whose terms one task holds.
+LIST_BYTES = 4 << 20
+
 
 def discovery_tokens(text: Column, stop_words=packs.DISCOVERY_STOP_WORDS) -> Column:
     """Cleaned words without stop words, in order."""
@@ -30,13 +36,23 @@ def ngram_topk(df: DataFrame, text: str, n: int, k: int = 20, stop_words=packs.D
     """Most frequent n-grams after stop-word removal (they may span removed words)."""
     counts = (
         df.select(discovery_tokens(F.col(text), stop_words).alias("words"))
-        .select(F.explode(ngrams(F.col("words"), n)).alias("ngram"))
+        .select(ngrams(F.col("words"), n).alias("grams"))
+        .select(*_places("grams", "ngram")).where("at is not null")
         .groupBy("ngram")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     return top_n(counts, [F.desc("n"), "ngram"], k)
 
 
+def _places(grams: str, term: str = "term") -> list:
+    """``at`` and ``term`` of every gram; a list without any gives a row without ``at``.
+
+    Outer, because an inner explode makes Spark filter by the list before it,
+    which works the words and grams of every text out a second time.
+    """
+    return [F.posexplode_outer(grams).alias("at", term)]
+
+
 def gram_lists(df: DataFrame, key: str, words: Column, sizes=(1,)) -> DataFrame:
     """(key, grams): the n-grams of the given sizes, one row per document.
 
@@ -49,15 +65,25 @@ def gram_lists(df: DataFrame, key: str, words: Column, sizes=(1,)) -> DataFrame:
 
 
 def by_document(held: DataFrame, key: str, words: str, sizes=(1,)) -> DataFrame:
-    """``gram_lists`` after the one exchange by document, which moves words only."""
-    return gram_lists(held.select(key, words).repartition(key), key, F.col(words), sizes)
+    """``gram_lists`` after the one exchange by document, which moves words only.
+
+    ``held`` is a stage table; where its size asks for more tasks than a shuffle
+    has, it gets them, since each holds the terms of its documents.
+    """
+    tasks = tasks_for(held, LIST_BYTES)
+    usual = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = held.select(key, words)
+    dealt = dealt.repartition(tasks, key) if tasks > usual else dealt.repartition(key)
+    return gram_lists(dealt, key, F.col(words), sizes)
 
 
-def term_counts(lists: DataFrame, key: str) -> DataFrame:
-    """(key, term, tf); no further exchange if ``lists`` come from ``by_document``."""
-    return lists.select(key, F.explode("grams").alias("term")).groupBy(key, "term").agg(
-        F.count(F.lit(1)).alias("tf")
-    )
+def term_counts(lists: DataFrame, key: str, known: DataFrame | None = None) -> DataFrame:
+    """(key, term, tf), of the terms of ``known`` if given (sent to all tasks); no
+    further exchange if ``lists`` come from ``by_document``."""
+    terms = lists.select(key, *_places("grams")).where("at is not null").select(key, "term")
+    if known is not None:
+        terms = terms.join(F.broadcast(known.select("term")), "term", "left_semi")
+    return terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def vocabulary(
@@ -69,13 +95,15 @@ def vocabulary(
     Nothing is sorted as a whole: histograms find the count and, among the terms
     with that count, the last term that makes the limit; the rest is a filter.
     """
-    mark = lambda grams, df, cf: F.transform(
-        grams, lambda g: F.struct(g.alias("term"), F.lit(df).alias("df"), F.lit(cf).alias("cf"))
-    )
-    every = F.concat(mark(F.col("grams"), 0, 1), mark(F.array_distinct("grams"), 1, 0))
+    # Sorted, so that a document's first row of a term is known by the one before.
+    rows = lists.select(F.sort_array("grams").alias("grams")).select(
+        "grams", *_places("grams")
+    ).where("at is not null")
+    before = F.when(F.col("at") > 0, F.get("grams", F.col("at") - 1))
+    first = (F.col("at") == 0) | ~before.eqNullSafe(F.col("term"))
     terms = (
-        lists.select(F.inline(every)).groupBy("term")
-        .agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+        rows.groupBy("term")
+        .agg(F.count_if(first).alias("df"), F.count(F.lit(1)).alias("cf"))
         .where(F.col("df") >= min_df)
     )
     if max_features is None:
@@ -120,15 +148,16 @@ def tfidf(
     """(key, term, weight) with smoothed idf and unit-length document vectors.
 
     idf = ln((1 + documents) / (1 + df)) + 1; tf is the count, or 1 + ln(count).
-    Spark sizes the join with the vocabulary: a small one is sent to all tasks,
-    a large one is a shuffle join in which AQE splits very common terms.
+    A vocabulary of up to ``SENT_TERMS`` is sent to all tasks; beyond, or without
+    a limit, the join is a shuffle join in which AQE splits very common terms.
     """
     # Texts are tokenised once: vocabulary and weights both read these words.
     held = cut(docs.select(key, words.alias("words")), "words")
     chosen = vocabulary(gram_lists(held, key, F.col("words"), sizes), min_df, max_features)
     vocab = cut(with_idf(chosen, held), "vocabulary")
     lists = by_document(held, key, "words", sizes)
-    raw = raw_weights(lists, key, vocab, sublinear).select(key, "term", "raw")
+    sent = max_features is not None and max_features <= SENT_TERMS
+    raw = raw_weights(lists, key, vocab, sublinear, sent).select(key, "term", "raw")
     norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
     return raw.select(key, "term", (F.col("raw") / norm).alias("weight"))
 
@@ -139,7 +168,17 @@ def with_idf(vocab: DataFrame, lists: DataFrame) -> DataFrame:
     return vocab.select("term", (F.log((n_docs + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
-def raw_weights(lists: DataFrame, key: str, terms: DataFrame, sublinear: bool) -> DataFrame:
-    """(key, raw, columns of ``terms``): tf times idf before the unit length."""
+def raw_weights(
+    lists: DataFrame, key: str, terms: DataFrame, sublinear: bool, sent: bool = True
+) -> DataFrame:
+    """(key, raw, columns of ``terms``): tf times idf before the unit length.
+
+    With ``sent`` every task gets all ``terms`` and drops the others before it
+    counts, so nothing is moved by term; without, it is a shuffle join.
+    """
     tf = F.log(F.col("tf").cast("double")) + 1 if sublinear else F.col("tf").cast("double")
-    return term_counts(lists, key).join(terms, "term").withColumn("raw", tf * F.col("idf"))
+    if sent:
+        counts, terms = term_counts(lists, key, terms), F.broadcast(terms)
+    else:
+        counts = term_counts(lists, key)
+    return counts.join(terms, "term").withColumn("raw", tf * F.col("idf"))

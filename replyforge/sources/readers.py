@@ -20,15 +20,28 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan dealt over all cores where its files give fewer tasks than there are.
+# Most bytes of files that one task of a ``spread`` scan works on.
+TASK_BYTES = 16 << 20
 
-    A file with one row group is one task, however long its texts take; a table
-    of many files is returned as it is.  Only for scans: asking a plan with
-    exchanges for its tasks would run them.
+
+def spread(df: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """A scan dealt over all cores, and over tasks of at most ``task_bytes``, where its
+    files give fewer tasks.
+
+    A file with one row group is one task, however long its texts take, and what
+    a task counts grows with what it reads; a table of enough tasks is returned
+    as it is.  Only for scans: asking a plan with exchanges for its tasks would
+    run them.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
+    tasks = tasks_for(df, task_bytes)
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)
+
+
+def tasks_for(scan: DataFrame, task_bytes: int) -> int:
+    """Tasks that give each at most ``task_bytes`` of the files; no fewer than cores."""
+    files = scan.select("_metadata.file_path", "_metadata.file_size").distinct()
+    whole = files.agg(F.coalesce(F.sum("file_size"), F.lit(0)).alias("n")).first()["n"]
+    return max(scan.sparkSession.sparkContext.defaultParallelism, -(-whole // task_bytes))
 
 
 def read_csv(

@@ -355,3 +355,10 @@ def test_spread(spark, tmp_path):
     many = few.repartition(20)
     assert readers.spread(many) is many
     assert readers.spread(few).count() == 100
+
+
+def test_spread_bounds_what_a_task_reads(spark, tmp_path):
+    spark.range(5000).repartition(10).write.parquet(str(tmp_path / "t"))
+    scan = spark.read.parquet(str(tmp_path / "t"))
+    assert readers.spread(scan, task_bytes=1000).rdd.getNumPartitions() > 20
+    assert readers.spread(scan, task_bytes=1000).count() == 5000

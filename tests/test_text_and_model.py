@@ -172,3 +172,33 @@ def test_clusters(spark):
     assert {frozenset(r.words.split(", ")) for r in profile} == {
         frozenset({"red", "apple", "pie"}), frozenset({"blue", "car", "wheel"})
     }
+
+
+def test_limited_vocabularies_move_nothing_by_term(spark):
+    df = spark.createDataFrame(list(enumerate(DOCS)), "i long, t string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = features.tfidf(df, "i", tx.word_tokens(F.col("t")), (1, 2), max_features=1000)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "hashpartitioning(term#" not in plan
+
+
+def test_top_grams_work_each_text_out_once(spark):
+    df = spark.createDataFrame(list(enumerate(DOCS)), "i long, t string")
+    plan = features.ngram_topk(df, "t", 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
+def test_cleaned_tokens_with_and_without_rewriting(spark):
+    texts = ["plain Words here", "ask @bob_1now ok", "see HTTP://x.y/z done", "ht@xtp://a b",
+             "@a http://@b c", "", None, "ht@x tp is"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    import re
+
+    want = [t and re.findall("[a-z]{2,}", re.sub(r"http\S+", "", re.sub("@[a-z0-9_]+", "", t.lower())))
+            for t in texts]
+    got = [r[0] for r in df.select(tx.cleaned_tokens(F.col("t"))).collect()]
+    assert [g or None for g in got] == [w or None for w in want]
