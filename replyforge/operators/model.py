@@ -386,7 +386,8 @@ def assign_clusters(weights: DataFrame, keys: DataFrame, centres: DataFrame, key
         F.sum(F.when(F.col("cluster") == c, F.col("weight")).otherwise(0.0)).alias(f"_w{i}")
         for i, c in enumerate(ids)
     ])
-    sums = weights.join(table, "term").groupBy(key).agg(*[
+    # At most max_features terms with k numbers each.
+    sums = weights.join(F.broadcast(table), "term").groupBy(key).agg(*[
         F.sum(F.col("weight") * F.col(f"_w{i}")).alias(f"_d{i}") for i in range(len(ids))
     ])
     far = F.array(*[

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from replyforge.functions import packs
 from replyforge.functions.numbers import parse_id
-from replyforge.functions.text import clean_message, flatten_lines, is_blank, strip
+from replyforge.functions.text import (
+    clean_message, cleaned_tokens, drop_words, flatten_lines, is_blank, strip,
+)
 from replyforge.operators import (
     cleaning, features, golden as golden_ops, judging, metrics, model as ml, profiling,
     routing, rules, sampling, threads,
@@ -975,12 +977,14 @@ def golden_evaluation_given(spark, sf):
 
 def _assigned_once(spark, sf):
     """(weights, clusters by one round from given ones, their centres) of all documents."""
-    docs = views.documents(spark, sf)
-    weights = cut(
-        features.tfidf(docs, "doc_id", features.discovery_tokens(F.col("text")), max_features=2000),
-        "topic-weights",
+    # Cleaned once, for the weights and for which documents have any words.
+    cleaned = cut(
+        views.documents(spark, sf).select("doc_id", cleaned_tokens(F.col("text")).alias("words")),
+        "cleaned-words",
     )
-    start = docs.where(clean_message(F.col("text")) != "").select(
+    kept = drop_words(F.col("words"), packs.DISCOVERY_STOP_WORDS)
+    weights = cut(features.tfidf(cleaned, "doc_id", kept, max_features=2000), "topic-weights")
+    start = cleaned.where(F.size("words") > 0).select(
         "doc_id", (F.col("doc_id") % 10).cast("int").alias("cluster")
     )
     return ml.lloyd_steps(weights, cut(start, "start"), "doc_id")
