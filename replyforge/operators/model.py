@@ -45,7 +45,7 @@ def _numbered(vocab: DataFrame) -> DataFrame:
 
 def _vectors(
     lists: DataFrame, key: str, vocab: DataFrame, size: int, sublinear: bool,
-    rest: DataFrame | None = None,
+    rest: DataFrame | None = None, sent: bool = True,
 ) -> DataFrame:
     """``rest`` (or ``lists`` without its grams), with ``features``: tf-idf as sparse vectors.
 
@@ -53,7 +53,7 @@ def _vectors(
     and read back as vectors.  Vectors have unit length; a document without any
     known term gets zeros.
     """
-    packed = features.raw_weights(lists, key, vocab, sublinear).groupBy(key).agg(
+    packed = features.raw_weights(lists, key, vocab, sublinear, sent).groupBy(key).agg(
         F.sort_array(F.collect_list(F.struct("at", "raw"))).alias("w"),
         F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("_length"),
     )
@@ -341,7 +341,7 @@ def topic_clusters(
     names = [r["term"] for r in vocab.orderBy("at").collect()]  # max_features terms
     ready = _vectors(
         features.by_document(lists, key, "grams", (1,)), key, vocab, len(names), sublinear=False,
-        rest=lists.drop("grams"),
+        rest=lists.drop("grams"), sent=False,  # the order of sums, down to the last bit, sets the clusters
     )
     # The vectors are a written table; what the fit keeps of them in memory is its own.
     model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(ready)
