@@ -9,13 +9,19 @@ k holds the documents before those of file k + 1, in ascending doc_id order;
 
 Texts are cut at single blanks and line feeds, which the word tokenizer drops
 and no token crosses; each distinct cut is encoded once while a worker keeps it.
+A tokenizer file with the usual rules (``_RULES``) lets texts be cut between letters
+and other ASCII characters too, its ASCII letters be lower-cased before, and
+cuts of lower-case letters alone go to its model at once.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +29,13 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from replyforge.llm.bpe import Table, bounded
+from replyforge.llm.bpe import Table, bounded, byte_alphabet
 from replyforge.llm.range_coder import BLOCK, decode_blocks, encode_blocks
 from replyforge.sources.stages import stage_path
 
 SEGMENT_IDS = 1 << 17
 LANES = 2048  # blocks coded in step
+CHUNK = 1 << 22  # characters encoded at once, about
 KEEP_BYTES = 40 << 20  # of one generation of a worker's table of words, about
 NO_ID = -(1 << 63)
 
@@ -36,6 +43,57 @@ SEGMENT = ("part int, seq int, n_ids long, doc_ids binary, doc_tokens binary, "
            "block_ids binary, block_bytes binary, block_crcs binary, payload binary")
 
 
+# Rules under which a match ends between a letter and another ASCII
+# character, and between one but the apostrophe and a letter.
+_RULES = (
+    {"type": "Sequence", "normalizers": [
+        {"type": "NFC"},
+        {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+        {"type": "Lowercase"},
+    ]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {
+            "Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+        }, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+)
+# Lower-case letters that NFC and lower-casing leave alone: Latin 1, Greek, Cyrillic.
+_LETTERS = re.compile("[a-zß-öø-ÿα-ωа-џ]+")
+def _pieces(texts: list[str], fine: bool) -> tuple[pa.Array, np.ndarray]:
+    """(cuts of all texts without blanks and empty ones, how many end before each text and the end)."""
+    array = pa.array(texts, pa.large_string())
+    offsets = np.frombuffer(array.buffers()[1], np.int64)[: len(texts) + 1]
+    data = np.frombuffer(array.buffers()[2] or b"", np.uint8)[: offsets[-1]]
+    full = (data != ord(" ")) & (data != ord("\n"))
+    cut = np.zeros(len(data) + 1, dtype=bool)  # before each byte
+    cut[offsets] = True
+    cut[1:-1] |= ~full[:-1]
+    if fine and len(data):
+        letter = ((data | 32) - ord("a")) < 26  # bytes wrap around
+        sign = (data < 128) & ~letter & full
+        cut[1:-1] |= letter[:-1] & sign[1:]
+        cut[1:-1] |= (sign & (data != ord("'")))[:-1] & letter[1:]
+        # Two-byte letters (Latin, Cyrillic): all but the signs of multiplication and
+        # division, and the dotted I, whose small form ends in a mark.
+        lead = ((data - 0xC3) < 3) | ((data - 0xD0) < 2)
+        wide = np.flatnonzero(lead[:-2] & sign[2:])
+        pair = data[wide].astype(np.int32) << 8 | data[wide + 1]
+        cut[wide[(pair != 0xC397) & (pair != 0xC3B7) & (pair != 0xC4B0)] + 2] = True
+        # A mark may follow a letter before any but ASCII: such a letter is left as it is.
+        upper = (data - ord("A")) < 26
+        upper[:-1] &= data[1:] < 128
+        data = data + (upper.view(np.uint8) << 5)
+    begins = np.flatnonzero(cut[:-1] & full)
+    cut[:-1] |= ~full
+    ends = np.flatnonzero(cut[1:] & full) + 1
+    bounds = np.concatenate([[0], np.cumsum(ends - begins)])
+    pieces = pa.LargeStringArray.from_buffers(
+        len(begins), pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data[full]))
+    )
+    return pieces, np.searchsorted(begins, offsets)
+
+
 class WordEncoder:
     """The tokenizers library on distinct cuts of texts."""
 
@@ -46,32 +104,61 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
         self.table, self.before = Table(), Table()
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        # Added tokens are found in whole texts: chunks that hold one are cut at blanks.
+        self.added = [t["content"] for t in spec.get("added_tokens") or ()]
+        self.fine = (
+            (spec["normalizer"], spec["pre_tokenizer"]) == _RULES
+            and spec["post_processor"] is None and spec["model"]["dropout"] is None
+            # In other case, or put together from cuts, none may come up.
+            and all(re.search("[A-Za-z][!-&(-@[-`{-~]", a) for a in self.added)
+            and not any(t["normalized"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
+        )
+        # Character of each byte in the vocabulary.
+        self.bytes = {b: c for c, b in byte_alphabet().items()}
+
+    def _encode(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word."""
+        plain = [bool(self.fine and _LETTERS.fullmatch(w)) for w in words]
+        rest = [w for w, p in zip(words, plain) if not p]
+        others = iter(self.library.encode_batch(rest, add_special_tokens=False))
+        tokenize, signs = self.model.tokenize, self.bytes
+        return [
+            [t.id for t in tokenize(
+                w if w.isascii() else w.encode().decode("latin-1").translate(signs)
+            )] if p else next(others).ids
+            for w, p in zip(words, plain)
+        ]
 
     def _numbers(self, words: list[str]) -> np.ndarray:
         """Entry of each (different) word in the current table; see ``bpe.Table``."""
         if self.table.size > KEEP_BYTES:
             self.table, self.before = Table(), self.table
         entries, before = self.table.entries, self.before.entries
-        missing = [w for w in words if w not in entries]
+        numbers = list(map(entries.get, words))
+        missing = [w for w, n in zip(words, numbers) if n is None]
         known = [w for w in missing if w in before]
         self.table.add(known, *self.before.ids_of(np.array([before[w] for w in known], dtype=np.int64)))
-        new = [w for w in missing if w not in before]
-        found = [e.ids for e in self.library.encode_batch(new, add_special_tokens=False)]
+        new = [w for w in missing if w not in before] if known else missing
+        found = self._encode(new)
         self.table.add(
-            new, np.array([x for i in found for x in i], dtype=np.int64),
-            np.array([len(i) for i in found], dtype=np.int64),
+            new, np.fromiter(chain.from_iterable(found), dtype=np.int64),
+            np.fromiter(map(len, found), dtype=np.int64),
         )
-        return np.array([entries[w] for w in words], dtype=np.int64)
+        added = map(entries.__getitem__, missing)
+        return np.array([next(added) if n is None else n for n in numbers], dtype=np.int64)
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by ``end_id``; ids per text)."""
-        blanks = pc.replace_substring(pa.array(texts, pa.string()), "\n", " ")
-        split = pc.split_pattern(blanks, " ")
-        coded = split.flatten().dictionary_encode()
-        numbers = self._numbers(coded.dictionary.to_pylist())
+        fine = self.fine and not any(a in t for a in self.added for t in texts)
+        pieces, at = _pieces(texts, fine)
+        coded = pieces.dictionary_encode()
+        numbers = self._numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         ids, sizes = self.table.ids_of(numbers[coded.indices.to_numpy()])
-        ends = np.concatenate([[0], np.cumsum(sizes)])[split.offsets.to_numpy()]
+        ends = np.concatenate([[0], np.cumsum(sizes)])[at]
         return np.insert(ids, ends[1:], end_id), np.diff(ends) + 1
 
 
@@ -88,9 +175,9 @@ def _segments(part: int, seq: int, ids: list, counts: list, runs: list) -> pa.Re
         sizes += [BLOCK] * (n // BLOCK) + ([n % BLOCK] if n % BLOCK else [])
         owner += [k] * (-(-n // BLOCK))
     sizes_array = np.array(sizes, dtype=np.int64)
-    payloads, sums = encode_blocks(np.concatenate(runs), sizes_array)
-    columns: dict[str, list] = {n.split()[0]: [] for n in SEGMENT.split(", ")}
     owner = np.array(owner)
+    payloads, sums = encode_blocks(np.concatenate(runs), sizes_array, owner)
+    columns: dict[str, list] = {n.split()[0]: [] for n in SEGMENT.split(", ")}
     for k, run in enumerate(runs):
         mine = np.flatnonzero(owner == k)
         own = [payloads[b] for b in mine]
@@ -142,13 +229,20 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, folder: str | Non
 
         for batch in batches:
             texts, keys = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            for start, stop in bounded(texts, 1 << 19):
+            for start, stop in bounded(texts, CHUNK):
                 found, sizes = encoder.encode(texts[start:stop], end_id)
-                ids += keys[start:stop]
-                counts += sizes.tolist()
-                runs.append(found)
-                if sum(map(len, runs)) >= SEGMENT_IDS:
-                    close()
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                a, n = 0, len(sizes)
+                while a < n:
+                    # Documents up to the one with which the segment is full.
+                    room = SEGMENT_IDS - sum(map(len, runs))
+                    b = min(int(np.searchsorted(ends, ends[a] + room)), n)
+                    ids += keys[start + a:start + b]
+                    counts += sizes[a:b].tolist()
+                    runs.append(found[ends[a]:ends[b]])
+                    if ends[b] - ends[a] >= room:
+                        close()
+                    a = b
                 if sum(-(-len(d[2]) // BLOCK) for d in done) >= LANES:
                     yield _segments(part, seq, *zip(*done))
                     seq += len(done)
@@ -216,7 +310,8 @@ def _documents(rows: list[dict], with_ids: bool) -> pa.RecordBatch:
             at += n
         sizes.append(np.frombuffer(row["block_ids"], "<i4").astype(np.int64))
         sums.append(np.frombuffer(row["block_crcs"], "<u4").astype(np.int64))
-    ids = decode_blocks(payloads, np.concatenate(sizes), np.concatenate(sums))
+    owner = np.repeat(np.arange(len(rows)), [len(n) for n in sizes])
+    ids = decode_blocks(payloads, np.concatenate(sizes), np.concatenate(sums), owner)
     out: dict[str, list] = {n.split()[0]: [] for n in _DOCUMENTS.split(", ")}
     runs = []
     at = 0
