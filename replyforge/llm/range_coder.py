@@ -1,19 +1,21 @@
 """Adaptive context-mixing range coder for token ids, many blocks in step.
 
-Every block of ids is coded by itself: all models start anew, so blocks can be
-read in any order and a damaged one stays alone.  numpy codes one id of every
-block per step; a block is a lane.
+Segments of ids are coded by themselves: all models start anew, so segments can
+be read in any order and a damaged one stays alone.  A segment's ids are dealt
+into blocks, each a lane with a code and a checksum of its own; numpy codes one
+id of every block of many segments per step, and the lanes of a segment learn
+from each other's ids of the steps before.
 
 An id's probability is the weighted sum of three predictions: the id that
 followed the last two ids before (order 2), the id that followed the last one
-(order 1), and adaptive frequencies of the block's ids (order 0, upper byte
+(order 1), and adaptive frequencies of the segment's ids (order 0, upper byte
 times lower byte given the upper one or its class).  An id that several orders
 predict gets the sum of what each gives it, and is coded in one step from that
 one distribution.  The weights adapt too, apart for each state of confidence in
 the two predicted ids: they follow the share of ids that each order foretold.
-Predicted ids change with every id.  Frequencies and weights come into force
-after FIRST ids and then whenever the block has doubled, at the latest after
-EVERY ids; what has been seen in between is counted then.
+Predicted ids change with every step.  Frequencies and weights come into force
+after FIRST steps and then whenever their number has doubled, at the latest after
+EVERY; what has been seen in between is counted then.
 
 All frequencies add up to powers of two, so most of a step is 32-bit arithmetic.
 The coder keeps 64 bits of low and range and emits 32 bits when the range gets
@@ -26,11 +28,11 @@ import zlib
 
 import numpy as np
 
-BLOCK = 4096
-TABLE = 1 << 13  # contexts of orders 1 and 2 in a segment
+BLOCK = 1024
+TABLE = 1 << 14  # contexts of orders 1 and 2 in a segment
 STEP = 16  # weight of a new observation in byte frequencies
 FULL = 1 << 16  # total above which byte frequencies are halved
-FIRST, EVERY = 4, 128
+FIRST, EVERY = 4, 64
 CLASSES = 8  # tables of lower bytes: one for each upper byte below 7, one for the rest
 BITS = 12
 WHOLE = 1 << BITS  # what the frequencies in force of a table of bytes add up to
@@ -87,7 +89,7 @@ class _Bytes:
 
 
 class _Models:
-    """Predictions of all lanes; encoder and decoder update them alike."""
+    """Predictions for all lanes; encoder and decoder update them alike."""
 
     def __init__(self, lanes: int, segment: np.ndarray | None = None):
         """segment: number of each lane's segment; by default every lane is one."""
@@ -299,7 +301,10 @@ def _in_step(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def encode_blocks(
     ids: np.ndarray, sizes: np.ndarray, segment: np.ndarray | None = None
 ) -> tuple[list[bytes], np.ndarray]:
-    """(payload, crc32 of the ids as 32-bit little-endian) of consecutive runs of ids."""
+    """(payload, crc32 of the ids as 32-bit little-endian) of consecutive runs of ids.
+
+    segment: number of each block's segment, from 0; by default every block is one.
+    """
     if len(ids) and (ids.max() >= MAX_ID or ids.min() < 0):
         raise ValueError(f"ids must lie in 0 .. {MAX_ID - 1}")
     starts = np.cumsum(sizes) - sizes

@@ -29,14 +29,15 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from replyforge.llm.bpe import Table, bounded, byte_alphabet
+from replyforge.llm.bpe import bounded, byte_alphabet, ragged
 from replyforge.llm.range_coder import BLOCK, decode_blocks, encode_blocks
 from replyforge.sources.stages import stage_path
 
 SEGMENT_IDS = 1 << 17
-LANES = 2048  # blocks coded in step
+LANES = 8192  # blocks coded in step
 CHUNK = 1 << 22  # characters encoded at once, about
-KEEP_BYTES = 40 << 20  # of one generation of a worker's table of words, about
+SCAN = 1 << 18  # characters cut at once: what a processor's cache holds
+KEEP_WORDS = 500_000  # in a worker's table; beyond, those that came up again are kept
 NO_ID = -(1 << 63)
 
 SEGMENT = ("part int, seq int, n_ids long, doc_ids binary, doc_tokens binary, "
@@ -105,7 +106,10 @@ class WordEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.model = self.library.model
-        self.table, self.before = Table(), Table()
+        # Known cuts with their ids end to end, and which came up again since the last cleaning.
+        self.words = pa.array([], pa.large_string())
+        self.ids, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.late = np.zeros(0, dtype=bool)
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         # Added tokens are found in whole texts: chunks that hold one are cut at blanks.
@@ -133,32 +137,47 @@ class WordEncoder:
             for w, p in zip(words, plain)
         ]
 
-    def _numbers(self, words: list[str]) -> np.ndarray:
-        """Entry of each (different) word in the current table; see ``bpe.Table``."""
-        if self.table.size > KEEP_BYTES:
-            self.table, self.before = Table(), self.table
-        entries, before = self.table.entries, self.before.entries
-        numbers = list(map(entries.get, words))
-        missing = [w for w, n in zip(words, numbers) if n is None]
-        known = [w for w in missing if w in before]
-        self.table.add(known, *self.before.ids_of(np.array([before[w] for w in known], dtype=np.int64)))
-        new = [w for w in missing if w not in before] if known else missing
-        found = self._encode(new)
-        self.table.add(
-            new, np.fromiter(chain.from_iterable(found), dtype=np.int64),
-            np.fromiter(map(len, found), dtype=np.int64),
-        )
-        added = map(entries.__getitem__, missing)
-        return np.array([next(added) if n is None else n for n in numbers], dtype=np.int64)
+    def _ids_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all these words, ids per word)."""
+        lengths = self.lengths[numbers]
+        starts = np.cumsum(self.lengths) - self.lengths
+        return self.ids[ragged(starts[numbers], lengths)], lengths
+
+    def _clean(self) -> None:
+        kept = np.flatnonzero(self.late)[-(KEEP_WORDS // 2):]
+        self.ids, self.lengths = self._ids_of(kept)
+        self.words = self.words.take(pa.array(kept))
+        self.late = np.zeros(len(kept), dtype=bool)
+
+    def _numbers(self, pieces: pa.Array) -> np.ndarray:
+        """Place of each piece in the table; new ones are added."""
+        if len(self.words) > KEEP_WORDS:
+            self._clean()
+        found = pc.index_in(pieces, value_set=self.words)
+        numbers = found.fill_null(-1).to_numpy().astype(np.int64)
+        missing = np.flatnonzero(numbers < 0)
+        self.late[numbers[numbers >= 0]] = True
+        new = pieces.take(pa.array(missing)).dictionary_encode()
+        numbers[missing] = len(self.words) + new.indices.to_numpy().astype(np.int64)
+        ids = self._encode(new.dictionary.to_numpy(zero_copy_only=False).tolist())
+        self.words = pa.concat_arrays([self.words, new.dictionary])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.int32)])
+        self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, ids), np.int64)])
+        self.late = np.concatenate([self.late, np.zeros(len(ids), dtype=bool)])
+        return numbers
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each followed by ``end_id``; ids per text)."""
         fine = self.fine and not any(a in t for a in self.added for t in texts)
-        pieces, at = _pieces(texts, fine)
-        coded = pieces.dictionary_encode()
-        numbers = self._numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
-        ids, sizes = self.table.ids_of(numbers[coded.indices.to_numpy()])
-        ends = np.concatenate([[0], np.cumsum(sizes)])[at]
+        parts, ends, n = [], [0], 0
+        for a, b in bounded(texts, SCAN):
+            pieces, at = _pieces(texts[a:b], fine)
+            parts.append(pieces)
+            ends += (at[1:] + n).tolist()
+            n += len(pieces)
+        numbers = self._numbers(pa.concat_arrays(parts))
+        ids, sizes = self._ids_of(numbers)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[ends]
         return np.insert(ids, ends[1:], end_id), np.diff(ends) + 1
 
 
