@@ -1,9 +1,10 @@
-"""Token ids in binary files: whole documents, coded in independent blocks.
+"""Token ids in binary files: whole documents, coded in independent segments.
 
 The files are a Parquet container in the shared folder.  One row is a segment
 of whole documents with about SEGMENT_IDS ids: which file and place it has,
 the documents' ids and token counts, and the segment's blocks (ids, bytes and
-crc32 of each, payloads one after the other) as coded by ``range_coder``.  File
+crc32 of each, payloads one after the other) as coded by ``range_coder``, with
+one model for the blocks of a segment, none for other segments.  File
 k holds the documents before those of file k + 1, in ascending doc_id order;
 ``read_token_files`` needs nothing but the files.
 
@@ -35,6 +36,7 @@ from replyforge.sources.stages import stage_path
 
 SEGMENT_IDS = 1 << 17
 LANES = 8192  # blocks coded in step
+TOGETHER = 256  # segments read in step, at most; each has a model
 CHUNK = 1 << 22  # characters encoded at once, about
 SCAN = 1 << 18  # characters cut at once: what a processor's cache holds
 KEEP_WORDS = 500_000  # in a worker's table; beyond, those that came up again are kept
@@ -115,11 +117,14 @@ class WordEncoder:
         # Added tokens are found in whole texts: chunks that hold one are cut at blanks.
         self.added = [t["content"] for t in spec.get("added_tokens") or ()]
         self.fine = (
-            (spec["normalizer"], spec["pre_tokenizer"]) == _RULES
-            and spec["post_processor"] is None and spec["model"]["dropout"] is None
+            (spec.get("normalizer"), spec.get("pre_tokenizer")) == _RULES
+            and not spec.get("post_processor") and not spec["model"].get("dropout")
             # In other case, or put together from cuts, none may come up.
             and all(re.search("[A-Za-z][!-&(-@[-`{-~]", a) for a in self.added)
-            and not any(t["normalized"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
+            and not any(
+                t.get(f) for t in spec.get("added_tokens") or ()
+                for f in ("normalized", "lstrip", "rstrip", "single_word")
+            )
         )
         # Character of each byte in the vocabulary.
         self.bytes = {b: c for c, b in byte_alphabet().items()}
@@ -301,7 +306,7 @@ def read_token_files(spark, folder: str, with_ids: bool = False) -> DataFrame:
             for k, row in enumerate(held):
                 rows.append(row)
                 blocks += len(row["block_ids"]) // 4
-                if blocks >= LANES or k == len(held) - 1:
+                if blocks >= LANES or len(rows) >= TOGETHER or k == len(held) - 1:
                     yield _documents(rows, with_ids)
                     rows, blocks = [], 0
 
